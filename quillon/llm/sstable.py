@@ -12,8 +12,8 @@ that runs again leaves the same file. All files lie in the shared folder and are
 opened through pyarrow's file systems.
 
 Ids are produced by the tokenizers library. Its cost is mostly per call, so a
-text is cut at safe places (before white space after a character that isn't) and
-each distinct piece is encoded once per worker; the ids are those of the text.
+text is cut at safe places (before white space after a character that isn't, and
+between a letter and punctuation) and each distinct piece is encoded once per worker; the ids are those of the text.
 
 Entry value: n ids, running count of ids in the shard, ids as little-endian
 unsigned 16-bit integers if all fit, else 32-bit.
@@ -31,12 +31,14 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -51,11 +53,22 @@ FOOTER = struct.Struct("<QQQQQQ8s")  # index at, length; filter at, length; entr
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-KNOWN = 200_000  # pieces whose ids a worker keeps
+KNOWN = 600_000  # pieces whose ids a worker keeps, some 200 bytes each
 
 #: Runs of white space and what follows. Python also counts 1C-1F as white space; the splitting pattern doesn't.
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
+#: Texts where a space follows white space, or that hold the mark of a cut, aren't cut before every space.
+CUT = "\x00"
+UNSUITED = "\x00|[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
+WORD_END = "([A-Za-z])([,.;:!?|*$%&#<>])"
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE spells bytes as letters: printable Latin-1 stands for itself, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -64,19 +77,50 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [UNIT.findall(t) for t in texts]
-        if len(self.known) > KNOWN:
+    def learn(self, units: Iterable[str]) -> None:
+        new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-        known = self.known
-        new = list({u for units in cut for u in units if u not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            new = list(units)
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for unit in new:
+            if unit[unit[:1] == " " :].isalpha():  # a single match of the splitting pattern: the model's own input
+                ids = [t.id for t in tokenize(unit.encode().decode("latin-1").translate(self.letters))]
+                self.known[unit] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(unit)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[unit] = tuple(got.ids)
-        return [np.array([i for u in units for i in known[u]], dtype="<u4") for units in cut]
+                self.known[unit] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+    def encode_one(self, text: str) -> np.ndarray:
+        units = UNIT.findall(text)
+        self.learn(set(units))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), dtype="<u4")
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text. Arrow cuts all texts at once; those that its simpler cuts don't suit go one by one."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        odd = pc.match_substring_regex(texts, UNSUITED).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring_regex(texts, WORD_END, r"\1" + CUT + r"\2"), " ", CUT + " ")
+        cut = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), cut), CUT)
+        coded = cut.flatten().dictionary_encode()
+        units, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(units)
+        own = [self.known[u] for u in units]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids, starts = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(lengths) - lengths
+        sizes = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        all_ids = ids[np.repeat(starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        edges = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [self.encode_one(texts[i].as_py()) if odd[i] else all_ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=1)
@@ -111,7 +155,7 @@ class Writer:
         self.out, self.at, self.index, self.places_of = out, 0, [], []
         self.block, self.size, self.first, self.last = [], 0, b"", b""
         self.entries = self.ids = 0
-        self.packer = zstandard.ZstdCompressor(level=3)
+        self.packer = zstandard.ZstdCompressor(level=1)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if not self.block:
@@ -215,31 +259,33 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     rows = df.select((F.col(id_col) if is_text else F.col(id_col).cast("bigint")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():06d}.sst"
         temporary = f"{base}/.{name}.{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        made, first, last = None, None, None
+        first = last = None
         with fs.open_output_stream(temporary) as out:
+            made = Writer(out)
             for batch in batches:
-                made = made or Writer(out)
-                for at in range(0, len(batch), 256):
-                    part = batch.iloc[at : at + 256]
-                    for identifier, ids in zip(part["id"], encoder(tokenizer).encode(list(part["text"]))):
-                        last = None if identifier is None or identifier != identifier else identifier
+                for at in range(0, len(batch), 1024):
+                    part = batch.slice(at, 1024)
+                    for last, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(part.column(1))):
                         first = last if made.entries == 0 else first
                         made.add(key_of(last), np.append(ids, np.uint32(END_ID)).astype("<u4"))
-            if made:
-                made.close()
-        if not made or not made.entries:
+            made.close()
+        if not made.entries:
             fs.delete_file(temporary)
             return
         fs.move(temporary, f"{base}/{name}")
-        yield pd.DataFrame({"shard": [task.partitionId()], "file": [name], "first": pd.array([first], "string" if is_text else "Int64"), "last": pd.array([last], "string" if is_text else "Int64"), "entries": [made.entries], "ids": [made.ids]})
+        key = pa.string() if is_text else pa.int64()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([task.partitionId()]), pa.array([name]), pa.array([first], key), pa.array([last], key), pa.array([made.entries]), pa.array([made.ids])],
+            ["shard", "file", "first", "last", "entries", "ids"],
+        )
 
-    manifest = rows.mapInPandas(write, f"shard long, file string, first {kind}, last {kind}, entries long, ids long")
+    manifest = rows.mapInArrow(write, f"shard long, file string, first {kind}, last {kind}, entries long, ids long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
