@@ -44,7 +44,7 @@ def resolve(ids: DataFrame, wanted: str, col: str = "case_id") -> str:
     """The id that is wanted, or has its number, or alone begins with it."""
     number = int(wanted.lstrip("r")) if wanted.lstrip("r").isdigit() else None
     matches = ids.select(col).where((F.col(col) == wanted) | F.col(col).startswith(wanted) | (F.expr(f"try_cast(nullif(regexp_extract({col}, '^r([0-9]+)_', 1), '') AS int)") == (number if number is not None else -1)))
-    found = sorted(r[0] for r in matches.limit(1000).collect())
+    found = sorted(r[0] for r in matches.distinct().limit(1000).collect())
     if wanted in found:
         return wanted
     same = [x for x in found if number is not None and int(x[1:].split("_")[0] or -1) == number]
