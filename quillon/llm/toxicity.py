@@ -1,12 +1,13 @@
 """Toxicity by cumulative-link ordinal regression.
 
 A text becomes a sparse set of hashed features: its distinct words and their
-beginnings, weighted by inverse document frequency. Severity grades are ordered;
+beginnings. Only features that toxic training texts hold much more often than
+others get a weight. Severity grades are ordered;
 one weight vector is shared by all thresholds: P(grade <= k) = s(t_k - w x), with
 s the logistic function and t_1 < t_2 < ... The output is the expected grade.
 
 The labels say only toxic or not. Grades above 0 are the thirds of the share of
-words that occur in toxic training texts alone: 1 mild, 2 strong, 3 severe.
+features that speak for toxic texts: 1 mild, 2 strong, 3 severe.
 
 The model is fitted on at most TRAIN_ROWS labelled rows of each class, chosen by
 a hash of doc_id; scoring covers every whole text in one pass without a shuffle.
@@ -33,9 +34,10 @@ from .shared import documents
 TRAIN_ROWS = 3000  # labelled rows of each class that the model is fitted on, at most
 BITS = 18
 GRADES = 4
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
-EPOCHS = 60
+EPOCHS = 20
+LEAST_DOCS, LEAST_LIFT = 4, 5.0  # toxic training texts that hold a feature, and how much larger a share than of the others
 TOXIC_FROM = 0.5  # expected severity
 
 
@@ -58,7 +60,7 @@ class Ordinal:
     cuts: np.ndarray
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
-        score = np.array([self.weights[r].sum() / np.sqrt(max(len(r), 1)) for r in rows])
+        score = np.array([self.weights[r].sum() for r in rows])
         upto = 1 / (1 + np.exp(-np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
         edges = np.hstack([np.zeros((len(rows), 1)), upto, np.ones((len(rows), 1))])
         return np.diff(edges, axis=1)
@@ -67,19 +69,28 @@ class Ordinal:
         return self.probabilities(rows) @ np.arange(len(self.cuts) + 1)
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades from toxic or not and from the share of features that toxic texts alone have."""
+def telling(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Which features speak for toxic texts."""
     size = 1 << BITS
-    bad, good = (np.bincount(np.concatenate([r for r, t in zip(rows, toxic) if t == k] or [np.zeros(0, np.int64)]), minlength=size) for k in (1, 0))
-    telling = (bad >= 5) & (good == 0)
-    share = np.array([telling[r].mean() if len(r) else 0.0 for r in rows])
+    bad, good = (np.bincount(np.concatenate([r for r, t in zip(rows, toxic) if bool(t) == k] or [np.zeros(0, np.int64)]), minlength=size) for k in (True, False))
+    n_bad = max(int((toxic > 0).sum()), 1)
+    lift = (bad / n_bad) / ((good + 0.5) / (len(rows) - n_bad + 1))
+    return (bad >= LEAST_DOCS) & (lift >= LEAST_LIFT)
+
+
+def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Grades from toxic or not and from the share of telling features."""
+    known = telling(rows, toxic)
+    share = np.array([known[r].mean() if len(r) else 0.0 for r in rows])
     edges = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
     return np.where(toxic == 1, 1 + np.searchsorted(edges, share, side="right"), 0)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Ordinal:
     """Maximum likelihood with a ridge, by AdaGrad over small batches."""
     size = 1 << BITS
+    known = telling(rows, grades)
+    rows = [r[known[r]] for r in rows]
     weights, gathered = np.zeros(size), np.full(size, 1e-8)
     share = np.cumsum(np.bincount(grades, minlength=grades_n)[:-1]) / len(grades)
     share = np.clip(share, 0.01, 0.99)
@@ -91,8 +102,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epoc
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
             own = [rows[i] for i in batch]
-            scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in own])
-            score = np.array([weights[r].sum() for r in own]) * scale
+            score = np.array([weights[r].sum() for r in own])
             upto = 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -60, 60)))
             slope = upto * (1 - upto)
             n = np.arange(len(batch))
@@ -106,7 +116,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epoc
             np.add.at(g, y, lower)
             cut_g = g[1:-1] / len(n)
             flat = np.concatenate(own)
-            part = np.repeat(to_score * scale, [len(r) for r in own]) / len(n)
+            part = np.repeat(to_score, [len(r) for r in own]) / len(n)
             touched, where = np.unique(flat, return_inverse=True)
             w_g = np.bincount(where, part) + decay * weights[touched]
             gathered[touched] += w_g**2

@@ -150,15 +150,15 @@ def test_sstable_cut_is_safe():
 
 
 def test_toxicity(spark, docs, odd):
-    big = "/root/testdata/sf0.01"
+    big = "/root/testdata/sf0.1"
     all_docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     held = labels.where("doc_id % 3 = 0")
     model = toxicity.train(all_docs, labels.where("doc_id % 3 <> 0"))
     assert (np.diff(model.cuts) > 0).all()
     rows = toxicity.score(all_docs, model).join(held.withColumnRenamed("toxic", "label"), "doc_id").select("toxic", "label", "expected_severity").toPandas()
     rows.columns = ["found", "label", "severity"]
-    assert (rows["found"] == (rows["label"] == 1)).mean() > 0.95
-    assert rows[rows.label == 1].severity.mean() > rows[rows.label == 0].severity.mean() + 0.8
+    assert (rows["found"] == (rows["label"] == 1)).mean() > 0.95 and rows[rows.label == 0].found.mean() < 0.02
+    assert rows[rows.label == 1].severity.mean() > rows[rows.label == 0].severity.mean() + 0.8  # some labelled texts hold no toxic word at all
     assert toxicity.score(odd, model).count() == len(ODD)
     with pytest.raises(ValueError):
         toxicity.train(all_docs, labels.where("toxic = 0"))
