@@ -129,4 +129,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_quality": op6_quality}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_quality": f"""
+WITH w AS (SELECT doc_id, source, text, [x FOR x IN regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS ws, string_split(text, chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(0, {WINDOW})) AS j) WHERE n > 1 GROUP BY 1),
+m AS (SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ len([l FOR l IN ls IF regexp_matches(l, '[^ \\t\\x0B\\f\\r]')]) - len(list_distinct([l FOR l IN ls IF regexp_matches(l, '[^ \\t\\x0B\\f\\r]')])) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines
+ FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+ n_symbols > {MOST_SYMBOLS} * n_words OR n_dup_lines > {MOST_DUP_LINES} * n_lines OR word_chars < {LEAST_MEAN} * n_words OR word_chars > {MOST_MEAN} * n_words AS soft_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM v GROUP BY 1),
+q AS (SELECT count(*) AS hosts, sum(f) / sum(n) AS mean, var_samp(f / n) AS spread, avg(1 / n) AS inverse FROM h),
+p AS (SELECT *, spread - mean * (1 - mean) * inverse AS real FROM q),
+k AS (SELECT mean, CASE WHEN hosts < 3 OR mean = 0 OR mean >= 1 THEN 10 WHEN real > 0 THEN least(1e6, greatest(1, (mean * (1 - mean) - real) / real)) ELSE 1e6 END AS strength FROM p),
+s AS (SELECT source FROM h, k WHERE (f + strength * mean) / (n + strength) > {HOST_LIMIT})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND NOT (soft_failed AND source IN (SELECT source FROM s)) AS kept FROM v
+"""
+}
