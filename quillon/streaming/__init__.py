@@ -1,0 +1 @@
+"""Streams: the inventory names none, so there is nothing here yet."""

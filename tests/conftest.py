@@ -44,9 +44,19 @@ def duck():
 
 def same_rows(spark_df, table) -> None:
     """Both have the same columns and, in any order, the same rows."""
+    import datetime
+
+    import pandas as pd
+
+    def shown(v) -> str:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+            return ""
+        if isinstance(v, float):
+            return f"{v + 0.0:.6g}"
+        return str(v)[:10] if isinstance(v, datetime.date) else str(v)
+
     left = spark_df.toPandas()
     columns = sorted(left.columns)
     assert columns == sorted(table.columns)
-    key = lambda row: tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row)
-    a, b = (sorted(key(r) for r in frame[columns].itertuples(index=False)) for frame in (left, table))
+    a, b = (sorted(tuple(map(shown, r)) for r in frame[columns].itertuples(index=False)) for frame in (left, table))
     assert a == b
