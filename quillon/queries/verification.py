@@ -77,8 +77,12 @@ def markdown_rows(spark, d):
 
 
 def html_table_rows(spark, d):
-    rows = market.html_tables(syn.table(spark, d, "pages"), "html", ["page_id"])
-    return market.markdown_table(rows, ["page_id"]).select("page_id", F.col("table_no").cast("long").alias("table_no"), F.col("row_no").cast("long").alias("row_no"), "line")
+    """Lines with pipes, put into an HTML table of their document and read out again."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^[^<>]*\|[^<>]*$"))
+    rows = F.transform(lines, lambda x: F.concat(F.lit("<tr><td>"), F.replace(F.trim(x), F.lit(" | "), F.lit("</td><td>")), F.lit("</td></tr>")))
+    made = syn.table(spark, d, "documents").select("doc_id", F.concat(F.lit("<p>x</p><table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
+    out = market.markdown_table(market.html_tables(made, "html", ["doc_id"]), ["doc_id"])
+    return out.select("doc_id", F.col("table_no").cast("long").alias("table_no"), F.col("row_no").cast("long").alias("row_no"), "line")
 
 
 def text_pages(spark, d):
@@ -156,6 +160,9 @@ ORACLE_SQL = {
     "oos_decision": "SELECT c_custkey AS id, CASE WHEN c_custkey % 200 < 60 THEN 'insufficient_data' WHEN (c_acctbal / 1000) * (c_acctbal * (c_custkey % 7 - 1) / 4000) < 0 THEN 'failed' WHEN abs(c_acctbal * (c_custkey % 7 - 1) / 4000) >= 0.5 * abs(c_acctbal / 1000) THEN 'continues' ELSE 'decayed' END AS conclusion FROM customer",
     "state_fold": """SELECT user_id AS case_id, event_id % 4 AS stage, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, count(*) FILTER (WHERE event_type = 'click') AS attempts FROM events GROUP BY 1, 2""",
     "next_case_id": "SELECT CAST(max(s_suppkey) + 1 AS BIGINT) AS next_number FROM supplier",
+    "html_table_rows": r"""WITH l AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_full_match(x, '[^<>\n]*\|[^<>\n]*')] AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS row_no FROM l)
+SELECT doc_id, CAST(0 AS BIGINT) AS table_no, row_no, '| ' || array_to_string([replace(trim(c), '|', '\|') FOR c IN string_split(trim(x), ' | ')], ' | ') || ' |' AS line FROM u""",
     "text_pages": """SELECT doc_id, count(*) AS pages, max(length(p)) AS longest FROM (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr(10)) AND length(text) > 0 THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS p FROM documents) GROUP BY 1""",
     "ode_euler": "SELECT s_suppkey, round(list_reduce(list_prepend(s_acctbal / 1000, [i * 0.125::DOUBLE FOR i IN range(0, 8)]), lambda x, t: x + 0.125::DOUBLE * (-x * 0.5 + t)), 7) AS x_end FROM supplier",
     "bond_analytics": _with(_BOND, "s AS (SELECT p_partkey, any_value(y) AS y, sum(pay * df) AS price, sum(k / 2 * pay * df) AS d, sum(k * (k + 1) * pay * pow(1 + r / 2, -k - 2)) / 4 AS c FROM f GROUP BY 1)")
