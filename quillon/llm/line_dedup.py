@@ -38,25 +38,25 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """line_host, line_keys: the lines to drop, a row for each host that has some."""
-    pages = df.select(F.col(host_col).alias("line_host"), F.col(text_col).cast("string").alias("line_text"))
-    totals = written(pages.groupBy("line_host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages), "line_hosts")
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("line_text")), _filled), _key))
-    counts = pages.select("line_host", F.explode(keys).alias("k")).groupBy("line_host", "k.a", "k.b").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where(F.col("n") > ratio * min_pages).join(totals.withColumnRenamed("line_host", "host"), F.col("line_host").eqNullSafe(F.col("host"))).where(F.col("n") > ratio * F.col("pages"))
-    return written(often.groupBy("line_host").agg(F.collect_list(F.struct("a", "b")).alias("line_keys")), "line_boilerplate")
+    """_line_host, _line_keys: the lines to drop, a row for each host that has some."""
+    pages = df.select(F.col(host_col).alias("_line_host"), F.col(text_col).cast("string").alias("_line_text"))
+    totals = written(pages.groupBy("_line_host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages), "line_hosts")
+    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_line_text")), _filled), _key))
+    counts = pages.select("_line_host", F.explode(keys).alias("k")).groupBy("_line_host", "k.a", "k.b").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("n") > ratio * min_pages).join(totals.withColumnRenamed("_line_host", "host"), F.col("_line_host").eqNullSafe(F.col("host"))).where(F.col("n") > ratio * F.col("pages"))
+    return written(often.groupBy("_line_host").agg(F.collect_list(F.struct("a", "b")).alias("_line_keys")), "line_boilerplate")
 
 
 def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """df with text_col cleaned, and line_count and line_dropped."""
+    """df with text_col cleaned, and line_count and line_dropped, which replace columns of those names."""
     lists = boilerplate(df, host_col, text_col, ratio, min_pages)
-    joined = df.join(lists, F.col(host_col).eqNullSafe(F.col("line_host")), "left")
+    joined = df.join(lists, F.col(host_col).eqNullSafe(F.col("_line_host")), "left")
     lines = _lines(F.col(text_col).cast("string"))
-    kept = F.when(F.col("line_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_filled(x) & F.array_contains("line_keys", _key(x)))))
-    joined = joined.withColumn("line_kept", kept)
+    kept = F.when(F.col("_line_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_filled(x) & F.array_contains("_line_keys", _key(x)))))
+    joined = joined.withColumn("_line_kept", kept)
     joined = joined.withColumn("line_count", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    joined = joined.withColumn("line_dropped", F.when(F.col("line_kept").isNull(), 0).otherwise(F.col("line_count") - F.size("line_kept")).cast("long"))
-    return joined.withColumn(text_col, F.array_join("line_kept", "\n")).drop("line_host", "line_keys", "line_kept")
+    joined = joined.withColumn("line_dropped", F.when(F.col("_line_kept").isNull(), 0).otherwise(F.col("line_count") - F.size("_line_kept")).cast("long"))
+    return joined.withColumn(text_col, F.array_join("_line_kept", "\n")).drop("_line_host", "_line_keys", "_line_kept")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,20 +48,20 @@ def cumulative(mean: Column) -> Column:
 
 
 def rates(df: DataFrame, source_col: str, weights: dict[str, float] | None, total: float | None, alpha: float) -> DataFrame:
-    """source, mean (of one draw), draws, sums: a row for each source."""
-    sizes = df.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+    """_mix_source, _mix_rate, _mix_draws and _mix_sums (of one draw): a row for each source."""
+    sizes = df.groupBy(F.col(source_col).alias("_mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(alpha))
     else:
         given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        weight = F.coalesce(F.try_element_at(given, F.col("mix_source")), F.lit(0.0)) if weights else F.lit(0.0)
+        weight = F.coalesce(F.try_element_at(given, F.col("_mix_source")), F.lit(0.0)) if weights else F.lit(0.0)
     sizes = written(sizes.withColumn("weight", weight), "mix_sizes")
     rows, whole = sizes.agg(F.sum("n"), F.sum("weight")).first()
     factor = (total if total is not None else float(rows or 0)) / (whole or 1.0)
     rate = F.lit(factor) * F.col("weight") / F.col("n")
     draws = F.greatest(F.ceil(rate / STEP), F.lit(1)).cast("int")
-    out = sizes.select("mix_source", "n", rate.alias("rate"), draws.alias("draws"))
-    return written(out.withColumn("sums", cumulative(F.col("rate") / F.col("draws"))), "mix_rates")
+    out = sizes.select("_mix_source", rate.alias("_mix_rate"), draws.alias("_mix_draws"))
+    return written(out.withColumn("_mix_sums", cumulative(F.col("_mix_rate") / F.col("_mix_draws"))), "mix_rates")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, total: float | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
@@ -73,16 +73,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     """
     table = rates(df, source_col, weights, total, alpha)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    joined = df.drop("copy", "shuffle_key").join(table, F.col(source_col).eqNullSafe(F.col("mix_source")))
+    joined = df.drop("copy", "shuffle_key").join(table, F.col(source_col).eqNullSafe(F.col("_mix_source")))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("draws")),
+        F.sequence(F.lit(1), F.col("_mix_draws")),
         F.lit(0),
-        lambda acc, j: acc + F.size(F.filter("sums", lambda c: c <= uniform(F.lit(seed), name, j.cast("string")))),
+        lambda acc, j: acc + F.size(F.filter("_mix_sums", lambda c: c <= uniform(F.lit(seed), name, j.cast("string")))),
     )
-    copies = joined.withColumn("mix_count", drawn).where("mix_count > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
+    copies = joined.withColumn("_mix_count", drawn).where("_mix_count > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), name, F.col("copy").cast("string")))
-    out = copies.withColumn("shuffle_key", key).drop("mix_source", "n", "rate", "draws", "sums", "mix_count")
+    out = copies.withColumn("shuffle_key", key).drop("_mix_source", "_mix_rate", "_mix_draws", "_mix_sums", "_mix_count")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -69,27 +69,27 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def measured(df: DataFrame, text_col: str) -> DataFrame:
-    """df with a struct column `measure`: the counts, base_failed and soft_failed."""
+    """df with a struct column `_measure`: the counts, base_failed and soft_failed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = df.withColumn("quality_counted", counted(text))
-    c = F.col("quality_counted")
+    df = df.withColumn("_quality_counted", counted(text))
+    c = F.col("_quality_counted")
     n = c["n_words"]
     word_chars = _without(text, BLANKS).cast("long")
     n_symbols = (F.length(text) - _without(text, SYMBOLS)).cast("long")
     base = (n < MIN_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * n)
     soft = (n_symbols > MOST_SYMBOLS * n) | (c["n_dup_lines"] > MOST_DUP_LINES * (F.length(text) - _without(text, "\n") + 1)) | (word_chars < LEAST_MEAN * n) | (word_chars > MOST_MEAN * n)
     out = F.struct(n.alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), base.alias("base_failed"), soft.alias("soft_failed"))
-    return df.withColumn("measure", out).drop("quality_counted")
+    return df.withColumn("_measure", out).drop("_quality_counted")
 
 
 def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """rows: host, failed. The suspect hosts: host, rate (shrunk)."""
+    """rows: host, failed. The suspect hosts: _suspect, _suspect_rate (shrunk)."""
     hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "quality_hosts")
     share = F.col("f") / F.col("n")
     count, mean, spread, inverse = hosts.agg(F.count(F.lit(1)), F.sum("f") / F.sum("n"), F.var_samp(share), F.avg(1 / F.col("n"))).first() if hosts.take(1) else (0, None, None, None)
     strength = prior_strength(count, mean, spread, inverse)
     rate = (F.col("f") + F.lit(strength * (mean or 0.0))) / (F.col("n") + F.lit(strength))
-    return hosts.select(F.col("host").alias("suspect"), rate.alias("rate")).where(F.col("rate") > limit)
+    return hosts.select(F.col("host").alias("_suspect"), rate.alias("_suspect_rate")).where(F.col("_suspect_rate") > limit)
 
 
 def prior_strength(count: int, mean: float | None, spread: float | None, inverse: float | None) -> float:
@@ -102,26 +102,26 @@ def prior_strength(count: int, mean: float | None, spread: float | None, inverse
 
 
 def _judged(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    failed = F.col("measure.base_failed") | F.col("measure.soft_failed")
+    failed = F.col("_measure.base_failed") | F.col("_measure.soft_failed")
     small = measured(df.select(F.col(host_col).alias("host"), F.col(text_col)), text_col).select("host", failed.alias("failed"))
     suspects = host_verdicts(small)
-    joined = measured(df, text_col).join(suspects, F.col(host_col).eqNullSafe(F.col("suspect")), "left")
-    keep = ~F.col("measure.base_failed") & ~(F.col("rate").isNotNull() & F.col("measure.soft_failed"))
-    return joined.withColumn("quality_kept", keep).drop("suspect", "rate")
+    joined = measured(df, text_col).join(suspects, F.col(host_col).eqNullSafe(F.col("_suspect")), "left")
+    keep = ~F.col("_measure.base_failed") & ~(F.col("_suspect_rate").isNotNull() & F.col("_measure.soft_failed"))
+    return joined.withColumn("_quality_kept", keep).drop("_suspect", "_suspect_rate")
 
 
 def check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id_col, the measures, base_failed and kept of every row; measures are written once and read twice."""
-    rows = written(measured(df.select(F.col(id_col), F.col(host_col).alias("host"), F.col(text_col)), text_col).select(id_col, "host", "measure.*"), "quality")
+    rows = written(measured(df.select(F.col(id_col), F.col(host_col).alias("host"), F.col(text_col)), text_col).select(id_col, "host", "_measure.*"), "quality")
     suspects = host_verdicts(rows.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed")))
-    joined = rows.join(suspects, F.col("host").eqNullSafe(F.col("suspect")), "left")
-    keep = ~F.col("base_failed") & ~(F.col("rate").isNotNull() & F.col("soft_failed"))
+    joined = rows.join(suspects, F.col("host").eqNullSafe(F.col("_suspect")), "left")
+    keep = ~F.col("base_failed") & ~(F.col("_suspect_rate").isNotNull() & F.col("soft_failed"))
     return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"))
 
 
 def filtered(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The kept rows of df; texts are measured twice rather than shuffled or stored."""
-    return _judged(df, text_col, host_col).where("quality_kept").select(*df.columns)
+    return _judged(df, text_col, host_col).where("_quality_kept").select(*df.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

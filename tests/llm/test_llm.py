@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import byte_bpe, catalogue, chat, fingerprints, license_scan, line_dedup, mixing, quality, simhash, sstable, toxicity
 from quillon.llm.license_rules import BASE, GATES, rules
@@ -341,3 +342,15 @@ def test_pipeline(spark, odd, tmp_path):
         for df in (odd.select(*docs.columns), docs.limit(0)):
             assert f(spark, df, SF).columns == docs.columns, name
             f(spark, df, SF).count()
+
+
+def test_clashing_columns(spark, docs, odd):
+    import corpus_pipeline
+
+    names = ["n", "rate", "draws", "sums", "host", "suspect", "measure", "line_host", "line_keys", "line_count", "gone", "many", "fp", "least", "id", "bucket", "f", "t", "label_id"]
+    clash = odd.select(*docs.columns, *[F.lit(1).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, SF).columns == clash.columns, name
+        stage(spark, clash, SF).write.format("noop").mode("overwrite").save()
+    for run in (license_scan.scan_licenses, fingerprints.compare_edits, simhash.near_duplicates, quality.check, mixing.mix, line_dedup.drop_boilerplate):
+        run(clash).write.format("noop").mode("overwrite").save()
