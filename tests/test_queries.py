@@ -49,3 +49,8 @@ def test_library_stands_without_llm(tmp_path):
     for path in (ROOT / "quillon").rglob("*.py"):
         if "llm" not in path.parts:
             assert "quillon.llm" not in path.read_text() and "from .llm" not in path.read_text() and "..llm" not in path.read_text()
+
+
+def test_bond_yield_covers_every_part(spark):
+    found = catalogue.queries()["bond_yield_all"](spark, SF).toPandas()
+    assert len(found) == spark.read.parquet(f"{SF}/part.parquet").count() and (found.given - found.found).abs().max() < 2e-6
