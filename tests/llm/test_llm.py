@@ -272,6 +272,17 @@ def test_line_dedup_edges(spark, odd, empty):
     assert line_dedup.drop_boilerplate(odd).count() == len(ODD) and line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_small_hosts(spark):
+    rows = [(i, f"menu\nown line {i}", "h") for i in range(19)] + [(20 + i, f"menu\nown line {i}", "three") for i in range(3)] + [(30 + i, f"menu\nown line {i}", "two") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    assert got == {i: t.removeprefix("menu\n") if host != "two" else t for i, t, host in rows}
+    key = df.limit(1).select(line_dedup._key(F.lit("menu")).alias("k")).first().k
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    first = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    assert (key.a, key.b) == (signed(xxhash.xxh64_intdigest(b"menu", 42)), signed(xxhash.xxh64_intdigest(b"menu", first)))
+
+
 def test_mixing(spark, odd, empty):
     rows = spark.range(30000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id % 100 = 1 THEN 'tiny' ELSE 'mid' END AS source", "'t' AS text")
     got = mixing.mix(rows, weights={"big": 1.0, "tiny": 1.0, "mid": 2.0}, total=40000)
