@@ -10,9 +10,11 @@ global shuffle that can be repeated.
 Rates over STEP are drawn as a sum of several smaller ones, whose sum has the
 same distribution; no rate is capped.
 
-Defined cases: documents without source are a source of their own; a null doc_id
-hashes as the empty text; rows of one doc_id in one source get the same count;
-an empty table gives an empty result. All columns of the input are kept; should
+A row whose doc_id is null or repeated is drawn on its own: its seed has a hash of
+the whole row besides, and its number among equal rows. Equal rows are counted
+and dealt out again in blocks of BLOCK, so none of them needs to meet in one task.
+
+Defined cases: documents without source are a source of their own; an empty table gives an empty result. All columns of the input are kept; should
 the input have a copy or shuffle_key column, the new one takes its place.
 """
 
@@ -27,6 +29,7 @@ STEP = 64.0  # largest mean of a single draw
 SEED = "quillon-mix"
 ALPHA = 0.7  # target weights: the power of a source's share
 UNIT = float(1 << 52)
+BLOCK = 1000  # equal rows that one task numbers at once
 
 
 def uniform(*parts: Column) -> Column:
@@ -64,6 +67,29 @@ def rates(df: DataFrame, source_col: str, weights: dict[str, float] | None, tota
     return written(out.withColumn("_mix_sums", cumulative(F.col("_mix_rate") / F.col("_mix_draws"))), "mix_rates")
 
 
+def named(df: DataFrame, id_col: str) -> DataFrame:
+    """df with _mix_name, which no two rows share: doc_id where it is given once, else with the row's hash and number."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ids = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mix_again")).agg(F.count(F.lit(1)).alias("_mix_n"))
+    again = written(ids.where("_mix_n > 1").select("_mix_again"), "mix_repeated")
+    repeated = bool(again.take(1))
+    if not repeated and not df.where(F.col(id_col).isNull()).take(1):
+        return df.withColumn("_mix_name", name)
+    once, rest = df.where(F.col(id_col).isNotNull()), df.where(F.col(id_col).isNull())
+    if repeated:
+        same = F.col(id_col) == F.col("_mix_again")
+        rest = rest.unionByName(df.join(again, same, "left_semi"))
+        once = once.join(again, same, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    equal = rest.select(F.md5(F.to_json(row)).alias("_mix_hash"), row.alias("_mix_row")).groupBy("_mix_hash").agg(F.first("_mix_row").alias("_mix_row"), F.count(F.lit(1)).alias("_mix_n"))
+    blocks = equal.withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_n") - 1) / BLOCK)))).repartition("_mix_hash", "_mix_block")
+    first = F.col("_mix_block") * BLOCK
+    rows = blocks.withColumn("_mix_number", F.explode(F.sequence(first + 1, F.least(first + BLOCK, F.col("_mix_n")))))
+    parts = rows.select("_mix_row.*", F.col("_mix_hash"), F.col("_mix_number"))
+    parts = parts.withColumn("_mix_name", F.concat_ws(":", name, "_mix_hash", F.col("_mix_number").cast("string"))).drop("_mix_hash", "_mix_number")
+    return once.withColumn("_mix_name", name).unionByName(parts)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, total: float | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
     """The rows of df, each as often as drawn, with copy (from 1) and shuffle_key, shuffled.
 
@@ -72,8 +98,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     The rates are a small table whose size the planner knows, so it decides on a broadcast.
     """
     table = rates(df, source_col, weights, total, alpha)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    joined = df.drop("copy", "shuffle_key").join(table, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    name = F.col("_mix_name")
+    joined = named(df.drop("copy", "shuffle_key"), id_col).join(table, F.col(source_col).eqNullSafe(F.col("_mix_source")))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_mix_draws")),
         F.lit(0),
@@ -82,7 +108,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     copies = joined.withColumn("_mix_count", drawn).where("_mix_count > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), name, F.col("copy").cast("string")))
-    out = copies.withColumn("shuffle_key", key).drop("_mix_source", "_mix_rate", "_mix_draws", "_mix_sums", "_mix_count")
+    out = copies.withColumn("shuffle_key", key).drop("_mix_source", "_mix_rate", "_mix_draws", "_mix_sums", "_mix_count", "_mix_name")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -293,6 +293,18 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).count() == 0 and set(odd.columns) <= set(mixing.mix(odd).columns)
 
 
+def test_mixing_rows_without_own_id(spark):
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN -1 END AS doc_id", "'s' AS source", "CASE WHEN id % 2 = 0 THEN 'same' ELSE concat('t', id) END AS text")
+    got = [tuple(r) for r in mixing.mix(rows).select("doc_id", "text", "copy", "shuffle_key").collect()]
+    assert len({r[3] for r in got}) == len(got)
+    for some in (lambda r: r[0] is None, lambda r: r[0] == -1, lambda r: r[0] is not None and r[0] >= 0):
+        own = [r for r in got if some(r)]
+        assert len(own) == pytest.approx(2000, rel=0.1) and sum(r[2] == 1 for r in own) == pytest.approx(2000 * (1 - np.exp(-1)), rel=0.1)
+        assert sum(r[1] == "same" for r in own) == pytest.approx(1000, rel=0.15)
+    again = [tuple(r) for r in mixing.mix(rows.repartition(7, "text")).select("doc_id", "text", "copy", "shuffle_key").collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
 def test_byte_bpe(docs, odd, empty):
     import public_tokenizers
 
