@@ -114,20 +114,18 @@ def fresh(files: DataFrame) -> DataFrame:
     return own.agg(newest.alias("newest_source"), oldest.alias("oldest_output"), F.coalesce(oldest > newest, F.lit(False)).alias("passed"))
 
 
-def has_cycle(milestones: DataFrame, most_rounds: int = 50) -> bool:
+def has_cycle(milestones: DataFrame) -> bool:
     """milestones: id, deps. Nodes without open dependencies are taken away until none is left or none goes; unknown ids don't count."""
     ids = milestones.select("id").distinct()
     edges = milestones.select("id", F.explode("deps").alias("dep")).join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").distinct().cache()
     left = edges.count()
-    for _ in range(most_rounds):
-        if not left:
-            return False
+    while left:
         edges = edges.join(edges.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").distinct().checkpoint()
         now = edges.count()
         if now == left:
             return True
         left = now
-    return left > 0
+    return False
 
 
 def missing_items(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

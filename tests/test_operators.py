@@ -286,3 +286,9 @@ def test_rolling_training(spark):
     w = spark.createDataFrame(rows, "stock_code long, date date, window array<array<double>>, label double")
     out = learning.rolling_train_predict(w, ["2020-01-08", "2020-01-14"], learning.TrainingSettings(hidden=2, epochs=2))
     assert out.count() == 6 * 12 and out.where("date <= '2020-01-08'").count() == 0
+
+
+def test_long_chain_is_no_cycle(spark):
+    chain = [(i, [i - 1] if i else []) for i in range(55)]
+    assert not vf.has_cycle(spark.createDataFrame(chain, "id long, deps array<long>"))
+    assert vf.has_cycle(spark.createDataFrame([*chain, (0, [54])], "id long, deps array<long>"))
