@@ -14,6 +14,7 @@ opened through pyarrow's file systems.
 Ids are produced by the tokenizers library. Its cost is mostly per call, so a
 text is cut at safe places (before white space after a character that isn't, and
 between a letter and punctuation) and each distinct piece is encoded once per worker; the ids are those of the text.
+A text that holds an added token of the tokenizer is encoded whole.
 
 Entry value: n ids, running count of ids in the shard, ids as little-endian
 unsigned 16-bit integers if all fit, else 32-bit.
@@ -76,7 +77,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
         self.letters = byte_letters()
 
@@ -102,12 +103,19 @@ class Encoder:
         self.learn(set(units))
         return np.frombuffer(b"".join(map(self.known.__getitem__, units)), dtype="<u4")
 
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """The ids of each text. Arrow cuts all texts at once; those that its simpler cuts don't suit go one by one."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
         odd = pc.match_substring_regex(texts, UNSUITED).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd |= whole
         cut = pc.replace_substring(pc.replace_substring_regex(texts, WORD_END, r"\1" + CUT + r"\2"), " ", CUT + " ")
         cut = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), cut), CUT)
         coded = cut.flatten().dictionary_encode()
@@ -120,7 +128,7 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         all_ids = ids[np.repeat(starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
         edges = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-        return [self.encode_one(texts[i].as_py()) if odd[i] else all_ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+        return [self.encode_whole(texts[i].as_py()) if whole[i] else self.encode_one(texts[i].as_py()) if odd[i] else all_ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=1)

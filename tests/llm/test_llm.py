@@ -150,6 +150,19 @@ def test_sstable_cut_is_safe():
         assert plain.encode(t, add_special_tokens=False).ids == ids.tolist(), repr(t)
 
 
+def test_sstable_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    alphabet = ["<|endoftext|>", "<|endoftext", "|>", "a", "b ", " c", "  ", "\n", ".", "12", "é", "\x00"]
+    many = ["a<|endoftext|>b", *("".join(rng.choice(alphabet, rng.integers(0, 12))) for _ in range(2000))]
+    for t, ids in zip(many, sstable.Encoder(path).encode(many)):
+        assert plain.encode(t, add_special_tokens=False).ids == ids.tolist(), repr(t)
+
+
 def test_toxicity(spark, docs, odd):
     big = "/root/testdata/sf0.1"
     all_docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
