@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, small_batches
 
 LONG = 1 << 16  # characters of a piece, about
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -82,6 +82,7 @@ def decoded_column(ids: Column, path: str, pattern: str = public_tokenizers.PATT
 
 def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """id_col, n_tokens, ids_sha256 and decoded_sha256 of each row; only digests leave the worker."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def run(texts: pd.Series) -> pd.DataFrame:

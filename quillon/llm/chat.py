@@ -11,9 +11,10 @@ the first character of any control string of this or of common templates. So no
 control string stands in an escaped text, and unescaping gives the text back.
 
 Defined cases: a null text or role is empty; turns are ordered by (turn, role,
-text), nulls first; repeated rows are turns of their own; rows without conv_id
-are one conversation; no rows give no examples; other columns are left out. The
-output of a conversation grows with the square of its turns, as the method says.
+text), nulls first; repeated rows are turns of their own; a row without conv_id
+belongs to no other, so it is a conversation of one turn; no rows give no examples;
+other columns are left out. The output of a conversation grows with the square of
+its turns, as the method says.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-
 #: The marks of the template.
 OPEN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|</?SYS>>)"
@@ -40,7 +39,10 @@ def unescape(text: Column) -> Column:
 def examples(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
     """conv_col, example, formatted, loss_start (code points from 1), loss_length, trainable."""
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = df.groupBy(F.col(conv_col)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text")))).alias("turns"))
+    rows = df.select(F.col(conv_col), F.struct(F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text")).alias("turn"))
+    known, loose = F.col(conv_col).isNotNull(), F.col(conv_col).isNull()
+    turns = rows.where(known).groupBy(conv_col).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    turns = turns.unionByName(rows.where(loose).select(conv_col, F.array("turn").alias("turns")))
     said = F.transform(
         "turns",
         lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SAYS)).alias("head"), escape(t["text"]).alias("body"), (t["role"] == target).alias("trainable")),
@@ -77,11 +79,14 @@ def parsed(formatted: Column) -> Column:
 def digest(made: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """What the examples of each conversation say when they are read back."""
     loss = unescape(F.substring("formatted", F.col("loss_start"), F.col("loss_length")))
-    back = made.groupBy(conv_col).agg(
+    known, loose = F.col(conv_col).isNotNull(), F.col(conv_col).isNull()
+    back = made.where(known).groupBy(conv_col).agg(
         F.max_by("formatted", "example").alias("full"),
         F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("trainable"), F.struct("example", loss.alias("said"))))), lambda x: x["said"]), "").alias("loss"),
     )
+    alone = made.where(loose).select(conv_col, F.col("formatted").alias("full"), F.length("formatted").cast("long").alias("formatted_chars"), F.when(F.col("trainable"), loss).otherwise("").alias("loss"))
+    back = back.unionByName(alone)
     back = back.withColumn("turns", parsed(F.col("full")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -108,11 +113,12 @@ ORACLE_SQL = {
     "op10_chat": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-p AS (SELECT *, {len(OPEN + SAYS + END)} + length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="text")}) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
-c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM p)
+p AS (SELECT *, {len(OPEN + SAYS + END)} + length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="text")}) AS size, row_number() OVER (PARTITION BY conv_id, loose ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id, loose) AS n
+ FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS loose FROM t)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id, loose ORDER BY i) AS upto FROM p)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, loose
 """
 }

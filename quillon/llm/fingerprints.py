@@ -4,31 +4,38 @@ A paragraph is a line without its break, cut after every 200 code points; its
 digest is xxhash64. A sketch has three parts of cells; each digest goes into one
 cell of each part, and a cell holds (count, XOR of digests, XOR of checks). Two
 sketches of one size subtract cell by cell; peeling cells that hold a single
-digest recovers the digests found in only one of two texts. Where peeling stops
-early, the sets are dealt into stripes of a few digests, and each stripe is
-sketched for its size; a stripe that fails is built again, larger and with
-another hash, so that the work follows the number of paragraphs.
+digest recovers the digests found in only one of two texts.
+
+Where peeling the fingerprints stops early, the counts left in their cells say
+about how many digests differ: a cell's count is a sum of so many signs. The
+digests are then dealt by value into stripes that each hold a few differing ones,
+and each stripe is sketched, subtracted and peeled; a stripe that fails is built
+again with twice the cells and another hash, until it succeeds. Digests are
+sorted once and a stripe is found by binary search, so the work is n log n.
 
 Defined cases: a null text is an empty one, without paragraphs; blank lines have
 no paragraph; repeated paragraphs of a text count once; two texts without
 paragraphs have likeness 1; a document without doc_id stands outside the order
-and has the empty text as its next; rows of one doc_id are ordered by their
-text; an empty table gives an empty result; other columns are left out.
+and has the empty text as its next; rows of one doc_id are ordered by a hash of
+their text, then by it; identifiers that aren't integers are ordered by the bytes
+of their text; an empty table gives an empty result; other columns are left out.
+A stripe that can't be peeled at any of ATTEMPTS sizes, which takes two digests
+with equal checks, is reported: its likeness is null, never guessed.
 """
 
 from __future__ import annotations
 
-from math import isqrt
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, let
+from .shared import documents, let, written
 
 PIECE = r"[^\n]{1,200}"
 BASE_WIDTH = 8  # cells in each of the three parts of the fingerprint
-STRIPE_KEYS = 10  # digests that a stripe is meant to hold
-ATTEMPTS = 3  # sizes tried for a stripe, each twice the one before
+STRIPE_KEYS = 10  # differing digests that a stripe is meant to hold
+STRIPE_WIDTH = 10  # cells in each of its three parts at first
+ATTEMPTS = 12  # sizes of a stripe, each twice the one before
+MARGIN = 1.3  # stripes are made for so many times the estimated difference
 ROUNDS = 16
 CELL = "array<struct<c:int,k:bigint,h:bigint>>"
 
@@ -38,7 +45,7 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda piece: F.xxhash64(piece)))
 
 
-def _check(key: Column, salt: int) -> Column:
+def _check(key: Column, salt: int | Column) -> Column:
     return F.xxhash64(key, F.lit(salt))
 
 
@@ -57,7 +64,7 @@ def _added(cell: Column, i: Column, entries: Column, sign: int) -> Column:
     )
 
 
-def sketch(keys: Column, width: Column, salt: int) -> Column:
+def sketch(keys: Column, width: Column, salt: int | Column) -> Column:
     """The cells of one sketch."""
     empty = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
     entries = F.transform(F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k, salt).alias("h"))), lambda e: _entry(e["k"], e["h"], F.lit(1), width))
@@ -68,7 +75,7 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
 
-def peel(cells: Column, width: Column, salt: int) -> Column:
+def peel(cells: Column, width: Column, salt: int | Column) -> Column:
     """struct(ok, removed, added): the digests of the first and of the second sketch alone."""
     none = F.array().cast("array<bigint>")
     state = F.struct(cells.cast(CELL).alias("cells"), none.alias("removed"), none.alias("added"), F.lit(True).alias("open"))
@@ -96,27 +103,59 @@ def peel(cells: Column, width: Column, salt: int) -> Column:
     )
 
 
-def _attempt(a: Column, b: Column, width: Column, attempt: int) -> Column:
-    """Both stripes sketched, subtracted and peeled; on failure again with twice the cells, at last set against set."""
-    if attempt > ATTEMPTS:
-        return F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("removed"), F.array_except(b, a).alias("added"))
-    wide = width * 2 ** (attempt - 1)
-    made = peel(subtract(sketch(a, wide, attempt), sketch(b, wide, attempt)), wide, attempt)
-    return let(made, lambda r: F.when(r["ok"], r).otherwise(_attempt(a, b, width, attempt + 1)))
+def estimated(cells: Column, width: int, n_a: Column, n_b: Column) -> Column:
+    """About how many digests differ, from the counts of subtracted cells.
+
+    With d differing digests of which n_a - n_b are the surplus of one side, the squares
+    of a part's counts sum up to d (1 - 1 / width) + (n_a - n_b)^2 / width on average.
+    """
+    squares = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["c"] * c["c"]) / 3
+    d = (squares - (n_a - n_b) * (n_a - n_b) / F.lit(float(width))) / (1 - 1 / width)
+    return F.least(F.greatest(F.ceil(d * MARGIN), F.abs(n_a - n_b).cast("bigint"), F.lit(STRIPE_KEYS)), (n_a + n_b).cast("bigint"))
+
 
+def leading(n: Column, holds) -> Column:
+    """How many of the places 1..n hold, from the first on, where those that do come first; by bisection."""
+    between = F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi"))
 
-def _striped(a: Column, b: Column) -> Column:
-    """The difference by sketches sized for all digests of both sets, stripe by stripe."""
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1).cast("int")
+        halves = F.when(holds(middle + 1), F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+        return F.when(s["lo"] < s["hi"], halves).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n.cast("bigint")))), between, step, lambda s: s["lo"])
+
+
+def _stripe_difference(a: Column, b: Column) -> Column:
+    """Sketches of a few digests, larger and with another hash until peeling succeeds."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(False).alias("ok"), none.alias("removed"), none.alias("added"))
+
+    def attempt(s: Column, i: Column) -> Column:
+        width = (F.lit(STRIPE_WIDTH) * F.pow(F.lit(2.0), i - 1)).cast("int")
+        made = let(width, lambda w: peel(subtract(sketch(a, w, i), sketch(b, w, i)), w, i))
+        return F.when(s["ok"], s).otherwise(made)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), start, attempt)
+
+
+def _striped(a: Column, b: Column, keys: Column) -> Column:
+    """The difference of two sets of digests, stripe by stripe, for about so many differing ones."""
+
+    def dealt(x: Column) -> Column:
+        def below(xs: Column, i: Column) -> Column:
+            """Digests before stripe i: stripes are equal ranges of the signed 64-bit values."""
+            bound = (F.floor(i * F.lit(2.0**32) / x["stripes"]) - F.lit(1 << 31)) * F.lit(1 << 32)
+            return F.when(i < x["stripes"], let(bound, lambda v: leading(F.size(xs), lambda j: F.element_at(xs, j) < v))).otherwise(F.size(xs))
+
+        def own(xs: Column, i: Column) -> Column:
+            return let(below(xs, i), lambda lo: F.slice(xs, lo + 1, below(xs, i + 1) - lo))
 
-    def sized(x: Column) -> Column:
         def stripe(i: Column) -> Column:
-            own = lambda keys: F.filter(keys, lambda k: F.pmod(k, x["stripes"]) == i)
-            pair = F.struct(own(a).alias("a"), own(b).alias("b"))
-            return let(pair, lambda p: _attempt(p["a"], p["b"], x["width"], 1))
+            return let(F.struct(own(x["a"], i).alias("a"), own(x["b"], i).alias("b")), lambda p: _stripe_difference(p["a"], p["b"]))
 
-        parts = F.transform(F.sequence(F.lit(0), x["stripes"] - 1), stripe)
         return let(
-            parts,
+            F.transform(F.sequence(F.lit(0), x["stripes"] - 1), stripe),
             lambda ps: F.struct(
                 F.forall(ps, lambda p: p["ok"]).alias("ok"),
                 F.flatten(F.transform(ps, lambda p: p["removed"])).alias("removed"),
@@ -124,23 +163,24 @@ def _striped(a: Column, b: Column) -> Column:
             ),
         )
 
-    n = F.size(a) + F.size(b)
-    stripes = F.greatest(F.lit(1), F.ceil(n / STRIPE_KEYS)).cast("int")
-    width = F.greatest(F.lit(4), F.ceil(n * 0.85 / stripes) + 1).cast("int")
-    return let(F.struct(stripes.alias("stripes"), width.alias("width")), sized)
+    stripes = F.greatest(F.ceil(keys / STRIPE_KEYS), F.lit(1)).cast("int")
+    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b"), stripes.alias("stripes")), dealt)
 
 
 def with_difference(df: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
-    """Adds out: struct(ok, removed, added), first from the fingerprints, where they fail from larger sketches."""
-    df = df.withColumn(out, peel(subtract(F.col(cells_a), F.col(cells_b)), F.lit(BASE_WIDTH), 0))
-    return df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)).otherwise(_striped(F.col(a), F.col(b))))
+    """Adds out: struct(ok, removed, added), first from the fingerprints, where they fail from striped sketches."""
+    left = f"{out}_cells"
+    df = df.withColumn(left, subtract(F.col(cells_a), F.col(cells_b)))
+    df = df.withColumn(out, peel(F.col(left), F.lit(BASE_WIDTH), 0))
+    keys = estimated(F.col(left), BASE_WIDTH, F.size(a), F.size(b))
+    return df.withColumn(out, F.when(F.col(out)["ok"], F.col(out)).otherwise(_striped(F.col(a), F.col(b), keys))).drop(left)
 
 
 def likeness(a: Column, difference: Column) -> Column:
-    """Shared paragraphs by all paragraphs of both texts."""
+    """Shared paragraphs by all paragraphs of both texts; null where they weren't recovered."""
     alone = F.size(difference["removed"])
     total = F.size(a) + F.size(difference["added"])
-    return F.when(total > 0, (F.size(a) - alone) / total).otherwise(F.lit(1.0)).cast("double")
+    return F.when(difference["ok"], F.when(total > 0, (F.size(a) - alone) / total).otherwise(F.lit(1.0))).cast("double")
 
 
 def as_hex(cells: Column) -> Column:
@@ -149,36 +189,52 @@ def as_hex(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(part(c["c"], 4), part(c["k"], 16), part(c["h"], 16))), "")
 
 
-def with_next_text(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 1500, most_buckets: int = 16384) -> DataFrame:
-    """id_col, text, next_text: the text of the next id in ascending order; the first one's after the last.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def with_next_text(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 1500, most_buckets: int = 1 << 18) -> DataFrame:
+    """id, text, next_text: the text of the next id in ascending order; the first one's after the last.
 
-    Ids are dealt into buckets of neighbouring ids between quantiles, so each text is
-    shuffled once; the first row of a bucket also goes to the one before it. The driver
-    holds most_buckets ids at most.
+    Rows are dealt into buckets of neighbours, so each text is shuffled once; the first
+    row of a bucket also goes to the one before it. The bounds between buckets are taken
+    from a sample of the keys, some eight a bucket, which sets their sizes and nothing else. Equal rows
+    of a repeated id are one row with a count until the end, and such an id is cut by
+    a hash of its texts, so neither meets in one task.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    count, least = docs.agg(F.count("id"), F.min("id")).first()
-    n = max(1, min(most_buckets, count // rows_per_bucket))
-    cuts = [least]
-    if n > 1:
-        cuts += docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
-    cuts = sorted({c for c in cuts if c is not None})
-    if not cuts:
-        return docs.select("id", "text", F.lit("").alias("next_text"))
-    step = isqrt(len(cuts)) + 1
-    coarse = F.array(*[F.lit(c) for c in cuts[::step]])
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    at_most = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("id")))
-    docs = docs.withColumn("block", at_most(coarse))
-    docs = docs.withColumn("bucket", F.when(F.col("id").isNull(), 0).otherwise((F.col("block") - 1) * step + at_most(F.element_at(fine, F.greatest("block", F.lit(1))))))
-    first = F.element_at(F.element_at(fine, F.greatest("block", F.lit(1))), F.greatest(F.col("bucket") - (F.col("block") - 1) * step, F.lit(1)))
+    key = F.col(id_col).cast("bigint") if dict(df.dtypes)[id_col] in INTEGERS else F.hex(F.encode(F.col(id_col).cast("string"), "UTF-8"))
+    docs = df.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    unnamed = docs.where("key IS NULL").select("id", "text", F.lit("").alias("next_text"))
+    rows = docs.where("key IS NOT NULL").withColumns({"h": F.lit(0).cast("bigint"), "n": F.lit(1).cast("bigint")})
+    repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "repeated_ids")
+    if repeated.take(1):
+        many = rows.join(repeated, "key", "left_semi").groupBy("id", "key", "text").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(repeated, "key", "left_anti").unionByName(many.withColumn("h", F.xxhash64("text")))
+    count = rows.count()
+    if not count:
+        return unnamed
+    buckets = max(1, min(most_buckets, count // rows_per_bucket))
+    cuts = [tuple(rows.agg(F.min(F.struct("key", "h"))).first()[0])]
+    if buckets > 1:
+        every = max(1, count // (8 * buckets))
+        found = sorted({tuple(r) for r in rows.where(F.pmod(F.xxhash64("key", "h"), F.lit(every)) == 0).select("key", "h").collect()})
+        cuts = sorted({cuts[0], *found[:: max(1, len(found) // buckets)]})
+    listed = lambda i, kind: F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast(f"array<{kind}>")  # noqa: E731  constants of the plan
+    keys, hashes = listed(0, dict(rows.dtypes)["key"]), listed(1, "bigint")
+
+    def upto(j: Column) -> Column:
+        k = F.element_at(keys, j)
+        return (k < F.col("key")) | ((k == F.col("key")) & (F.element_at(hashes, j) <= F.col("h")))
+
+    rows = rows.withColumn("bucket", leading(F.lit(len(cuts)), upto))
+    first = (F.element_at(keys, F.col("bucket")) == F.col("key")) & (F.element_at(hashes, F.col("bucket")) == F.col("h"))
     before = F.when(F.col("bucket") > 1, F.col("bucket") - 1).otherwise(F.lit(len(cuts)))
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     both = F.array(home, F.struct(before.alias("bucket"), F.lit(True).alias("guest")))
-    placed = docs.select("id", "text", F.explode(F.when(F.col("id") == first, both).otherwise(F.array(home))).alias("at")).select("id", "text", "at.bucket", "at.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", "id", F.xxhash64("text"), "text")
-    following = F.when(F.col("id").isNull(), F.lit("")).otherwise(F.lead("text").over(order))
-    return placed.withColumn("next_text", following).where(~F.col("guest")).select("id", "text", "next_text")
+    placed = rows.select("id", "key", "h", "n", "text", F.explode(F.when(first, both).otherwise(F.array(home))).alias("at")).select("id", "key", "h", "n", "text", "at.*")
+    order = Window.partitionBy("bucket").orderBy("guest", "key", "h", "text")
+    placed = placed.withColumn("after", F.lead("text").over(order)).where(~F.col("guest"))
+    copies = placed.select("id", "text", "n", "after", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("i"))
+    return copies.select("id", "text", F.when(F.col("i") < F.col("n"), F.col("text")).otherwise(F.col("after")).alias("next_text")).unionByName(unnamed)
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,18 @@
 """The signature rules of the licence scan.
 
 A rule is a regular expression over normalised text: lower-case words separated
-by one space ("version 2.0" reads "version 2 0"). Rules are written by family:
-the forms of a name are given by hand, versions and clauses are filled in.
+by one space ("version 2.0" reads "version 2 0"). Most signatures are written by hand:
+names here, whole sentences in license_sentences. Versions and clauses of named
+families are filled in.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
+from .license_sentences import SENTENCES
+
 
 class Rule(NamedTuple):
     label: str
@@ -27,8 +31,8 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Every keyword, with a space before it, contains one of these: a text without any of them has no hit.
-GATES = ["licen", "gpl", "apache", " mpl", "cecill", "permission", "clause", "bsd", "redistribution", "unencumbered", "wtfpl", "cc0", "cc by", "creative", "public domain", "reserved", "mit no"]
+#: Words that are too common to tell a licence text.
+COMMON = "a an and any are as at be by copy file for free good if in is it law library make may must name no not of on or person persons program project property purpose release same see shall software some source that the their these this to under use used version with without work works you your".split()
 
 #: Families with versions: label, keyword, forms of the name, versions.
 VERSIONED = [
@@ -106,6 +110,17 @@ CLAUSES = {
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 
 
+def gates(keywords: set[str]) -> list[str]:
+    """Few strings of which every keyword, with a space before it, contains one: again and again the word that most of the remaining keywords hold."""
+    left, chosen = {k: {w for w in k.split() if w not in COMMON} or set(k.split()) for k in keywords}, []
+    while left:
+        counts = Counter(w for words in left.values() for w in words)
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        chosen.append(" " + best)
+        left = {k: words for k, words in left.items() if chosen[-1] not in " " + k}
+    return chosen
+
+
 def _number(version: str) -> str:
     """2.0 is written "2" or "2 0"; 2.1 only "2 1"."""
     major, minor = version.split(".")
@@ -126,7 +141,7 @@ def rules() -> list[Rule]:
             out.append(Rule(f"{label}-{v}", keyword, name + n, 2, 0.95))
             out.append(Rule(f"{label}-{v}-or-later", keyword, f"{name}{n} or (?:\\(?at your option\\)? )?(?:any )?later(?: version)?", 1, 1.0))
             out.append(Rule(f"{label}-{v}-only", keyword, f"{name}{n} only", 1, 1.0))
-    out += [Rule(label, keyword, regex, p, w) for label, keyword, regex, p, w in PLAIN]
+    out += [Rule(label, keyword, regex, p, w) for label, keyword, regex, p, w in PLAIN + SENTENCES]
     for short, long in CLAUSES.items():
         label = "cc-" + short.replace(" ", "-")
         tail = "" if "nd" in short or "sa" in short else "(?! (?:sa|nc|nd) )"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_rules import GATES, Rule, rules
+from .license_rules import Rule, gates, rules
 from .shared import documents, let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,7 +27,7 @@ def normalised(text: Column) -> Column:
     """Words with one space before, between and after them.
 
     lower() equals lower-casing A-Z here: beyond ASCII, only U+0130 and U+212A
-    become ASCII letters; the first keeps a combining dot, and no rule has a k.
+    become ASCII letters; the first keeps a combining dot, and no base phrase has a k.
     """
     body = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD, " "))
     return F.concat(F.lit(" "), body, F.lit(" "))
@@ -98,7 +98,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     table = table or rules()
     any_keyword = F.lit(False)
-    for stem in sorted({next((g for g in GATES if g in " " + r.keyword), " " + r.keyword) for r in table}):
+    for stem in gates({r.keyword for r in table}):
         any_keyword = any_keyword | F.contains(F.col("norm"), F.lit(stem))
     norm = F.col("norm")
 

@@ -2,9 +2,11 @@
 
 Each document is measured once and tested by document rules. Failures are summed
 by host; a beta prior fitted to all hosts' rates (method of moments) shrinks each
-rate, so hosts with few documents stay near the common one. A host whose shrunk
-rate exceeds the limit is suspect, and loses the documents that fail any softer
-rule as well; its clean documents stay. Only counts by host are shuffled.
+rate, so hosts with few documents stay near the common one. The prior weighs as
+much as MOST_PRIOR documents at most. A host whose shrunk rate lies more than
+DEVIATIONS standard deviations of the prior above its mean is suspect, and loses
+the documents that fail any softer rule as well; its clean documents stay. Only
+counts by host are shuffled.
 
 Defined cases: a null text has no words and fails; documents without host are a
 host of their own; repeated rows count as often as they are there; an empty table
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import documents, written
+from .shared import documents, small_batches, written
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -33,7 +35,8 @@ MOST_REPEATED = 20  # percent of words in repeated windows
 MOST_SYMBOLS = 0.1  # symbols a word
 MOST_DUP_LINES = 0.3
 LEAST_MEAN, MOST_MEAN = 2.0, 15.0  # characters a word
-HOST_LIMIT = 0.5
+DEVIATIONS = 1.0  # of the fitted prior, above which a host is suspect
+MOST_PRIOR = 50.0  # documents that the prior weighs as much as, at most
 
 
 def repeated_words(words: list) -> int:
@@ -68,60 +71,60 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measured(df: DataFrame, text_col: str) -> DataFrame:
-    """df with a struct column `_measure`: the counts, base_failed and soft_failed."""
+def measured(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """df with a struct column: the counts, base_failed and soft_failed."""
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = df.withColumn("_quality_counted", counted(text))
+    df = df.withColumn("_quality_counted", counted(text))  # used many times, so it stays a column of its own
     c = F.col("_quality_counted")
     n = c["n_words"]
     word_chars = _without(text, BLANKS).cast("long")
     n_symbols = (F.length(text) - _without(text, SYMBOLS)).cast("long")
     base = (n < MIN_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * n)
     soft = (n_symbols > MOST_SYMBOLS * n) | (c["n_dup_lines"] > MOST_DUP_LINES * (F.length(text) - _without(text, "\n") + 1)) | (word_chars < LEAST_MEAN * n) | (word_chars > MOST_MEAN * n)
-    out = F.struct(n.alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), base.alias("base_failed"), soft.alias("soft_failed"))
-    return df.withColumn("_measure", out).drop("_quality_counted")
+    made = F.struct(n.alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), base.alias("base_failed"), soft.alias("soft_failed"))
+    return df.withColumn(out, made).drop("_quality_counted")
 
 
-def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(rows: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """rows: host, failed. The suspect hosts: _suspect, _suspect_rate (shrunk)."""
     hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "quality_hosts")
     share = F.col("f") / F.col("n")
     count, mean, spread, inverse = hosts.agg(F.count(F.lit(1)), F.sum("f") / F.sum("n"), F.var_samp(share), F.avg(1 / F.col("n"))).first() if hosts.take(1) else (0, None, None, None)
-    strength = prior_strength(count, mean, spread, inverse)
-    rate = (F.col("f") + F.lit(strength * (mean or 0.0))) / (F.col("n") + F.lit(strength))
+    strength, mean = prior_strength(count, mean, spread, inverse), mean or 0.0
+    rate = (F.col("f") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))
+    limit = mean + deviations * (mean * (1 - mean) / (strength + 1)) ** 0.5
     return hosts.select(F.col("host").alias("_suspect"), rate.alias("_suspect_rate")).where(F.col("_suspect_rate") > limit)
 
 
 def prior_strength(count: int, mean: float | None, spread: float | None, inverse: float | None) -> float:
-    """alpha + beta of the prior: the hosts' spread less what chance alone gives; 10 where it can't be told, 1e6 where it is all chance."""
+    """alpha + beta of the prior: the hosts' spread less what chance alone gives; 10 where it can't be told, MOST_PRIOR where it is all chance."""
     if count < 3 or not mean or mean >= 1 or spread is None:
         return 10.0
-    chance = mean * (1 - mean) * inverse
-    real = spread - chance
-    return float(min(1e6, max(1.0, (mean * (1 - mean) - real) / real))) if real > 0 else 1e6
+    real = spread - mean * (1 - mean) * inverse
+    return float(min(MOST_PRIOR, max(1.0, (mean * (1 - mean) - real) / real))) if real > 0 else MOST_PRIOR
 
 
-def _judged(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    failed = F.col("_measure.base_failed") | F.col("_measure.soft_failed")
-    small = measured(df.select(F.col(host_col).alias("host"), F.col(text_col)), text_col).select("host", failed.alias("failed"))
-    suspects = host_verdicts(small)
-    joined = measured(df, text_col).join(suspects, F.col(host_col).eqNullSafe(F.col("_suspect")), "left")
-    keep = ~F.col("_measure.base_failed") & ~(F.col("_suspect_rate").isNotNull() & F.col("_measure.soft_failed"))
-    return joined.withColumn("_quality_kept", keep).drop("_suspect", "_suspect_rate")
+def _with_verdicts(rows: DataFrame, host: Column, base: Column, soft: Column, kept: str) -> DataFrame:
+    """rows and whether each is kept; the table of suspects is small and its size known, so the planner may broadcast it."""
+    suspects = host_verdicts(rows.select(host.alias("host"), (base | soft).alias("failed")))
+    joined = rows.join(suspects, host.eqNullSafe(F.col("_suspect")), "left")
+    return joined.withColumn(kept, ~base & ~(F.col("_suspect_rate").isNotNull() & soft))
 
 
 def check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id_col, the measures, base_failed and kept of every row; measures are written once and read twice."""
-    rows = written(measured(df.select(F.col(id_col), F.col(host_col).alias("host"), F.col(text_col)), text_col).select(id_col, "host", "_measure.*"), "quality")
-    suspects = host_verdicts(rows.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed")))
-    joined = rows.join(suspects, F.col("host").eqNullSafe(F.col("_suspect")), "left")
-    keep = ~F.col("base_failed") & ~(F.col("_suspect_rate").isNotNull() & F.col("soft_failed"))
-    return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    rows = written(measured(rows, "text", "m").select("id", "host", "m.*"), "quality")
+    out = _with_verdicts(rows, F.col("host"), F.col("base_failed"), F.col("soft_failed"), "kept")
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def filtered(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The kept rows of df; texts are measured twice rather than shuffled or stored."""
-    return _judged(df, text_col, host_col).where("_quality_kept").select(*df.columns)
+    """The kept rows of df; rows are measured once and written with their measures."""
+    names = df.columns
+    rows = written(measured(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), f"row.`{text_col}`", "m"), "quality_rows")
+    return _with_verdicts(rows, F.col(f"row.`{host_col}`"), F.col("m.base_failed"), F.col("m.soft_failed"), "kept").where("kept").select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +146,8 @@ v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED}
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM v GROUP BY 1),
 q AS (SELECT count(*) AS hosts, sum(f) / sum(n) AS mean, var_samp(f / n) AS spread, avg(1 / n) AS inverse FROM h),
 p AS (SELECT *, spread - mean * (1 - mean) * inverse AS real FROM q),
-k AS (SELECT mean, CASE WHEN hosts < 3 OR mean = 0 OR mean >= 1 THEN 10 WHEN real > 0 THEN least(1e6, greatest(1, (mean * (1 - mean) - real) / real)) ELSE 1e6 END AS strength FROM p),
-s AS (SELECT source FROM h, k WHERE (f + strength * mean) / (n + strength) > {HOST_LIMIT})
+k AS (SELECT mean, CASE WHEN hosts < 3 OR mean = 0 OR mean >= 1 THEN 10 WHEN real > 0 THEN least({MOST_PRIOR}, greatest(1, (mean * (1 - mean) - real) / real)) ELSE {MOST_PRIOR} END AS strength FROM p),
+s AS (SELECT source FROM h, k WHERE (f + strength * mean) / (n + strength) > mean + {DEVIATIONS} * sqrt(mean * (1 - mean) / (strength + 1)))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND NOT (soft_failed AND source IN (SELECT source FROM s)) AS kept FROM v
 """

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where it is unset in local mode (tests), a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -33,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on the session sends at most so many bytes to a Python worker at once, or what it was set to if that is less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, f"{most}b").removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and use it several times inside body."""
     return F.element_at(F.transform(F.array(value), body), 1)

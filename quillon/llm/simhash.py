@@ -1,18 +1,22 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Fingerprints are made of a text's 3-word shingles; equal ones are one node. Two
-nodes link when at most two of their 64 bits differ. Two differing bits touch at
-most two of eight 8-bit blocks, so linked nodes agree on the other six: for each
-of the 28 choices of two blocks, nodes are dealt by the bits of the other six,
-which is the part of the trie where no error may be spent. Below that, nodes of
-one deal form binary tries of depth 16; pairs of trie nodes go down together,
-count differing bits and are dropped once they exceed the budget. A deal holds
-at most 65,536 fingerprints whatever the size of the corpus, and copies never
-meet as rows.
+nodes link when at most two of their 64 bits differ. The distinct fingerprints
+form a binary trie of 64 levels, and pairs of its nodes go down together from
+(root, root): each step pairs the children, adds the bits in which they differ,
+and drops a pair once it has more than two.
+
+The top of the walk is done on tables of trie nodes and their sizes, STEP levels
+at a time. A pair of nodes that hold at most MOST fingerprints goes to one task,
+which walks on in arrays, depth first and WIDE pairs at a time; larger ones go
+deeper, so hot regions of the trie are split until they are small, and copies
+never meet as rows. A fingerprint is sent to the pairs of its node: some d*d/4 at
+depth d, and d grows with the logarithm of the number of fingerprints.
 
 Links become components by alternating large and small stars: minima are taken
 with partial aggregates and joined back, so a hub is never gathered in one task,
-and each round is cut by checkpoint() in the shared folder.
+and each round is cut by checkpoint() in the shared folder. Rounds go on until
+nothing changes.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint
 zero and link like others; fewer than three words are one shingle; a row without
@@ -23,42 +27,54 @@ columns are left out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import documents, written
+from .shared import documents, small_batches, written
 
 SEED = 42
 SHINGLE = 3
 BUDGET = 2
-BLOCK = 8
-PAIRS = list(combinations(range(64 // BLOCK), 2))
 CHUNK = 1 << 15  # shingles whose bits are counted at once
+STEP = 3  # levels of the trie that the walk over tables goes down at once
+MOST = 1 << 13  # fingerprints below a pair of nodes that one task takes
+WIDE = 1 << 17  # pairs of nodes that a task holds at one level
+PART = 1 << 20  # bytes of a text that are split into words at once
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def simhash(text: str | None) -> int:
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
+def hashes(text: str | None) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, part by part; the last words of a part begin the next."""
+    raw, at, words, any_ = (text or "").encode().lower(), 0, [], False  # bytes: A-Z only
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        hashes = [digest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(SHINGLE)))]
-    bits = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(bits), CHUNK):
-        ones += np.unpackbits(bits[at : at + CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_ = ones * 2 > len(bits)
-    return int(np.packbits(set_, bitorder="little").view("<i8")[0])
+    while at < len(raw):
+        cut = BLANK.search(raw, at + PART)
+        end = cut.start() if cut else len(raw)
+        words += raw[at:end].split()  # ASCII white space only
+        if len(words) >= SHINGLE:
+            any_ = True
+            yield np.array([digest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(SHINGLE)))], dtype="<u8")
+            words = words[1 - SHINGLE :]
+        at = end
+    if words and not any_:
+        yield np.array([digest(b" ".join(words), SEED)], dtype="<u8")
+
+
+def simhash(text: str | None) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes(text):
+        n += len(part)
+        for at in range(0, len(part), CHUNK):
+            ones += np.unpackbits(part[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
 @F.pandas_udf(T.LongType())
@@ -66,34 +82,44 @@ def simhash_column(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
 
-def trie_pairs(keys: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sorted distinct keys that agree above the lowest depth bits and differ in at most budget below.
+def walk(fps: np.ndarray, roots: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of linked fingerprints below pairs of trie nodes, in parts.
 
-    One trie for each value of the upper bits; all tries of a batch go down together.
+    A node is a range of fps (unsigned, ascending within it) that agree above level.
+    roots: rows (from, to, from, to, bits that differ so far); both nodes of a pair are
+    the same one or apart. Fingerprints alone in their nodes are compared at once.
     """
-    roots = np.unique(keys >> depth)
-    left = right = np.arange(len(roots))
-    spent = np.zeros(len(roots), np.int8)
-    nodes = roots
-    for level in range(depth - 1, -1, -1):
-        below = np.unique(keys >> level)
-        child = np.searchsorted(below, nodes << 1)  # of the 0 bit; the 1 bit's is the next, if there
-        has0 = (child < len(below)) & (below[np.minimum(child, len(below) - 1)] == nodes << 1)
-        one = child + has0
-        has1 = (one < len(below)) & (below[np.minimum(one, len(below) - 1)] == (nodes << 1) + 1)
-        kid, has = (child, one), (has0, has1)
-        found = []
-        for a, b in ((0, 0), (1, 1), (0, 1), (1, 0)):
-            ok = has[a][left] & has[b][right]
-            if a != b:
-                ok &= spent < budget
-            if (a, b) == (1, 0):
-                ok &= left != right  # the other order of a node with itself
-            found.append((kid[a][left[ok]], kid[b][right[ok]], spent[ok] + (a != b)))
-        left, right, spent = (np.concatenate(x) for x in zip(*found))
-        nodes = below
-    apart = left != right
-    return np.minimum(left, right)[apart], np.maximum(left, right)[apart]
+    ones: dict[int, np.ndarray] = {}
+    stack = [(level, roots)]
+    while stack:
+        level, pairs = stack.pop()
+        if len(pairs) > WIDE:
+            stack += [(level, pairs[at : at + WIDE]) for at in range(0, len(pairs), WIDE)]
+            continue
+        a, a_end, b, b_end, spent = pairs.T
+        alone = (a_end - a == 1) & (b_end - b == 1)
+        apart = alone & (a != b)
+        i, j = a[apart], b[apart]
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= BUDGET
+        if near.any():
+            yield i[near], j[near]
+        if alone.all():
+            continue
+        a, a_end, b, b_end, spent = pairs[~alone].T
+        if level not in ones:
+            ones[level] = np.concatenate([[0], np.cumsum((fps >> np.uint64(level)) & np.uint64(1), dtype=np.int64)])
+        n = ones[level]
+        a_mid, b_mid = a_end - (n[a_end] - n[a]), b_end - (n[b_end] - n[b])  # zeros come before ones
+        below = [
+            (a, a_mid, b, b_mid, spent),
+            (a_mid, a_end, b_mid, b_end, spent),
+            (a, a_mid, b_mid, b_end, spent + 1),
+            (a_mid, a_end, b, b_mid, spent + 1 + BUDGET * (a == b)),  # the other order of a node with itself
+        ]
+        children = np.concatenate([np.stack(x, axis=1) for x in below])
+        children = children[(children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= BUDGET)]
+        if len(children):
+            stack.append((level - 1, children))
 
 
 def stars(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,60 +138,93 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.n
     return nodes, least[nodes]
 
 
-def _join_deals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, rest, fp) sorted by all three: the links within each (pair, rest)."""
-    held = None
-
-    def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        pair, rest, fp = rows
-        u, v = [], []
-        first = np.r_[True, (pair[1:] != pair[:-1]) | (rest[1:] != rest[:-1])] if len(fp) else np.zeros(0, bool)
-        deal = np.cumsum(first) - 1
-        many = np.bincount(deal)[deal] > 1 if len(fp) else np.zeros(0, bool)
-        pair, fp, deal = pair[many], fp[many], deal[many]
-        for p in np.unique(pair):
-            own = pair == p
-            a, b = PAIRS[p]
-            bits, d, codes = fp[own].view(np.uint64), deal[own], np.uint64(255)
-            low = (((bits >> np.uint64(BLOCK * b)) & codes) << np.uint64(BLOCK)) | ((bits >> np.uint64(BLOCK * a)) & codes)
-            keys = (d << (2 * BLOCK)) | low.astype(np.int64)
-            order = np.argsort(keys)
-            nodes, least = stars(len(keys), *trie_pairs(keys[order], 2 * BLOCK, BUDGET))
-            u.append(fp[own][order][nodes])
-            v.append(fp[own][order][least])
-        none = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u or none)), pa.array(np.concatenate(v or none))], ["u", "v"])
+def _walk_deals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (depth, a, b, fp) sorted by the first three: for each pair of trie nodes the links below it, as stars."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        depths = rows[0]
+        for depth in np.unique(depths):
+            own = depths == depth
+            a, b, fp = rows[1][own], rows[2][own], rows[3][own].view(np.uint64)
+            order = np.lexsort((fp, b, a))
+            a, b, fp = a[order], b[order], fp[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            last = np.r_[first[1:], len(fp)]
+            code = (fp >> np.uint64(64 - depth) if depth else fp * np.uint64(0)).astype(np.int64) | (1 << int(depth))
+            middle = first + np.add.reduceat((code == a).astype(np.int64), first)  # rows of node a come first
+            same = a[first] == b[first]
+            roots = np.stack([first, np.where(same, last, middle), np.where(same, first, middle), last, np.bitwise_count((a ^ b)[first])], axis=1)
+            least = np.arange(len(fp))
+            for i, j in walk(fp, roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])], 63 - int(depth)):
+                i, j = least[i], least[j]
+                new = i != j
+                nodes, roots_ = stars(len(fp), i[new], j[new])
+                to = np.arange(len(fp))
+                to[nodes] = roots_
+                least = to[least]
+            nodes = np.flatnonzero(least != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[nodes].view(np.int64)), pa.array(fp[least[nodes]].view(np.int64))], ["u", "v"])
 
     for batch in batches:
-        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if held is not None:
-            rows = tuple(np.concatenate(x) for x in zip(held, rows))
-        if not len(rows[0]):
+        if not len(batch):
             continue
-        cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-        cut = cut[-1] + 1 if len(cut) else 0  # the last deal may go on in the next batch
-        held = tuple(x[cut:] for x in rows)
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        held = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+        size = len(held[0])
+        if size < 4 * MOST:
+            continue
+        other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+        cut = other[-1] + 1 if len(other) else 0  # the last pair may go on in the next batch
         if cut:
-            yield links(tuple(x[:cut] for x in rows))
-    if held is not None:
-        yield links(held)
+            yield from links([x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held and len(held[0]):
+        yield from links(held)
+
 
+def trie_node(depth: int, fp: str = "fp") -> Column:
+    """The node above a fingerprint: a one and its first bits."""
+    return F.shiftrightunsigned(fp, 64 - depth).bitwiseOR(F.lit(1 << depth)) if depth else F.lit(1).cast("long")
 
-def linked(nodes: DataFrame) -> DataFrame:
+
+def node_pairs(nodes: DataFrame, most: int = MOST) -> dict[int, DataFrame]:
+    """By depth, the pairs (a, b) of trie nodes within the budget that hold at most `most` fingerprints and whose parents hold more."""
+    n = nodes.count()
+    pairs = nodes.sparkSession.range(1).select(F.lit(1).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    if n <= most:
+        return {0: pairs}
+    found, depth = {}, 0
+    while True:
+        depth += STEP
+        sizes = written(nodes.groupBy(trie_node(depth).alias("node")).agg(F.count(F.lit(1)).alias("n")), "trie_nodes")
+        side = lambda x: sizes.select(F.shiftright("node", STEP).alias(x), F.col("node").alias(f"{x}_child"), F.col("n").alias(f"{x}_n"))  # noqa: E731, B023
+        down = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a_child") <= F.col("b_child")) & (F.bit_count(F.col("a_child").bitwiseXOR(F.col("b_child"))) <= BUDGET))
+        held = F.when(F.col("a_child") == F.col("b_child"), F.col("a_n")).otherwise(F.col("a_n") + F.col("b_n"))
+        down = written(down.select(F.col("a_child").alias("a"), F.col("b_child").alias("b"), held.alias("held")).where("held > 1"), "trie_pairs")
+        small = (F.col("held") <= most) | F.lit(depth + STEP > 60)  # 16 fingerprints at most lie below a node there
+        found[depth] = down.where(small).select("a", "b")
+        pairs = down.where(~small).select("a", "b")
+        if not pairs.take(1):
+            return found
+
+
+def linked(nodes: DataFrame, most: int = MOST) -> DataFrame:
     """(u, v): links between distinct fingerprints fp that join the same components as all links do."""
-    masks = []
-    for i, (a, b) in enumerate(PAIRS):
-        mask = ((1 << 64) - 1) & ~(255 << (BLOCK * a)) & ~(255 << (BLOCK * b))
-        masks.append(F.struct(F.lit(i).alias("pair"), F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long").alias("mask")))
-    dealt = nodes.select("fp", F.explode(F.array(*masks)).alias("m")).select(F.col("m.pair").alias("pair"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("rest"), "fp")
-    return dealt.repartition("pair", "rest").sortWithinPartitions("pair", "rest", "fp").mapInArrow(_join_deals, "u long, v long").distinct()
+    dealt = None
+    for depth, pairs in node_pairs(nodes, most).items():
+        ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("end"))
+        rows = nodes.select("fp", trie_node(depth).alias("end")).join(ends, "end").select(F.lit(depth).cast("long").alias("depth"), "a", "b", "fp")
+        dealt = rows if dealt is None else dealt.unionByName(rows)
+    return dealt.repartition("depth", "a", "b").sortWithinPartitions("depth", "a", "b").mapInArrow(_walk_deals, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of edges (u, v) with the least node that it reaches, roots themselves left out."""
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -177,11 +236,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp (long) and component_id of every row."""
+    small_batches(df.sparkSession)
     docs = written(df.select(F.col(id_col).alias("id"), simhash_column(F.col(text_col).cast("string")).alias("fp")), "simhash")
     nodes = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "simhash_nodes")
     roots = components(linked(nodes))

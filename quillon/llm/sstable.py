@@ -11,35 +11,38 @@ A shard is written under a name of its own attempt and then renamed, so a task
 that runs again leaves the same file. All files lie in the shared folder and are
 opened through pyarrow's file systems.
 
-Ids are produced by the tokenizers library. Its cost is mostly per call, so a
-text is cut at safe places (before white space after a character that isn't, and
-between a letter and punctuation) and each distinct piece is encoded once per worker; the ids are those of the text.
-A text that holds an added token of the tokenizer is encoded whole.
+Ids are produced by the tokenizers library from whole texts, some megabytes of text
+a call. A text over LONG characters is cut where no match of the splitting pattern
+and no added token can span (before a space or line feed after a character that isn't
+white space), as the library needs over a hundred bytes for each of its tokens.
+
+Shards are made for about shard_bytes of text and some bytes a row, so a task's work,
+its index and its filter stay the same size however large the corpus.
 
 Entry value: n ids, running count of ids in the shard, ids as little-endian
 unsigned 16-bit integers if all fit, else 32-bit.
 
 Defined cases: a null or empty text has the end id only; null identifiers come
-first; rows of one identifier are separate entries in the order of their text; an
-empty table gives no shards; other columns are left out.
+first; rows of one identifier are separate entries in the order of a hash of their
+text, then of the text, and may lie in several shards; an empty table gives no shards;
+other columns are left out.
 """
 
 from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -47,93 +50,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, new_folder
+from .byte_bpe import pieces
+from .shared import documents, new_folder, small_batches
 
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, length; filter at, length; entries; ids; MAGIC
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-KNOWN = 600_000  # pieces whose ids a worker keeps, some 200 bytes each
-
-#: Runs of white space and what follows. Python also counts 1C-1F as white space; the splitting pattern doesn't.
-UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-
-#: Texts where a space follows white space, or that hold the mark of a cut, aren't cut before every space.
-CUT = "\x00"
-UNSUITED = "\x00|[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
-WORD_END = "([A-Za-z])([,.;:!?|*$%&#<>])"
-
-
-def byte_letters() -> dict[int, int]:
-    """Byte-level BPE spells bytes as letters: printable Latin-1 stands for itself, the others follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-
-
-class Encoder:
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.known: dict[str, bytes] = {}
-        self.letters = byte_letters()
-
-    def learn(self, units: Iterable[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(units)
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for unit in new:
-            if unit[unit[:1] == " " :].isalpha():  # a single match of the splitting pattern: the model's own input
-                ids = [t.id for t in tokenize(unit.encode().decode("latin-1").translate(self.letters))]
-                self.known[unit] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(unit)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-
-    def encode_one(self, text: str) -> np.ndarray:
-        units = UNIT.findall(text)
-        self.learn(set(units))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), dtype="<u4")
-
-    def encode_whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
-        """The ids of each text. Arrow cuts all texts at once; those that its simpler cuts don't suit go one by one."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        if not len(texts):
-            return []
-        odd = pc.match_substring_regex(texts, UNSUITED).to_numpy(zero_copy_only=False)
-        whole = np.zeros(len(texts), bool)
-        for token in self.added:
-            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        odd |= whole
-        cut = pc.replace_substring(pc.replace_substring_regex(texts, WORD_END, r"\1" + CUT + r"\2"), " ", CUT + " ")
-        cut = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), cut), CUT)
-        coded = cut.flatten().dictionary_encode()
-        units, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.learn(units)
-        own = [self.known[u] for u in units]
-        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        ids, starts = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(lengths) - lengths
-        sizes = lengths[which]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        all_ids = ids[np.repeat(starts[which] - ends[:-1], sizes) + np.arange(ends[-1])]
-        edges = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-        return [self.encode_whole(texts[i].as_py()) if whole[i] else self.encode_one(texts[i].as_py()) if odd[i] else all_ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+SHARD_BYTES = 32 << 20
+ROW_BYTES = 64  # that a row counts for besides its text
+CALL = 1 << 20  # characters that one call encodes, about
+LONG = 1 << 20  # characters of a piece of a very long text, about
+
+
+def encoded(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text, in order; a call takes about CALL characters, or one piece of a longer text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CALL):
+            size += len(texts[end])
+            end += 1
+        if end - at > 1 or size <= LONG:
+            for e in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4")
+        else:
+            yield np.concatenate([np.array(tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids, dtype="<u4") for p in pieces(texts[at], LONG)])
+        at = end
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def loaded(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
 
 
 def key_of(identifier) -> bytes:
@@ -151,16 +103,21 @@ def identifier_of(key: bytes):
     return key[1:].decode() if key[0] == 2 else struct.unpack(">Q", key[1:])[0] - (1 << 63)
 
 
+def key_hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
 def bloom_places(key: bytes, bits: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
-    return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
+    a, b = key_hashes(key)
+    return [((a + i * b) & 0xFFFFFFFFFFFFFFFF) % bits for i in range(BLOOM_HASHES)]
 
 
 class Writer:
     """Writes entries in ascending key order to an open binary stream."""
 
     def __init__(self, out):
-        self.out, self.at, self.index, self.places_of = out, 0, [], []
+        self.out, self.at, self.index = out, 0, []
+        self.hashes = array("Q"), array("Q")  # 16 bytes a key
         self.block, self.size, self.first, self.last = [], 0, b"", b""
         self.entries = self.ids = 0
         self.packer = zstandard.ZstdCompressor(level=1)
@@ -175,7 +132,8 @@ class Writer:
         self.block += [head, key[shared:], body]
         self.size += len(head) + len(key) - shared + len(body)
         self.last = key
-        self.places_of.append(key)
+        for known, h in zip(self.hashes, key_hashes(key)):
+            known.append(h)
         self.entries += 1
         self.ids += len(ids)
         if self.size >= BLOCK_BYTES:
@@ -194,8 +152,9 @@ class Writer:
         index = b"".join(struct.pack("<HQI", len(k), at, n) + k for k, at, n in self.index)
         bits = max(64, self.entries * BLOOM_BITS)
         bloom = np.zeros((bits + 7) // 8 * 8, bool)
-        for key in self.places_of:
-            bloom[bloom_places(key, bits)] = True
+        a, b = (np.frombuffer(h, np.uint64) if h else np.zeros(0, np.uint64) for h in self.hashes)
+        for i in range(BLOOM_HASHES):
+            bloom[(a + np.uint64(i) * b) % np.uint64(bits)] = True  # wraps at 64 bits
         filter_ = struct.pack("<Q", bits) + np.packbits(bloom, bitorder="little").tobytes()
         self.out.write(index + filter_)
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(filter_), self.entries, self.ids, MAGIC))
@@ -256,16 +215,16 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes df's texts; returns the manifest (shard, file, first, last, entries, ids), a row for each shard.
-
-    shards: by default as many as Spark's shuffle partitions.
-    """
+def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes df's texts; returns the manifest (shard, file, first, last, entries, ids), a row for each shard."""
     spark = df.sparkSession
+    small_batches(spark)
     is_text = dict(df.dtypes)[id_col] == "string"
     kind = "string" if is_text else "bigint"
     rows = df.select((F.col(id_col) if is_text else F.col(id_col).cast("bigint")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "text")
+    size = rows.agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES).cast("long"))).first()[0] or 0
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(size // shard_bytes + 1, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -277,11 +236,9 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
         with fs.open_output_stream(temporary) as out:
             made = Writer(out)
             for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.slice(at, 1024)
-                    for last, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(part.column(1))):
-                        first = last if made.entries == 0 else first
-                        made.add(key_of(last), np.append(ids, np.uint32(END_ID)).astype("<u4"))
+                for last, ids in zip(batch.column(0).to_pylist(), encoded(loaded(tokenizer), batch.column(1).to_pylist())):
+                    first = last if made.entries == 0 else first
+                    made.add(key_of(last), np.append(ids, np.uint32(END_ID)).astype("<u4"))
             made.close()
         if not made.entries:
             fs.delete_file(temporary)

@@ -6,15 +6,19 @@ others get a weight. Severity grades are ordered;
 one weight vector is shared by all thresholds: P(grade <= k) = s(t_k - w x), with
 s the logistic function and t_1 < t_2 < ... The output is the expected grade.
 
-The labels say only toxic or not. Grades above 0 are the thirds of the share of
-features that speak for toxic texts: 1 mild, 2 strong, 3 severe.
+The labels say only toxic or not. A toxic text's grade above 0 follows how many
+distinct telling features it holds, in thirds: 1 mild, 2 strong, 3 severe. Which ones
+are telling is learnt for this from the other half of the training rows, so a text's
+own label has no part in its grade.
 
 The model is fitted on at most TRAIN_ROWS labelled rows of each class, chosen by
 a hash of doc_id; scoring covers every whole text in one pass without a shuffle.
 
 Defined cases: a null or empty text has no features and grade 0 is then the most
-likely; without labels of both classes no model can be fitted, and the error says
-so; repeated rows give equal rows; other columns are left out.
+likely; of the rows of one doc_id the least text is trained on; without labels of both
+classes, or without any, no feature gets a weight and every text has the grade that the
+labels show (0 if none is toxic, else 1); an empty table gives an empty result; repeated rows give
+equal rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import documents
+from .shared import documents, small_batches
 
 TRAIN_ROWS = 3000  # labelled rows of each class that the model is fitted on, at most
 BITS = 18
@@ -37,7 +41,7 @@ GRADES = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
 EPOCHS = 20
-LEAST_DOCS, LEAST_LIFT = 4, 5.0  # toxic training texts that hold a feature, and how much larger a share than of the others
+LEAST_DOCS, LEAST_LIFT = 3, 3.0  # toxic training texts that hold a feature, and how much larger a share than of the others
 TOXIC_FROM = 0.5  # expected severity
 
 
@@ -46,10 +50,10 @@ def features(text: str | None) -> np.ndarray:
     words = set(WORD.findall((text or "").lower()))
     found = words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
     mask = (1 << BITS) - 1
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(f) & mask for f in found), np.int64, len(found)))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(f) & mask for f in found), np.int32, len(found)))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def features_column(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t) for t in texts])
 
@@ -79,11 +83,14 @@ def telling(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades from toxic or not and from the share of telling features."""
-    known = telling(rows, toxic)
-    share = np.array([known[r].mean() if len(r) else 0.0 for r in rows])
-    edges = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
-    return np.where(toxic == 1, 1 + np.searchsorted(edges, share, side="right"), 0)
+    """Grades from toxic or not and from the number of features that the other half of the rows finds telling."""
+    amount, half = np.zeros(len(rows)), np.arange(len(rows)) % 2
+    for k in (0, 1):
+        known = telling([r for r, h in zip(rows, half) if h != k], toxic[half != k])
+        for i in np.flatnonzero(half == k):
+            amount[i] = known[rows[i]].sum()
+    edges = np.quantile(amount[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + np.searchsorted(edges, amount, side="right"), 0)
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Ordinal:
@@ -127,23 +134,27 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epoc
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Ordinal:
-    """Fits the model; at most `rows` rows of each class come to the driver, as features."""
+    """Fits the model; at most `rows` documents of each class come to the driver, as features."""
+    small_batches(df.sparkSession)
     chosen = None
     for value in (0, 1):
-        own = labels.where(F.col(label_col) == value).select(F.col(id_col).alias("label_id"), F.lit(value).alias("label_value"))
+        own = labels.where(F.col(label_col) == value).select(F.col(id_col).alias("label_id"), F.lit(value).alias("label_value")).distinct()
         own = own.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
         chosen = own if chosen is None else chosen.unionByName(own)
-    texts = df.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("label_text"))
-    got = texts.join(F.broadcast(chosen), "label_id").select("label_value", features_column("label_text").alias("f")).toPandas()
+    texts = df.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("label_text"))
+    texts = texts.join(F.broadcast(chosen), "label_id").groupBy("label_id", "label_value").agg(F.min("label_text").alias("label_text"))  # chosen has 2 * rows rows at most
+    got = texts.select("label_id", "label_value", features_column("label_text").alias("f")).toPandas().sort_values(["label_id", "label_value"])
     toxic = got["label_value"].to_numpy(np.int64)
     if len(set(toxic.tolist())) < 2:
-        raise ValueError("labels of both classes are needed")
+        share = np.clip([1 - toxic.max(initial=0), *[1] * (GRADES - 2)], 0.01, 0.99)
+        return Ordinal(np.zeros(1 << BITS), np.log(share / (1 - share)) + np.arange(GRADES - 1) * 1e-3)
     sparse = [np.asarray(f, np.int64) for f in got["f"]]
     return fit(sparse, graded(sparse, toxic))
 
 
 def score(df: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, expected_severity, grade (the most likely) and toxic of every row."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the corpus
 
     @F.pandas_udf("struct<expected_severity:double,grade:long>")
