@@ -80,12 +80,13 @@ def named(df: DataFrame, id_col: str) -> DataFrame:
         same = F.col(id_col) == F.col("_mix_again")
         rest = rest.unionByName(df.join(again, same, "left_semi"))
         once = once.join(again, same, "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    equal = rest.select(F.md5(F.to_json(row)).alias("_mix_hash"), row.alias("_mix_row")).groupBy("_mix_hash").agg(F.first("_mix_row").alias("_mix_row"), F.count(F.lit(1)).alias("_mix_n"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = rest.select(F.md5(F.to_json(F.struct(*columns))).alias("_mix_hash"), *columns)
+    equal = hashed.groupBy("_mix_hash").agg(*[F.first(c).alias(name_) for c, name_ in zip(columns, df.columns)], F.count(F.lit(1)).alias("_mix_n"))
     blocks = equal.withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_n") - 1) / BLOCK)))).repartition("_mix_hash", "_mix_block")
     first = F.col("_mix_block") * BLOCK
     rows = blocks.withColumn("_mix_number", F.explode(F.sequence(first + 1, F.least(first + BLOCK, F.col("_mix_n")))))
-    parts = rows.select("_mix_row.*", F.col("_mix_hash"), F.col("_mix_number"))
+    parts = rows.select(*columns, "_mix_hash", "_mix_number")
     parts = parts.withColumn("_mix_name", F.concat_ws(":", name, "_mix_hash", F.col("_mix_number").cast("string"))).drop("_mix_hash", "_mix_number")
     return once.withColumn("_mix_name", name).unionByName(parts)
 
