@@ -27,8 +27,8 @@ def table_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
 def id_blocks(df: DataFrame, text_col: str, keys: list[str], level: int = 3) -> DataFrame:
     """keys, block_id, title, body: the parts under headings like `### [D1] title`."""
     mark = "#" * level
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(text_col)), rf"\n{mark} (?=\[)"), 2, 1_000_000)
-    rows = df.select(*keys, F.explode(parts).alias("part"))
+    parts = F.split(F.concat(F.lit("\n"), F.col(text_col)), rf"\n{mark} (?=\[)")
+    rows = df.select(*keys, F.posexplode(parts).alias("_at", "part")).where("_at > 0").drop("_at")
     return rows.select(
         *keys,
         F.regexp_extract("part", r"^\[([^\]]+)\]", 1).alias("block_id"),
@@ -42,10 +42,29 @@ def section(text: Column, title: str) -> Column:
     return F.regexp_extract(text, rf"(?s)(?:^|\n)## {title}[^\n]*\n(.*?)(?=\n## |\z)", 1)
 
 
+def bare_objects(text: Column) -> Column:
+    """The outermost {...} of a text, however deep they nest; braces inside JSON strings don't count."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("since"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.array().cast("array<struct<at:int,n:int>>").alias("found"))
+    marks = F.regexp_extract_all(text, F.lit(r'[^{}"\\]+|[{}"\\]'), F.lit(0))  # runs without meaning are one mark
+
+    def step(s: Column, mark: Column) -> Column:
+        at = s["since"] + F.length(mark)
+        opens, closes = ~s["quoted"] & (mark == "{"), ~s["quoted"] & (mark == "}") & (s["depth"] > 0)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        last = F.element_at(s["found"], -1)
+        found = F.when(opens & (s["depth"] == 0), F.concat(s["found"], F.array(F.struct(at.alias("at"), F.lit(0).alias("n"))))).when(
+            closes & (depth == 0), F.concat(F.slice(s["found"], F.lit(1), F.size(s["found"]) - 1), F.array(F.struct(last["at"].alias("at"), (at - last["at"] + 1).alias("n"))))
+        ).otherwise(s["found"])
+        quoted = F.when((mark == '"') & ~s["escaped"] & (s["depth"] > 0), ~s["quoted"]).otherwise(s["quoted"])
+        return F.struct(depth.alias("depth"), at.alias("since"), quoted.alias("quoted"), (s["quoted"] & (mark == "\\") & ~s["escaped"]).alias("escaped"), found.cast("array<struct<at:int,n:int>>").alias("found"))
+
+    places = F.aggregate(marks, start, step, lambda s: s["found"])
+    return F.transform(F.filter(places, lambda p: p["n"] > 0), lambda p: F.substring(text, p["at"], p["n"]))
+
+
 def json_in(text: Column) -> Column:
     """The JSON of an answer: the whole, else a fenced block, else the last object that stands bare."""
-    whole = F.trim(text)
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.length(c) > 0), c)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n(.*?)\n```", 1)
-    bare = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"), F.lit(1)), F.lit(-1))
-    valid = lambda c: F.when(F.expr("true") & F.try_parse_json(c).isNotNull() & (F.length(c) > 0), c)
-    return F.coalesce(valid(whole), valid(fenced), valid(F.when(F.size(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"), F.lit(1))) > 0, bare)))
+    bare = F.filter(bare_objects(text), lambda c: F.try_parse_json(c).isNotNull())
+    return F.coalesce(valid(F.trim(text)), valid(fenced), F.try_element_at(bare, F.lit(-1)))

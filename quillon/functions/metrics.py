@@ -65,10 +65,8 @@ def psr_z(r: Column, rf: float = 0.0, target: float = 0.0) -> Column:
     """The statistic of the probabilistic Sharpe ratio, from bias-corrected skewness and kurtosis; null if degenerate."""
     n = F.count(r).cast("double")
     sr = F.when(F.stddev_samp(r) > 0, F.try_divide(F.avg(r) - rf, F.stddev_samp(r)))
-    var = F.var_pop(r)
-    m1, m2, m3, m4 = F.avg(r), F.avg(r * r), F.avg(r * r * r), F.avg(r * r * r * r)
-    g1 = F.try_divide(m3 - 3 * m1 * m2 + 2 * F.pow(m1, F.lit(3)), F.pow(var, F.lit(1.5)))
-    g2 = F.try_divide(m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * F.pow(m1, F.lit(4)), var * var) - 3
+    varies = F.var_pop(r) > 0
+    g1, g2 = F.when(varies, F.skewness(r)), F.when(varies, F.kurtosis(r))  # from central moments
     skew = g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
     kurt = F.when(n > 3, F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)) + 3).when(n == 3, g2 + 3)
     inside = 1 - skew * sr + (kurt - 1) / 4 * sr * sr

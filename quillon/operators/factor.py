@@ -11,20 +11,29 @@ from ..functions.metrics import performance_summary, wealth
 from . import cross_section as xs
 
 
-def group_turnover(groups: DataFrame, by: str = "date", stock: str = "stock_code", group: str = "group") -> DataFrame:
-    """group, date, turnover: 1 - common / larger membership between a group's consecutive dates; 1 without overlap.
+def group_steps(groups: DataFrame, by: str = "date", stock: str = "stock_code", group: str = "group", ret: str | None = None) -> DataFrame:
+    """g, d, before, n, total, valid: members of each group and date by the date on which they were in the group before.
 
-    Membership is joined with its own next date by (group, stock, sequence), never gathered.
+    One window by (group, stock) and one aggregate; a row for each group and pair of dates, whatever the number of stocks.
     """
-    member = groups.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(by).alias("d"), F.col(stock).alias("s"))
-    size = member.groupBy("g", "d").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("g").orderBy("d")
-    size = size.withColumn("seq", F.row_number().over(order)).withColumn("before", F.lag("size").over(order))
-    now = member.join(size.select("g", "d", "seq"), ["g", "d"])
-    then = now.select("g", "s", (F.col("seq") + 1).alias("seq"))
-    common = now.join(then, ["g", "s", "seq"]).groupBy("g", "d").agg(F.count(F.lit(1)).alias("common"))
-    value = 1 - F.coalesce("common", F.lit(0)) / F.greatest("size", "before")
-    return size.where("before IS NOT NULL").join(common, ["g", "d"], "left").select(F.col("g").alias(group), F.col("d").alias(by), value.alias("turnover"))
+    member = groups.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(by).alias("d"), F.col(stock).alias("s"), (F.col(ret) if ret else F.lit(None)).cast("double").alias("r"))
+    member = member.withColumn("before", F.lag("d").over(Window.partitionBy("g", "s").orderBy("d")))
+    return member.groupBy("g", "d", "before").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("total"), F.count("r").alias("valid"))
+
+
+def _dated(steps: DataFrame) -> DataFrame:
+    """g, d, gross, turnover from group_steps."""
+    dates = steps.groupBy("g", "d").agg(F.sum("n").alias("size"), F.try_divide(F.sum("total"), F.sum("valid")).alias("gross"))
+    own = Window.partitionBy("g").orderBy("d")
+    dates = dates.withColumns({"last": F.lag("d").over(own), "size_before": F.lag("size").over(own)})
+    stayed = steps.where("before IS NOT NULL").select("g", "d", F.col("before").alias("last"), F.col("n").alias("common"))
+    value = F.when(F.col("size_before").isNotNull(), 1 - F.coalesce("common", F.lit(0)) / F.greatest("size", "size_before"))
+    return dates.join(stayed, ["g", "d", "last"], "left").select("g", "d", "gross", value.alias("turnover"))
+
+
+def group_turnover(groups: DataFrame, by: str = "date", stock: str = "stock_code", group: str = "group") -> DataFrame:
+    """group, date, turnover: 1 - common / larger membership between a group's consecutive dates; 1 without overlap."""
+    return _dated(group_steps(groups, by, stock, group)).where("turnover IS NOT NULL").select(F.col("g").alias(group), F.col("d").alias(by), "turnover")
 
 
 def quantile_backtest(df: DataFrame, factor: str = "factor", ret: str = "fwd", by: str = "date", n: int = 5, cost: float = 0.003, per_period_cost: bool = False, group: str | None = None) -> DataFrame:
@@ -36,13 +45,9 @@ def quantile_backtest(df: DataFrame, factor: str = "factor", ret: str = "fwd", b
     """
     rows = df.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
     rows = rows.withColumnRenamed(group, "group") if group else xs.quantile_groups(rows, factor, by, n)
-    gross = rows.groupBy(by, "group").agg(F.avg(ret).alias("gross"))
-    turn = group_turnover(rows, by)
-    if per_period_cost:
-        gross = gross.join(turn, [by, "group"], "left")
-    else:
-        gross = gross.join(turn.groupBy("group").agg(F.avg("turnover").alias("turnover")), "group", "left")
-    gross = gross.withColumn("fee", cost * F.coalesce("turnover", F.lit(0.0))).withColumn("net", F.col("gross") - F.col("fee"))
+    dated = _dated(group_steps(rows, by, ret=ret)).select(F.col("d").alias(by), F.col("g").alias("group"), "gross", "turnover")
+    charged = F.col("turnover") if per_period_cost else F.avg("turnover").over(Window.partitionBy("group"))
+    gross = dated.withColumn("fee", cost * F.coalesce(charged, F.lit(0.0))).withColumn("net", F.col("gross") - F.col("fee"))
     leg = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
     short_cost = leg(1, "fee") if per_period_cost else -leg(1, "fee")
     spread = gross.groupBy(by).agg((leg(n, "gross") - leg(1, "gross")).alias("gross"), (leg(n, "gross") - leg(1, "gross") - leg(n, "fee") - short_cost).alias("net"))

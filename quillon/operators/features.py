@@ -35,18 +35,21 @@ def forward_adjusted_vwap(df: DataFrame, sanity_min: float = 0.5, sanity_max: fl
 
 def vwap_diagnostics(df: DataFrame) -> DataFrame:
     """checked, passed, fraction and the median ratio of vwap to the adjusted close."""
-    return df.agg(
+    ratio = F.col("vwap") / F.when(F.col("close_forward") > 0, F.col("close_forward"))
+    rows = df.select(F.lit(1).alias("_all"), "checked", "passed", ratio.alias("_ratio"))
+    counts = rows.groupBy("_all").agg(
         F.sum(F.col("checked").cast("long")).alias("checked"),
         F.sum(F.col("passed").cast("long")).alias("passed"),
         F.try_divide(F.sum(F.col("passed").cast("double")), F.sum(F.col("checked").cast("double"))).alias("fraction"),
-        F.median(F.col("vwap") / F.when(F.col("close_forward") > 0, F.col("close_forward"))).alias("median_ratio"),
     )
+    median = exact_quantiles(rows.where("_ratio IS NOT NULL"), "_all", "_ratio", [0.5]).select("_all", F.col("q0").alias("median_ratio"))
+    return counts.join(median, "_all", "left").drop("_all")
 
 
 def assert_vwap(df: DataFrame, min_fraction: float = 0.95) -> None:
     row = vwap_diagnostics(df).first()
-    if not row.checked or row.fraction < min_fraction:
-        raise ValueError(f"only {row.passed or 0} of {row.checked or 0} rows have a plausible vwap")
+    if row is None or not row.checked or row.fraction < min_fraction:
+        raise ValueError(f"only {(row and row.passed) or 0} of {(row and row.checked) or 0} rows have a plausible vwap")
 
 
 def forward_labels(df: DataFrame, calendar: DataFrame, price: str = "vwap", entry_offset: int = 1, exit_offset: int = 4, code: str = "stock_code", out: str = "label") -> DataFrame:
@@ -58,7 +61,7 @@ def forward_labels(df: DataFrame, calendar: DataFrame, price: str = "vwap", entr
     if df.select("date").distinct().join(cal, "date", "left_anti").take(1):
         raise ValueError("a date isn't in the calendar")
     at = lambda name, offset: cal.select((F.col("trade_index") - offset).alias("trade_index"), F.col("date").alias(name))
-    rows = df.join(F.broadcast(cal), "date").join(F.broadcast(at("entry_date", entry_offset)), "trade_index", "left").join(F.broadcast(at("exit_date", exit_offset)), "trade_index", "left")
+    rows = df.join((cal), "date").join((at("entry_date", entry_offset)), "trade_index", "left").join((at("exit_date", exit_offset)), "trade_index", "left")
     own = df.select(F.col(code).alias("_c"), F.col("date").alias("_d"), F.when(F.col(price) > 0, F.col(price)).alias("_p"))
     for name in ("entry", "exit"):
         side = own.withColumnsRenamed({"_c": f"_c{name}", "_d": f"_d{name}", "_p": f"_p{name}"})
@@ -72,7 +75,7 @@ def window_index(df: DataFrame, calendar: DataFrame, features: Sequence[str], le
     whole = F.lit(True)
     for f in features:
         whole = whole & clean(F.col(f)).isNotNull()
-    rows = df.where(whole).join(F.broadcast(calendar.select("date", "trade_index")), "date")
+    rows = df.where(whole).join((calendar.select("date", "trade_index")), "date")
     own = Window.partitionBy(code).orderBy("date")
     rows = rows.withColumn("row_end", F.row_number().over(own).cast("long")).withColumn("row_start", F.col("row_end") - length + 1)
     gap = F.col("trade_index") - F.lag("trade_index", length - 1).over(own)
@@ -106,11 +109,40 @@ def rows_used(df: DataFrame, length: int, window_end: str, code: str = "stock_co
     return df.withColumn(out, F.coalesce(F.max(F.col(window_end).cast("int")).over(ahead) == 1, F.lit(False)))
 
 
+def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float], parts: int = 64) -> DataFrame:
+    """by, q0, q1, ...: interpolated quantiles as percentile gives them, without gathering a group's values in one task.
+
+    Approximate cuts deal a group's values into parts; counts say which part holds a wanted rank, and only the
+    values of those parts are ranked. Equal values are one row with a count, so none of them is a hot part.
+    """
+    cuts = df.groupBy(by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    values = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c")).join(cuts, by)
+    values = values.select(by, value, "_c", F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("_part"))
+    totals = values.groupBy(by, "_part").agg(F.sum("_c").alias("_n"))  # a row for each group and part
+    upto = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    all_ = F.sum("_n").over(Window.partitionBy(by))
+    place = lambda p: (all_ - 1) * F.lit(float(p))
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.floor(place(p)).alias("_lo"), F.ceil(place(p)).alias("_hi"), (place(p) - F.floor(place(p))).alias("_share")) for i, p in enumerate(probs)])
+    ends = totals.select(by, "_part", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), wanted.alias("_w"))
+    hit = F.filter("_w", lambda w: ((w["_lo"] >= F.col("_before")) & (w["_lo"] < F.col("_upto"))) | ((w["_hi"] >= F.col("_before")) & (w["_hi"] < F.col("_upto"))))
+    near = ends.select(by, "_part", "_before", hit.alias("_w")).where(F.size("_w") > 0)
+    ranked = values.join(near, [by, "_part"])
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("_last", last).select(by, value, (F.col("_last") - F.col("_c")).alias("_first"), "_last", F.explode("_w").alias("_w"))
+    at = lambda c: (F.col(f"_w.{c}") >= F.col("_first")) & (F.col(f"_w.{c}") < F.col("_last"))
+    found = []
+    for i in range(len(probs)):
+        own = F.col("_w._i") == i
+        low, high = F.max(F.when(own & at("_lo"), F.col(value))), F.max(F.when(own & at("_hi"), F.col(value)))
+        found.append((low + (high - low) * F.max(F.when(own, F.col("_w._share")))).alias(f"q{i}"))
+    return ranked.groupBy(by).agg(*found)
+
+
 def fit_preprocessor(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99, eps: float = 1e-12) -> DataFrame:
     """feature, low, high, mean, std: clipping quantiles and, after clipping, mean and population deviation (1 if too small)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "x").where("x IS NOT NULL")
-    cut = long.groupBy("feature").agg(F.percentile("x", F.lit(lower)).alias("low"), F.percentile("x", F.lit(upper)).alias("high"))
-    clipped = long.join(F.broadcast(cut), "feature").withColumn("x", F.least(F.greatest("x", "low"), F.col("high")))
+    cut = exact_quantiles(long, "feature", "x", [lower, upper]).select("feature", F.col("q0").alias("low"), F.col("q1").alias("high"))
+    clipped = long.join(cut, "feature").withColumn("x", F.least(F.greatest("x", "low"), F.col("high")))
     out = clipped.groupBy("feature", "low", "high").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     return out.withColumn("std", F.when(F.col("std") <= eps, 1.0).otherwise(F.col("std")))
 

@@ -191,14 +191,16 @@ METHODS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
-def optimize(cov: DataFrame, method: str, by: list[str], asset_type: str = "long") -> DataFrame:
-    """by, asset, weight from a long covariance table (by, row, col, value); groups run in parallel."""
-    solve = METHODS[method]
+def optimize(cov: DataFrame, method: str | Callable[[np.ndarray], np.ndarray], by: list[str], asset_type: str = "long") -> DataFrame:
+    """by, asset, weight from a long covariance table (by, row, col, value), in which no pair may be missing; groups run in parallel."""
+    solve = METHODS[method] if isinstance(method, str) else method
     types = dict(cov.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         m = rows.pivot(index="row", columns="col", values="value").sort_index().sort_index(axis=1)
-        out = pd.DataFrame({"asset": m.index, "weight": solve(m.fillna(0.0).to_numpy())})
+        if m.isna().to_numpy().any():
+            raise ValueError("a covariance is missing")
+        out = pd.DataFrame({"asset": m.index, "weight": solve(m.to_numpy())})
         for k in by:
             out[k] = rows[k].iloc[0]
         return out[[*by, "asset", "weight"]]

@@ -20,6 +20,15 @@ def prepare_market(df: DataFrame) -> DataFrame:
     return df.select("stock_code", "date", price.alias("price"), (F.coalesce("tradable", F.lit(False)) & price.isNotNull()).alias("tradable"))
 
 
+def model_days(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """model, date, trade_index, pos: the market dates of each model's range, numbered from 0; by indexes, so the join is an equality."""
+    cal = calendar.select("date", "trade_index")
+    span = rows.groupBy("model").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    span = span.join(cal.select(F.col("date").alias("lo"), F.col("trade_index").alias("_from")), "lo").join(cal.select(F.col("date").alias("hi"), F.col("trade_index").alias("_to")), "hi")
+    days = span.select("model", "_from", F.explode(F.sequence("_from", "_to")).alias("trade_index"))
+    return days.join(cal, "trade_index").select("model", "date", "trade_index", (F.col("trade_index") - F.col("_from")).alias("pos"))
+
+
 def schedule(groups: DataFrame, calendar: DataFrame, settings: PortfolioSettings) -> DataFrame:
     """model, path, group, signal_date, execution_date, kind, targets: what each path is to hold, and when.
 
@@ -27,12 +36,10 @@ def schedule(groups: DataFrame, calendar: DataFrame, settings: PortfolioSettings
     events without targets go; a last one sells all, exit_offset dates after the last signal.
     """
     cal = calendar.select("date", "trade_index")
-    span = groups.groupBy("model").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = F.broadcast(cal).join(span, F.col("date").between(F.col("lo"), F.col("hi")))
-    days = days.withColumn("pos", F.row_number().over(Window.partitionBy("model").orderBy("date")) - 1)
+    days = model_days(groups, calendar)
     days = days.select("model", F.col("date").alias("signal_date"), "trade_index", (F.col("pos") % settings.interval).alias("path")).where(F.col("path").isin(list(settings.path_offsets)))
     execute = cal.select((F.col("trade_index") - settings.entry_offset).alias("trade_index"), F.col("date").alias("execution_date"))
-    days = days.join(F.broadcast(execute), "trade_index")
+    days = days.join((execute), "trade_index")
     numbers = groups.select("model", "group").distinct()
     slots = days.join(numbers, "model")
     chosen = groups.groupBy("model", "group", F.col("date").alias("signal_date")).agg(F.sort_array(F.collect_list("stock_code")).alias("targets"))
@@ -42,7 +49,7 @@ def schedule(groups: DataFrame, calendar: DataFrame, settings: PortfolioSettings
     events = events.withColumn("_first", first).where("execution_date >= _first").drop("_first")
     last = events.groupBy("model", "path", "group").agg(F.max("signal_date").alias("signal_date"), F.max("trade_index").alias("trade_index"), F.first("targets").alias("targets"))
     leave = cal.select((F.col("trade_index") - settings.exit_offset).alias("trade_index"), F.col("date").alias("execution_date"))
-    final = last.join(F.broadcast(leave), "trade_index").withColumn("targets", F.slice("targets", F.lit(1), F.lit(0)))
+    final = last.join((leave), "trade_index").withColumn("targets", F.slice("targets", F.lit(1), F.lit(0)))
     cols = ["model", "path", "group", "signal_date", "execution_date"]
     return events.select(*cols, F.lit("rebalance").alias("kind"), "targets").unionByName(final.select(*cols, F.lit("final_exit").alias("kind"), "targets"))
 
@@ -182,9 +189,7 @@ def monotonicity(df: DataFrame, value: str = "annual_return", by: str = "model",
 
 def rank_ic_paths(diagnostics: DataFrame, calendar: DataFrame, interval: int) -> DataFrame:
     """model, path, ic_mean, n_dates: rank ICs by position of the date in the model's part of the calendar, modulo interval."""
-    span = diagnostics.groupBy("model").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = F.broadcast(calendar.select("date")).join(span, F.col("date").between(F.col("lo"), F.col("hi")))
-    days = days.withColumn("path", (F.row_number().over(Window.partitionBy("model").orderBy("date")) - 1) % interval)
+    days = model_days(diagnostics, calendar).withColumn("path", F.col("pos") % interval)
     rows = diagnostics.join(days.select("model", "date", "path"), ["model", "date"])
     return rows.groupBy("model", "path").agg(F.avg("ic").alias("ic_mean"), F.count(F.lit(1)).alias("n_dates"))
 

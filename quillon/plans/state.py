@@ -41,14 +41,15 @@ def next_number(ids: DataFrame, col: str = "case_id") -> DataFrame:
 
 
 def resolve(ids: DataFrame, wanted: str, col: str = "case_id") -> str:
-    """The id that is wanted, or has its number, or alone begins with it."""
-    number = int(wanted.lstrip("r")) if wanted.lstrip("r").isdigit() else None
-    matches = ids.select(col).where((F.col(col) == wanted) | F.col(col).startswith(wanted) | (F.expr(f"try_cast(nullif(regexp_extract({col}, '^r([0-9]+)_', 1), '') AS int)") == (number if number is not None else -1)))
-    found = sorted(r[0] for r in matches.distinct().limit(1000).collect())
-    if wanted in found:
-        return wanted
-    same = [x for x in found if number is not None and int(x[1:].split("_")[0] or -1) == number]
-    found = same or [x for x in found if x.startswith(wanted)]
-    if len(found) != 1:
-        raise ValueError(f"{wanted} is {'ambiguous' if found else 'unknown'}")
-    return found[0]
+    """The id that is wanted, or alone has its number, or alone begins with it."""
+    number = F.expr(f"try_cast(nullif(regexp_extract({col}, '^r([0-9]+)_', 1), '') AS int)")
+    tries = [F.col(col) == wanted]
+    if wanted.removeprefix("r").isdigit():
+        tries.append(number == int(wanted.removeprefix("r")))
+    tries.append(F.col(col).startswith(wanted))
+    for found in (ids.where(t).select(col).distinct().limit(2).collect() for t in tries):  # two show that it is ambiguous
+        if len(found) == 1:
+            return found[0][0]
+        if found:
+            raise ValueError(f"{wanted} is ambiguous")
+    raise ValueError(f"{wanted} is unknown")

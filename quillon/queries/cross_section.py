@@ -70,7 +70,8 @@ def ols_slope_t(spark, d):
 
 def ols_p_value(spark, d):
     fit = xs.ols_univariate(syn.panel(spark, d), "factor", "fwd", ["date"])
-    return fit.select("date", "t_stat", F.round(student_t_two_sided(F.col("t_stat"), (F.col("n") - 2).cast("double")), 6).alias("p_value"))
+    fit = fit.withColumn("p", student_t_two_sided(F.col("t_stat"), (F.col("n") - 2).cast("double")))
+    return fit.select("date", _r("t_stat", 5), _r("p", 8).alias("p_value"))
 
 
 def model_corr_overall(spark, d):
@@ -137,6 +138,10 @@ ORACLE_SQL = {
     "ols_slope_t": _with(PANEL, """f AS (SELECT date, count(*) AS n, avg(factor) AS mx, avg(fwd) AS my, regr_sxx(fwd, factor) AS sxx, regr_syy(fwd, factor) AS syy, regr_sxy(fwd, factor) AS sxy, min(factor) < max(factor) AS varies FROM panel WHERE factor IS NOT NULL AND fwd IS NOT NULL GROUP BY date),
 b AS (SELECT *, CASE WHEN n >= 3 AND varies THEN sxy / sxx END AS beta FROM f), e AS (SELECT *, CASE WHEN n >= 3 AND varies THEN CASE WHEN (syy - beta * sxy) / (n - 2) <= 0 THEN 0 ELSE sqrt((syy - beta * sxy) / (n - 2) / sxx) END END AS se FROM b)""")
     + """SELECT d.date, round(my - beta * mx, 6) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, round(se, 6) + 0.0 AS std_error, round(CASE WHEN se > 0 THEN beta / se END, 5) + 0.0 AS t_stat, coalesce(n, 0) AS n FROM (SELECT DISTINCT date FROM panel) d LEFT JOIN e ON e.date = d.date""",
+    "ols_p_value": _with(PANEL, """f AS (SELECT date, count(*) AS n, regr_sxx(fwd, factor) AS sxx, regr_syy(fwd, factor) AS syy, regr_sxy(fwd, factor) AS sxy FROM panel WHERE factor IS NOT NULL AND fwd IS NOT NULL GROUP BY date HAVING count(*) >= 3 AND min(factor) < max(factor)),
+e AS (SELECT date, n - 2 AS v, sxy / sxx / nullif(sqrt(greatest(0, (syy - sxy * sxy / sxx) / (n - 2)) / sxx), 0) AS t FROM f), u AS (SELECT *, atan(abs(t) / sqrt(v)) AS u FROM e),
+s AS (SELECT *, list_sum([CASE WHEN v % 2 = 1 THEN exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(cos(u), 2 * j + 1) ELSE exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)) * pow(cos(u), 2 * j) END FOR j IN range(0, CAST(floor(CASE WHEN v % 2 = 1 THEN v - 1 ELSE v END / 2) AS BIGINT))]) AS total FROM u)""")
+    + """SELECT d.date, round(t, 5) + 0.0 AS t_stat, CASE WHEN t IS NOT NULL THEN round(greatest(0.0::DOUBLE, 1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (u + sin(u) * coalesce(total, 0)) ELSE sin(u) * total END), 8) + 0.0 END AS p_value FROM (SELECT DISTINCT date FROM panel) d LEFT JOIN s ON s.date = d.date""",
     "model_corr_overall": _with(PANEL, PREDICTIONS, _MODEL, _OVERALL) + "SELECT * FROM overall",
     "model_corr_daily": _with(PANEL, PREDICTIONS, _MODEL, """rk AS (SELECT left_model, right_model, date, rank() OVER (PARTITION BY left_model, right_model, date ORDER BY x) + (count(*) OVER (PARTITION BY left_model, right_model, date, x) - 1) / 2.0::DOUBLE AS x,
  rank() OVER (PARTITION BY left_model, right_model, date ORDER BY y) + (count(*) OVER (PARTITION BY left_model, right_model, date, y) - 1) / 2.0::DOUBLE AS y FROM pairs)""")

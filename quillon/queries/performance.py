@@ -32,7 +32,7 @@ def risk_metrics(spark, d):
 
 
 def psr_probability(spark, d):
-    return syn.series(spark, d).where("ret IS NOT NULL").groupBy("series_id").agg(mx.psr_z(F.col("ret")).alias("z")).select("series_id", F.round(mx.psr(F.col("z")), 6).alias("psr"))
+    return syn.series(spark, d).where("ret IS NOT NULL").groupBy("series_id").agg(F.round(mx.psr_z(F.col("ret")), 5).alias("z")).select("series_id", F.round(mx.psr(F.col("z")), 6).alias("psr"))
 
 
 def nav_drawdown(spark, d):
@@ -114,3 +114,6 @@ m AS (SELECT series_id, pow(arg_max(nav, date), 252.0 / count(*)) - 1 AS ar, std
     + """SELECT series_id, round(ar, 5) + 0.0 AS annual_return, round(av, 5) + 0.0 AS annual_volatility, round(md, 5) + 0.0 AS max_drawdown, round(br, 5) + 0.0 AS bench_annual_return, round(coalesce(wr, 0), 5) + 0.0 AS win_rate, round(coalesce(pl, 0), 5) + 0.0 AS profit_loss_ratio,
  round(hs, 5) + 0.0 AS holding_share, round(CASE WHEN av > 0 THEN ar / av ELSE 0 END, 5) + 0.0 AS sharpe, round(ar - br, 5) + 0.0 AS excess_return, CAST(tc AS BIGINT) AS trade_count, n FROM m""",
 }
+
+ORACLE_SQL["psr_probability"] = f"""SELECT series_id, round(0.5 + exp(-psr_z * psr_z / 2) / sqrt(2 * pi()) * list_sum([pow(abs(psr_z), 2 * k + 1) * sign(psr_z) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) FOR k IN range(0, 120)]), 6) AS psr
+FROM ({ORACLE_SQL["risk_metrics"]})"""

@@ -60,9 +60,7 @@ def _weights(method: str):
 
 
 def risk_budget(spark, d):
-    cov = _yearly_cov(spark, d)
-    op.METHODS["risk_budget"] = lambda c: op.risk_budget(c, 1.0 + op.np.arange(len(c)) % 3)
-    return op.optimize(cov, "risk_budget", ["year"])
+    return op.optimize(_yearly_cov(spark, d), lambda c: op.risk_budget(c, 1.0 + op.np.arange(len(c)) % 3), ["year"])
 
 
 def olmar(spark, d):

@@ -6,19 +6,18 @@ import base64
 import csv
 import html
 import io
+import itertools
 import json
 import math
-import os
 import re
-import tempfile
+import uuid
 import zipfile
 from collections.abc import Mapping
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-MOST_IMAGE_BYTES = 8 << 20
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
@@ -41,32 +40,37 @@ def plain(value):
 
 
 def write_atomic(path: str | Path, data: bytes) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    """A small document through the session's file systems: written beside its place, then renamed over it."""
+    spark = SparkSession.active()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    target = hadoop.Path(str(path))
+    part = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    files = hadoop.FileContext.getFileContext(target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(part, True)
     try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    over = gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    files.rename(part, target, over)
 
 
 def write_json(value, path: str | Path) -> None:
     write_atomic(path, (json.dumps(plain(value), ensure_ascii=False, indent=2, allow_nan=False) + "\n").encode())
 
 
-def _rows(df: DataFrame, limit: int | None) -> list[list]:
-    got = (df.limit(limit) if limit is not None else df).collect()
+def _rows(df: DataFrame, most: int) -> list[list]:
+    """Header and rows of a small table; a larger one is an error, never cut."""
+    got = df.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows: write the table with df.write instead")
     return [list(df.columns), *[[plain(v) for v in r] for r in got]]
 
 
-def write_csv(df: DataFrame, path: str | Path, limit: int | None = None) -> None:
+def write_csv(df: DataFrame, path: str | Path, most: int = 100_000) -> None:
     out = io.StringIO()
-    csv.writer(out).writerows(_rows(df, limit))
+    csv.writer(out).writerows(_rows(df, most))
     write_atomic(path, out.getvalue().encode())
 
 
@@ -87,8 +91,8 @@ def _letters(i: int) -> str:
     return out
 
 
-def write_workbook(sheets: Mapping[str, DataFrame], path: str | Path, row_limit: int = 100_000, whole: tuple[str, ...] = ()) -> None:
-    """An .xlsx of small tables with a frozen header; sheets in `whole` are an error rather than cut at row_limit."""
+def write_workbook(sheets: Mapping[str, DataFrame], path: str | Path, row_limit: int = 100_000) -> None:
+    """An .xlsx of small tables with a frozen header; a table of more than row_limit rows is an error."""
     names = list(sheets)
     if len({n[:31] for n in names}) != len(names):
         raise ValueError("sheet names clash within 31 characters")
@@ -98,11 +102,7 @@ def write_workbook(sheets: Mapping[str, DataFrame], path: str | Path, row_limit:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for i, (name, df) in enumerate(sheets.items(), 1):
-            rows = _rows(df, row_limit + 1)
-            if len(rows) > row_limit + 1:
-                if name in whole:
-                    raise ValueError(f"sheet {name} has more than {row_limit} rows")
-                rows = rows[: row_limit + 1]
+            rows = _rows(df, row_limit)
             body = "".join(f'<row r="{r}">' + "".join(_cell(v, f"{_letters(c)}{r}") for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
             pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}">{pane}<sheetData>{body}</sheetData></worksheet>')
@@ -127,54 +127,66 @@ def _inline(text: str) -> str:
     return re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", text)
 
 
+def _kind(line: str) -> str:
+    """What a line outside fenced code belongs to."""
+    text = line.strip()
+    if not text:
+        return "gap"
+    if text[0] == "|" and text[-1] == "|" and len(text) > 1:
+        return "table"
+    if text[:2] in ("- ", "* "):
+        return "list"
+    level = len(line) - len(line.lstrip("#"))
+    return "heading" if 1 <= level <= 6 and line[level : level + 1] == " " else "paragraph"
+
+
+def _table(lines: list[str]) -> str:
+    cells = [[c.strip() for c in re.split(r"(?<!\\)\|", x.strip()[1:-1])] for x in lines]
+    rows = [c for c in cells if not all(set(x) <= set(":- ") for x in c)]
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{_inline(x)}</td>" for x in c) + "</tr>" for c in rows) + "</table>"
+
+
+def _heading(line: str) -> str:
+    marks, _, title = line.partition(" ")
+    return f"<h{len(marks)}>{_inline(title)}</h{len(marks)}>"
+
+
+RENDERERS = {
+    "table": _table,
+    "list": lambda lines: "<ul>" + "".join(f"<li>{_inline(x.strip()[2:])}</li>" for x in lines) + "</ul>",
+    "heading": lambda lines: "\n".join(map(_heading, lines)),
+    "paragraph": lambda lines: "\n".join(f"<p>{_inline(x)}</p>" for x in lines),
+    "gap": lambda lines: "",
+}
+
+
 def markdown_html(text: str) -> str:
-    """Headings, lists, tables, fenced code and paragraphs as HTML; everything else is text."""
-    out, lines, i = [], text.split("\n"), 0
-    while i < len(lines):
-        line = lines[i]
-        if line.startswith("```"):
-            end = next((j for j in range(i + 1, len(lines)) if lines[j].startswith("```")), len(lines))
-            out.append("<pre>" + html.escape("\n".join(lines[i + 1 : end])) + "</pre>")
-            i = end
-        elif m := re.match(r"(#{1,6}) (.*)", line):
-            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
-        elif re.match(r"\s*\|.*\|\s*$", line):
-            rows = []
-            while i < len(lines) and re.match(r"\s*\|.*\|\s*$", lines[i]):
-                if not re.match(r"\s*\|[\s:|-]+\|\s*$", lines[i]):
-                    rows.append("<tr>" + "".join(f"<td>{_inline(c.strip())}</td>" for c in re.split(r"(?<!\\)\|", lines[i].strip().strip("|"))) + "</tr>")
-                i += 1
-            out.append("<table>" + "".join(rows) + "</table>")
-            continue
-        elif re.match(r"\s*[-*] ", line):
-            items = []
-            while i < len(lines) and re.match(r"\s*[-*] ", lines[i]):
-                items.append(f"<li>{_inline(re.sub(r'^\s*[-*] ', '', lines[i]))}</li>")
-                i += 1
-            out.append("<ul>" + "".join(items) + "</ul>")
-            continue
-        elif line.strip():
-            out.append(f"<p>{_inline(line)}</p>")
-        i += 1
-    return "\n".join(out)
-
-
-def gallery(images: list[Path]) -> str:
+    """Headings, lists, tables, fenced code and paragraphs as HTML: fences are cut out, then runs of lines of one kind are rendered."""
+    made = []
+    for n, part in enumerate(re.split(r"(?m)^```.*$\n?", text)):
+        if n % 2:
+            made.append(f"<pre>{html.escape(part.removesuffix(chr(10)))}</pre>")
+        else:
+            made += [RENDERERS[kind](list(lines)) for kind, lines in itertools.groupby(part.split("\n"), _kind)]
+    return "\n".join(x for x in made if x)
+
+
+def gallery(images: list[Path], most_bytes: int) -> str:
     """Images inside the page; files that are too large are named instead."""
     parts = []
     for p in images:
-        if p.stat().st_size > MOST_IMAGE_BYTES:
+        if p.stat().st_size > most_bytes:
             parts.append(f"<p>{html.escape(p.name)} is too large to show</p>")
         else:
             parts.append(f'<figure><img src="data:image/png;base64,{base64.b64encode(p.read_bytes()).decode()}"/><figcaption>{html.escape(p.name)}</figcaption></figure>')
     return "".join(parts)
 
 
-def render_report(title: str, decided: DataFrame, path: str | Path, text: str = "", images: list[Path] | None = None, cards: Mapping[str, object] | None = None) -> None:
+def render_report(title: str, decided: DataFrame, path: str | Path, text: str = "", images: list[Path] | None = None, cards: Mapping[str, object] | None = None, most_image_bytes: int = 10_000_000) -> None:
     """One self-contained HTML page: cards, the table of metrics with verdicts, text and images."""
     rows = decided.select("key", "report_value", "reproduced_value", "rel_dev", "passed", "reason").collect()
     word = {True: "pass", False: "fail", None: "undecided"}
     table = "".join("<tr>" + "".join(f"<td>{html.escape(shown(v))}</td>" for v in (r[0], r[1], r[2], r[3], word[r[4]], r[5])) + "</tr>" for r in rows)
     top = "".join(f"<div class='card'><b>{html.escape(shown(v))}</b> {html.escape(k)}</div>" for k, v in (cards or {}).items())
-    page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{top}<table><tr><th>metric</th><th>report</th><th>reproduced</th><th>deviation</th><th>verdict</th><th>rule</th></tr>{table}</table>{markdown_html(text)}{gallery(images or [])}"
+    page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{top}<table><tr><th>metric</th><th>report</th><th>reproduced</th><th>deviation</th><th>verdict</th><th>rule</th></tr>{table}</table>{markdown_html(text)}{gallery(images or [], most_image_bytes)}"
     write_atomic(path, page.encode())

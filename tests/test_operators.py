@@ -212,6 +212,14 @@ def test_state(spark):
     assert state.resolve(e, "2") == "r002_b" and state.resolve(e, "r001") == "r001_a"
     with pytest.raises(ValueError):
         state.resolve(e, "r00")
+    many = spark.range(5000).selectExpr("concat('r1_', id) AS case_id").unionByName(spark.createDataFrame([("r1",), ("r1x_b",), ("r2x",), ("r007_c",)], "case_id string"))
+    assert state.resolve(many, "r1") == "r1" and state.resolve(many, "r1_4999") == "r1_4999" and state.resolve(many, "r2") == "r2x" and state.resolve(many, "7") == "r007_c"
+    for unclear in ("1", "r1_", "zz"):
+        with pytest.raises(ValueError):
+            state.resolve(many, unclear)
+
+
+AWKWARD = r'{bad} {"a": {"b": {"c": {"d": "}"}}}} then {"e": "\\\"{"} {'
 
 
 def test_markdown(spark):
@@ -221,8 +229,9 @@ def test_markdown(spark):
     assert [r.cells for r in md.table_rows(df, "t", ["id"]).collect()] == [["a", "b"], ["x | y", "2"]]
     assert [(r.block_id, r.title, r.body.strip()) for r in md.id_blocks(df, "t", ["id"]).collect()] == [("D1", "First", "line"), ("D2", "Second", "more")]
     assert df.select(md.section(F.col("t"), "Next")).first()[0] == "end"
-    answers = spark.createDataFrame([('{"a": 1}',), ('so\n```json\n{"b": 2}\n```\n',), ('x {"c": {"d": 3}} y',), ("none",)], "t string")
-    assert [r[0] for r in answers.select(md.json_in(F.col("t"))).collect()] == ['{"a": 1}', '{"b": 2}', '{"c": {"d": 3}}', None]
+    answers = spark.createDataFrame([('{"a": 1}',), ('so\n```json\n{"b": 2}\n```\n',), ('x {"c": {"d": 3}} y',), ("none",), (AWKWARD,)], "t string")
+    assert [r[0] for r in answers.select(md.json_in(F.col("t"))).collect()] == ['{"a": 1}', '{"b": 2}', '{"c": {"d": 3}}', None, AWKWARD[-16:-2]]
+    assert answers.select(md.bare_objects(F.col("t"))).collect()[4][0] == ["{bad}", '{"a": {"b": {"c": {"d": "}"}}}}', AWKWARD[-16:-2]]
 
 
 def test_sinks_and_config(spark, tmp_path):
@@ -231,12 +240,15 @@ def test_sinks_and_config(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.xlsx") as z:
         assert z.testzip() is None and "&lt;b&gt;" in z.read("xl/worksheets/sheet2.xml").decode()
     with pytest.raises(ValueError):
-        sinks.write_workbook({"one": df}, tmp_path / "b.xlsx", row_limit=1, whole=("one",))
+        sinks.write_workbook({"one": df}, tmp_path / "b.xlsx", row_limit=1)
     sinks.write_json({"x": float("nan"), "y": [1.5, {"z": np.float64(2)}]}, tmp_path / "a.json")
     assert json.loads((tmp_path / "a.json").read_text()) == {"x": None, "y": [1.5, {"z": 2.0}]}
     sinks.render_report("T <i>", df, tmp_path / "r.html", "# H\n- a\n\n| x | y |\n|---|---|\n| 1 | **2** |\n")
     page = (tmp_path / "r.html").read_text()
     assert "T &lt;i&gt;" in page and "&lt;b&gt;" in page and "<strong>2</strong>" in page and "<script" not in page
+    assert sinks.markdown_html("a\n```py\n<x>\n```\n* b\n* `c`\n## T **u**\n|p\\|q|r|\n") == "<p>a</p>\n<pre>&lt;x&gt;</pre>\n<ul><li>b</li><li><code>c</code></li></ul>\n<h2>T <strong>u</strong></h2>\n<table><tr><td>p\\|q</td><td>r</td></tr></table>"
+    sinks.write_json({"x": 2}, tmp_path / "a.json")  # over the first
+    assert json.loads((tmp_path / "a.json").read_text()) == {"x": 2} and len(list(tmp_path.glob("*a.json"))) == 1
     sinks.write_tables({"t": df}, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables/t")).count() == 2
     inner = tmp_path / "p" / "q"
@@ -292,3 +304,36 @@ def test_long_chain_is_no_cycle(spark):
     chain = [(i, [i - 1] if i else []) for i in range(55)]
     assert not vf.has_cycle(spark.createDataFrame(chain, "id long, deps array<long>"))
     assert vf.has_cycle(spark.createDataFrame([*chain, (0, [54])], "id long, deps array<long>"))
+
+
+def test_exact_quantiles(spark):
+    from quillon.operators.features import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0, 5.0], [4000, 10, 3]), "c": np.array([7.0]), "d": rng.integers(0, 9, 2000).astype(float)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double").repartition(5)
+    probs = [0.0, 0.01, 0.333, 0.5, 0.99, 1.0]
+    got = {r.g: list(r)[1:] for r in exact_quantiles(df, "g", "x", probs).collect()}
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx([np.quantile(xs, p) for p in probs], abs=1e-12)
+
+
+def test_student_t_against_integration(spark):
+    import math
+
+    cases = [(t, v) for t in (0.0, 0.3, 1.7, 4.2, 12.0) for v in (1, 2, 3, 4, 9, 50, 399, 400, 401, 3000)]
+    got = [r[0] for r in spark.createDataFrame([(float(t), float(v)) for t, v in cases], "t double, v double").coalesce(1).select(student_t_two_sided(F.col("t"), F.col("v"))).collect()]
+    for (t, v), p in zip(cases, got):
+        u = np.linspace(0, math.atan(t / math.sqrt(v)), 200_001)
+        f = np.cos(u) ** (v - 1)
+        scale = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi)
+        assert p == pytest.approx(max(0.0, 1 - 2 * scale * np.trapezoid(f, u)), abs=2e-9), (t, v)
+
+
+def test_psr_far_from_zero(spark):
+    """Skewness and kurtosis hold where the mean is large beside the spread."""
+    from quillon.functions.metrics import psr_z
+
+    x = np.random.default_rng(2).gamma(2.0, 1.0, 400)
+    z = [spark.createDataFrame([(float(a + b),) for a in x], "r double").agg(psr_z(F.col("r") - b)).first()[0] for b in (0.0, 1e6)]
+    assert z[1] == pytest.approx(z[0], rel=1e-6)
