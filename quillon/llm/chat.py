@@ -37,25 +37,25 @@ def unescape(text: Column) -> Column:
 
 
 def examples(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
-    """conv_col, example, formatted, loss_start (code points from 1), loss_length, trainable."""
+    """conv_col, loose (a number for each row without conv_col), example, formatted, loss_start (code points from 1), loss_length, trainable."""
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(F.col(conv_col), F.struct(F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text")).alias("turn"))
-    known, loose = F.col(conv_col).isNotNull(), F.col(conv_col).isNull()
-    turns = rows.where(known).groupBy(conv_col).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    turns = turns.unionByName(rows.where(loose).select(conv_col, F.array("turn").alias("turns")))
+    rows = rows.withColumn("loose", F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()))
+    turns = rows.groupBy(conv_col, "loose").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     said = F.transform(
         "turns",
         lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SAYS)).alias("head"), escape(t["text"]).alias("body"), (t["role"] == target).alias("trainable")),
     )
-    turns = turns.select(conv_col, said.alias("said"))
+    turns = turns.select(conv_col, "loose", said.alias("said"))
     positions = F.sequence(F.lit(1), F.size("said"))
     ends = F.array_distinct(F.concat(F.filter(positions, lambda i: F.element_at("said", i)["trainable"]), F.array(F.size("said"))))
     whole = F.transform("said", lambda t: F.concat(t["head"], t["body"], F.lit(END)))
-    rows = turns.withColumn("whole", whole).select(conv_col, "said", "whole", F.explode(ends).alias("example"))
+    rows = turns.withColumn("whole", whole).select(conv_col, "loose", "said", "whole", F.explode(ends).alias("example"))
     last = F.element_at("said", F.col("example"))
-    rows = rows.select(conv_col, "example", F.array_join(F.slice("whole", F.lit(1), F.col("example") - 1), "").alias("context"), last.alias("last"))
+    rows = rows.select(conv_col, "loose", "example", F.array_join(F.slice("whole", F.lit(1), F.col("example") - 1), "").alias("context"), last.alias("last"))
     return rows.select(
         conv_col,
+        "loose",
         "example",
         F.concat("context", "last.head", "last.body", F.lit(END)).alias("formatted"),
         (F.length("context") + F.length("last.head") + 1).alias("loss_start"),
@@ -79,14 +79,11 @@ def parsed(formatted: Column) -> Column:
 def digest(made: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """What the examples of each conversation say when they are read back."""
     loss = unescape(F.substring("formatted", F.col("loss_start"), F.col("loss_length")))
-    known, loose = F.col(conv_col).isNotNull(), F.col(conv_col).isNull()
-    back = made.where(known).groupBy(conv_col).agg(
+    back = made.groupBy(conv_col, "loose").agg(
         F.max_by("formatted", "example").alias("full"),
         F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("trainable"), F.struct("example", loss.alias("said"))))), lambda x: x["said"]), "").alias("loss"),
     )
-    alone = made.where(loose).select(conv_col, F.col("formatted").alias("full"), F.length("formatted").cast("long").alias("formatted_chars"), F.when(F.col("trainable"), loss).otherwise("").alias("loss"))
-    back = back.unionByName(alone)
     back = back.withColumn("turns", parsed(F.col("full")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
