@@ -115,5 +115,5 @@ m AS (SELECT series_id, pow(arg_max(nav, date), 252.0 / count(*)) - 1 AS ar, std
  round(hs, 5) + 0.0 AS holding_share, round(CASE WHEN av > 0 THEN ar / av ELSE 0 END, 5) + 0.0 AS sharpe, round(ar - br, 5) + 0.0 AS excess_return, CAST(tc AS BIGINT) AS trade_count, n FROM m""",
 }
 
-ORACLE_SQL["psr_probability"] = f"""SELECT series_id, round(0.5 + exp(-psr_z * psr_z / 2) / sqrt(2 * pi()) * list_sum([pow(abs(psr_z), 2 * k + 1) * sign(psr_z) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)) FOR k IN range(0, 120)]), 6) AS psr
+ORACLE_SQL["psr_probability"] = f"""SELECT series_id, round(0.5 + sign(psr_z) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(abs(psr_z), 1e-12::DOUBLE)) - psr_z * psr_z / 2 - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) FOR k IN range(0, 600)]), 6) AS psr
 FROM ({ORACLE_SQL["risk_metrics"]})"""
