@@ -6,6 +6,9 @@ add in another order still see the same ties.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +172,53 @@ BARS = """bars AS (SELECT *, lag(close) OVER (PARTITION BY stock_code ORDER BY d
   round(max(l_extendedprice / l_quantity), 6) AS high, round(avg(l_extendedprice / l_quantity), 6) AS close,
   round((min(l_extendedprice / l_quantity) + max(l_extendedprice / l_quantity)) / 2, 6) AS open, sum(l_quantity) AS volume, round(sum(l_extendedprice), 4) AS turnover
  FROM lineitem GROUP BY 1, 2))"""
+
+
+def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, IfTradingDay (not on Sundays), IfMonthEnd (the month's last trading day): days with orders."""
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    days = days.withColumn("IfTradingDay", (F.dayofweek("date") != 1).cast("int"))
+    last = F.max(F.when(F.col("IfTradingDay") == 1, F.col("date"))).over(Window.partitionBy(F.trunc("date", "month")))
+    return days.withColumn("IfMonthEnd", F.coalesce((F.col("date") == last).cast("int"), F.lit(0)))
+
+
+CALENDAR_DAYS = """calendar_days AS (SELECT date, is_trading, CASE WHEN date = max(CASE WHEN is_trading = 1 THEN date END) OVER (PARTITION BY date_trunc('month', date)) THEN 1 ELSE 0 END AS is_month_end
+ FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN dayofweek(CAST(o_orderdate AS DATE)) <> 0 THEN 1 ELSE 0 END AS is_trading FROM orders))"""
+
+
+def _industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standards 37 and 38; a second name in 37 for every fifth stock."""
+    a = attributes(spark, sf_dir)
+    named = a.where("industry IS NOT NULL").select("stock_code", F.explode(F.array(F.lit(37), F.lit(38))).alias("standard_code"), F.concat(F.lit("sector "), "industry").alias("first_industry_name"))
+    return named.unionByName(a.where("stock_code % 5 = 0").select("stock_code", F.lit(37).alias("standard_code"), F.lit("agriculture").alias("first_industry_name")))
+
+
+def _text(*columns: str) -> list:
+    """Dates as text, as market files often hold them."""
+    return [F.col(c).cast("string").alias(c) for c in columns]
+
+
+MARKET = {
+    "stock_price": lambda s, d: bars(s, d).select("stock_code", *_text("date"), "open", "high", "low", "close"),
+    "stock_price_forward": lambda s, d: bars(s, d).select("stock_code", *_text("date"), F.col("close_forward").alias("close")),
+    "stock_trade": lambda s, d: bars(s, d).select("stock_code", *_text("date"), "volume", "turnover"),
+    "stock_suspend": lambda s, d: status(s, d).select(F.col("code").alias("stock_code"), "date", "if_suspend"),
+    "stock_limit": lambda s, d: status(s, d).select(F.col("code").alias("stock_code"), "date", "limit_flag"),
+    "stock_st": lambda s, d: intervals(s, d).withColumnsRenamed({"code": "stock_code", "start": "implement_date", "stop": "remove_date"}).select("stock_code", *_text("implement_date", "remove_date")),
+    "index_components": lambda s, d: intervals(s, d).withColumnsRenamed({"code": "stock_code", "start": "in_date", "stop": "out_date"}).select(F.when(F.col("stock_code") % 2 == 0, "000300").otherwise("000905").alias("index_code"), "stock_code", *_text("in_date", "out_date")),
+    "stock_industry": _industries,
+    "calendar": lambda s, d: calendar_days(s, d).select(*_text("date"), "IfTradingDay", "IfMonthEnd"),
+}
+
+
+def market_root(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A new root in the shared folder that holds the named market tables, written from the test tables."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quillon-")
+    root = f"{shared.rstrip('/')}/market-{uuid.uuid4().hex}"
+    for name in names:
+        MARKET[name](spark, sf_dir).write.parquet(f"{root}/{name}.parquet")
+    return root
