@@ -1,8 +1,8 @@
-"""The state of cases as a fold of an append-only event table, and case ids."""
+"""The state of cases as a fold of an append-only event table, checks of state documents, and case ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the workflow's state.
@@ -53,3 +53,106 @@ def resolve(ids: DataFrame, wanted: str, col: str = "case_id") -> str:
         if found:
             raise ValueError(f"{wanted} is ambiguous")
     raise ValueError(f"{wanted} is unknown")
+
+
+#: Fixed values of a state document: its fields, stages and the values that they may take.
+FIELDS = (
+    "schema_version", "report_id", "pdf_path", "paths", "mode", "reproduction_mode", "max_iter", "type", "tags", "difficulty", "difficulty_override", "feasibility",
+    "pdf_pages", "current_stage", "status", "stages", "gates", "external_reviews", "milestones", "iteration", "verdict", "coverage_stats", "assumptions", "blockers",
+    "pending_question", "events", "created_at", "updated_at",
+)
+STAGES = ("init", "extract", "plan", "spec_audit", "implement", "code_audit", "verify", "iterate", "result_audit", "oos", "report", "review")
+MUST_BE = {
+    "mode": ("auto", "interactive"),
+    "reproduction_mode": ("strict", "experimental"),
+    "status": ("running", "paused_blocked", "awaiting_review", "done", "done_partial", "aborted"),
+    "current_stage": STAGES,
+}
+MAY_BE = {
+    "difficulty": ("easy", "medium", "hard"),
+    "difficulty_override": ("easy", "medium", "hard"),
+    "type": ("factor", "timing", "allocation", "fixed_income", "ml"),
+    "feasibility": ("feasible", "degraded", "blocked"),
+    "verdict.result": ("pass", "partial", "fail"),
+}
+GATE_VERDICTS = ("PASS", "FAIL")
+KIND_OF = {f: "ARRAY" for f in ("tags", "gates", "external_reviews", "milestones", "iteration.history", "blockers", "events")} | {f: "OBJECT" for f in ("stages", "iteration", "verdict", "coverage_stats", "assumptions", "paths")} | {"iteration.current": "BIGINT"}
+REVIEWED = ("implement", "code_review", "verify")
+
+
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """The string there; null for another kind."""
+    return F.when(_kind(_at(value, path)) == "STRING", F.try_variant_get(value, f"$.{path}", "string"))
+
+
+def _kind(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, VOID or another; '' where nothing is there."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit(""))
+
+
+def _keys(value: Column) -> Column:
+    return F.coalesce(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast("array<string>"))
+
+
+def _says(problem: Column | str, wrong: Column) -> Column:
+    return F.when(F.coalesce(wrong, F.lit(True)), F.lit(problem) if isinstance(problem, str) else problem)
+
+
+def _one_of(value: Column, path: str, allowed: tuple[str, ...]) -> Column:
+    return F.coalesce(_text_at(value, path).isin(*allowed), F.lit(False))
+
+
+def _items(doc: Column, path: str, check) -> Column:
+    """The problems of each item of an array, with its place; none where it isn't an array."""
+    items = F.coalesce(F.try_variant_get(doc, f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(F.array_compact(F.array(*check(x))), lambda p: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]."), p))))
+
+
+def _gate(x: Column) -> list[Column]:
+    whole = F.size(F.array_except(F.array(*map(F.lit, ("stage", "checks", "verdict", "timestamp"))), _keys(x))) == 0
+    return [_says("fields", ~whole), _says("verdict", whole & ~_one_of(x, "verdict", GATE_VERDICTS)), _says("checks", whole & (_kind(_at(x, "checks")) != "ARRAY"))]
+
+
+def _milestone(x: Column) -> list[Column]:
+    whole = F.size(F.array_except(F.array(*map(F.lit, ("id", "name", "deps", *REVIEWED))), _keys(x))) == 0
+    return [_says("fields", ~whole), _says("deps", whole & (_kind(_at(x, "deps")) != "ARRAY")), *[_says(f, whole & ~_one_of(x, f, STATUSES)) for f in REVIEWED]]
+
+
+def state_problems(states: DataFrame, doc_col: str = "state", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """keys, problem: a row for each rule that a JSON state document breaks, named by the place; valid documents have none.
+
+    Text that is null, no JSON or no object has the one problem `document`. Rules on a part are
+    skipped where the part itself is of the wrong kind, which is a problem of its own.
+    """
+    doc = F.col("_doc")
+    top = [F.array_compact(F.array(*[_says(f"{f}: kind", _kind(_at(doc, f)) != kind) for f, kind in KIND_OF.items() if "." not in f or f.startswith("iteration")]))]
+    values = [_says("report_id", F.coalesce(_text_at(doc, "report_id"), F.lit("")) == "")]
+    values += [_says(f, ~_one_of(doc, f, allowed)) for f, allowed in MUST_BE.items()]
+    values += [_says(f, ~(_kind(_at(doc, f)).isin("", "VOID") | _one_of(doc, f, allowed))) for f, allowed in MAY_BE.items()]
+    values += [_says(f"{f}: missing", (_kind(_at(doc, f.split(".")[0])) == "OBJECT") & (_kind(_at(doc, f)) == "")) for f in ("iteration.max", "verdict.result")]
+    is_stages = _kind(_at(doc, "stages")) == "OBJECT"
+    for stage in STAGES:
+        here = is_stages & (_kind(_at(doc, f"stages.{stage}")) == "OBJECT")
+        tries = F.try_variant_get(doc, f"$.stages.{stage}.attempts", "long")
+        values += [
+            _says(f"stages.{stage}: kind", is_stages & ~here),
+            _says(f"stages.{stage}.status", here & ~_one_of(doc, f"stages.{stage}.status", STATUSES)),
+            _says(f"stages.{stage}.attempts", here & ~((_kind(_at(doc, f"stages.{stage}.attempts")) == "BIGINT") & F.coalesce(tries >= 0, F.lit(False)))),
+        ]
+    named = lambda head, names: F.transform(names, lambda n: F.concat(F.lit(head), n))
+    fields, stages = F.array(*map(F.lit, FIELDS)), F.array(*map(F.lit, STAGES))
+    parts = [
+        named("missing: ", F.array_except(fields, _keys(doc))),
+        named("unknown: ", F.array_except(_keys(doc), fields)),
+        named("unknown stage: ", F.array_except(_keys(_at(doc, "stages")), stages)),
+        *top, F.array_compact(F.array(*values)), _items(doc, "gates", _gate), _items(doc, "milestones", _milestone),
+    ]
+    ids = F.filter(F.transform(F.try_variant_get(doc, "$.milestones", "array<variant>"), lambda m: F.try_variant_get(m, "$.id", "string")), lambda i: i.isNotNull())
+    twice = F.when(F.size(ids) > F.size(F.array_distinct(ids)), F.array(F.lit("milestones: repeated id")))
+    parts.append(F.coalesce(twice, F.array().cast("array<string>")))
+    found = F.when(F.coalesce(_kind(doc), F.lit("")) == "OBJECT", F.concat(*parts)).otherwise(F.array(F.lit("document")))
+    return states.withColumn("_doc", F.try_parse_json(doc_col)).select(*keys, F.explode(found).alias("problem"))

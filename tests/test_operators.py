@@ -337,3 +337,41 @@ def test_psr_far_from_zero(spark):
     x = np.random.default_rng(2).gamma(2.0, 1.0, 400)
     z = [spark.createDataFrame([(float(a + b),) for a in x], "r double").agg(psr_z(F.col("r") - b)).first()[0] for b in (0.0, 1e6)]
     assert z[1] == pytest.approx(z[0], rel=1e-6)
+
+
+def test_state_documents(spark):
+    import copy
+    import json
+
+    from quillon.plans import state
+
+    good = {f: None for f in state.FIELDS} | {
+        "report_id": "r001_a", "mode": "auto", "reproduction_mode": "strict", "status": "running", "current_stage": "init", "tags": [], "paths": {}, "coverage_stats": {}, "assumptions": {}, "blockers": [], "events": [], "external_reviews": [],
+        "stages": {s: {"status": "pending", "attempts": 0} for s in state.STAGES}, "gates": [{"stage": "plan", "checks": [], "verdict": "PASS", "timestamp": "t"}],
+        "milestones": [{"id": "m1", "name": "a", "deps": [], "implement": "done", "code_review": "pending", "verify": "pending"}], "iteration": {"current": 0, "max": 3, "history": []}, "verdict": {"result": None},
+    }
+
+    def changed(path, value):
+        doc = copy.deepcopy(good)
+        *way, last = path
+        at = doc
+        for step in way:
+            at = at[step]
+        at[last] = value
+        return doc
+
+    without, more = copy.deepcopy(good), good | {"extra": 1}
+    del without["blockers"]
+    cases = {
+        "good": (good, []), "mode": (changed(["mode"], "x"), ["mode"]), "null": (changed(["status"], None), ["status"]), "may": (changed(["type"], 3), ["type"]), "extra": (more, ["unknown: extra"]),
+        "less": (without, ["blockers: kind", "missing: blockers"]), "id": (changed(["report_id"], ""), ["report_id"]), "tags": (changed(["tags"], {}), ["tags: kind"]),
+        "tries": (changed(["stages", "plan", "attempts"], -1), ["stages.plan.attempts"]), "bool": (changed(["stages", "plan", "attempts"], True), ["stages.plan.attempts"]), "stage": (changed(["stages", "plan"], 1), ["stages.plan: kind"]),
+        "new": (changed(["stages", "odd"], {}), ["unknown stage: odd"]), "gate": (changed(["gates"], [{"stage": 1}, good["gates"][0] | {"verdict": "pass"}]), ["gates[0].fields", "gates[1].verdict"]),
+        "twice": (changed(["milestones"], good["milestones"] * 2), ["milestones: repeated id"]), "deps": (changed(["milestones", 0, "deps"], "m0"), ["milestones[0].deps"]), "verify": (changed(["milestones", 0, "verify"], "ok"), ["milestones[0].verify"]),
+        "current": (changed(["iteration", "current"], "1"), ["iteration.current: kind"]), "verdict": (changed(["verdict"], {}), ["verdict.result: missing"]), "result": (changed(["verdict", "result"], "won"), ["verdict.result"]), "list": ([], ["document"]),
+    }
+    rows = [(k, json.dumps(d)) for k, (d, _) in cases.items()] + [("text", "{no"), ("none", None)]
+    found: dict[str, list[str]] = {}
+    for r in state.state_problems(spark.createDataFrame(rows, "case_id string, state string")).collect():
+        found.setdefault(r.case_id, []).append(r.problem)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(w) for k, (_, w) in cases.items() if w} | {"text": ["document"], "none": ["document"]}
