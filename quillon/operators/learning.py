@@ -1,7 +1,8 @@
 """Sequence models over window tables: training with early stopping, prediction, gradients and Euler steps.
 
-Models are small numpy cells. Training of several models runs as one task each;
-prediction and gradients run over partitions of windows with the weights broadcast.
+Models are small numpy cells whose weights go to every partition of windows. A training step
+adds gradients over partitions, so a task holds a batch of windows and the driver only
+weights and sums; prediction and importance run over partitions alike.
 """
 
 from __future__ import annotations
@@ -15,21 +16,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import table
+
 KINDS = ("gru", "cfc", "ltc")
 
 
 @dataclass(frozen=True)
 class TrainingSettings:
+    """steps: parts that the training windows are dealt to; an epoch takes a step on each."""
+
     hidden: int = 8
     epochs: int = 30
-    batch: int = 128
+    steps: int = 4
     rate: float = 0.01
     patience: int = 5
     min_delta: float = 0.0
     seed: int = 7
 
     def __post_init__(self):
-        if min(self.hidden, self.epochs, self.batch, self.patience) < 1 or self.rate <= 0 or self.min_delta < 0:
+        if min(self.hidden, self.epochs, self.steps, self.patience) < 1 or self.rate <= 0 or self.min_delta < 0:
             raise ValueError("sizes, epochs, patience and rate must be positive")
 
 
@@ -124,42 +129,17 @@ class SequenceModel:
             dx[:, t], dh = self._back(saved[t], dh, g, x.shape[2])
         return g, dx
 
-    def fit(self, x: np.ndarray, y: np.ndarray, x_valid: np.ndarray, y_valid: np.ndarray, s: TrainingSettings) -> SequenceModel:
-        """Adam on mean squared error; stops when validation hasn't improved by min_delta for `patience` epochs, and takes the best back."""
-        if not (np.isfinite(x).all() and np.isfinite(y).all()):
-            raise ValueError("training data must be finite")
-        random = np.random.default_rng(s.seed)
-        m = {k: np.zeros_like(v) for k, v in self.params.items()}
-        v = {k: np.zeros_like(p) for k, p in self.params.items()}
-        best, kept, stale, n = np.inf, None, 0, 0
-        for epoch in range(s.epochs):
-            order, total = random.permutation(len(x)), 0.0
-            for at in range(0, len(x), s.batch):
-                i = order[at : at + s.batch]
-                out, saved, h = self.forward(x[i])
-                total += float(((out - y[i]) ** 2).sum())
-                g, _ = self.backward(x[i], saved, h, 2 * (out - y[i]) / len(i))
-                n += 1
-                for k, p in self.params.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    p -= s.rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
-            loss = float(((self.predict(x_valid) - y_valid) ** 2).mean())
-            if not np.isfinite(loss) or not np.isfinite(total):
-                raise ValueError(f"loss isn't finite in epoch {epoch}")
-            self.history.append({"epoch": epoch, "train_loss": total / len(x), "valid_loss": loss})
-            if loss < best - s.min_delta:
-                best, kept, stale = loss, {k: p.copy() for k, p in self.params.items()}, 0
-            else:
-                stale += 1
-                if stale >= s.patience:
-                    break
-        self.params = kept or self.params
-        return self
-
     def n_parameters(self) -> int:
         return sum(p.size for p in self.params.values())
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k, p in self.params.items():
+            self.params[k], at = values[at : at + p.size].reshape(p.shape), at + p.size
+
     def to_json(self) -> str:
         return json.dumps({"kind": self.kind, "params": {k: v.tolist() for k, v in self.params.items()}, "history": self.history})
 
@@ -173,23 +153,108 @@ def _array(windows: pd.Series) -> np.ndarray:
     return np.array([np.stack(w) for w in windows], dtype=float)
 
 
-def train_models(windows: DataFrame, kinds: Sequence[str], settings: TrainingSettings, window: str = "window", label: str = "label", split: str = "split") -> DataFrame:
-    """model, checkpoint (JSON), n_parameters: each kind in a task of its own. The test split never enters.
+@dataclass
+class _Run:
+    """A model in training: Adam's moments and the best weights so far."""
 
-    A task holds all training windows, as training by steps over them needs.
+    model: SequenceModel
+    settings: TrainingSettings
+    taken: int = 0
+    best: float = np.inf
+    stale: int = 0
+
+    def __post_init__(self):
+        n = self.model.n_parameters()
+        self.mean, self.square, self.kept = np.zeros(n), np.zeros(n), self.model.flat()
+
+    def step(self, gradient: np.ndarray) -> None:
+        self.taken += 1
+        self.mean = 0.9 * self.mean + 0.1 * gradient
+        self.square = 0.999 * self.square + 0.001 * gradient**2
+        moved = (self.mean / (1 - 0.9**self.taken)) / (np.sqrt(self.square / (1 - 0.999**self.taken)) + 1e-8)
+        self.model.set_flat(self.model.flat() - self.settings.rate * moved)
+
+    def end_epoch(self, epoch: int, train: float, valid: float) -> None:
+        if not np.isfinite([train, valid]).all():
+            raise ValueError(f"loss isn't finite in epoch {epoch}")
+        self.model.history.append({"epoch": epoch, "train_loss": train, "valid_loss": valid})
+        if valid < self.best - self.settings.min_delta:
+            self.best, self.kept, self.stale = valid, self.model.flat(), 0
+        else:
+            self.stale += 1
+
+
+def squared_error_sums(windows: DataFrame, models: dict[str, SequenceModel], gradients: bool, window: str = "window", label: str = "label") -> dict[str, tuple[int, float, np.ndarray]]:
+    """model: number of windows, sum of squared errors, and its gradient by parameter (empty without `gradients`).
+
+    A partition gives a row for each model and parameter; Spark adds them, so the driver gets as many rows as there are parameters.
     """
-    rows = windows.where(F.col(split).isin("train", "valid") & F.col(label).isNotNull()).select(window, label, split, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("model"))
+    sent = {k: m.to_json() for k, m in models.items()}
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.reset_index(drop=True)
-        kind = part["model"].iloc[0]
-        x, y, train = _array(part[window]), part[label].to_numpy(float), (part[split] == "train").to_numpy()
-        order = np.lexsort((y, x.reshape(len(x), -1)[:, 0]))  # whatever order the rows came in
-        x, y, train = x[order], y[order], train[order]
-        made = SequenceModel.create(kind, x.shape[2], settings.hidden, settings.seed).fit(x[train], y[train], x[~train], y[~train], settings)
-        return pd.DataFrame({"model": [kind], "checkpoint": [made.to_json()], "n_parameters": [made.n_parameters()]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {k: SequenceModel.from_json(t) for k, t in sent.items()}
+        sums = {k: np.zeros(2 + gradients * m.n_parameters()) for k, m in own.items()}
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = _array(b[window]), b[label].to_numpy(float)
+            for name, m in own.items():
+                out, saved, h = m.forward(x)
+                error = out - y
+                sums[name][:2] += len(b), (error**2).sum()
+                if gradients:
+                    g, _ = m.backward(x, saved, h, 2 * error)
+                    sums[name][2:] += np.concatenate([g[k].ravel() for k in m.params])
+        for name, total in sums.items():
+            yield pd.DataFrame({"model": name, "place": np.arange(len(total)), "total": total})
+
+    added = windows.select(window, label).mapInPandas(run, "model string, place long, total double").groupBy("model", "place").agg(F.sum("total").alias("total"))
+    found = {k: np.zeros(2 + gradients * m.n_parameters()) for k, m in models.items()}
+    for r in added.collect():
+        found[r.model][r.place] = r.total
+    return {k: (int(v[0]), float(v[1]), v[2:]) for k, v in found.items()}
 
-    return rows.groupBy("model").applyInPandas(run, "model string, checkpoint string, n_parameters long")
+
+def train_models(windows: DataFrame, kinds: Sequence[str], settings: TrainingSettings, window: str = "window", label: str = "label", split: str = "split") -> DataFrame:
+    """model, checkpoint (JSON), n_parameters of each kind, by Adam on mean squared error. The test split never enters.
+
+    Training windows are dealt to `steps` parts by a hash of their values and written once, in the shared folder; each
+    step adds the gradients of one part over its partitions, for all kinds in one job. A kind stops when validation hasn't
+    improved by min_delta for `patience` epochs; its best weights are kept. Empty splits, values that aren't
+    finite and losses that aren't are errors.
+    """
+    rows = windows.where(F.col(split).isin("train", "valid") & F.col(label).isNotNull()).select(F.col(window).alias("window"), F.col(label).cast("double").alias("label"), (F.col(split) == "train").alias("training"))
+    part = F.when(F.col("training"), F.pmod(F.xxhash64("window", "label"), F.lit(settings.steps))).otherwise(-1).cast("int")
+    rows = table(rows.select("window", "label", part.alias("part")), "windows", ["part"])
+    good = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    finite = good(F.col("label")) & F.forall(F.flatten("window"), good)
+    shape = rows.agg(F.count_if(F.col("part") >= 0), F.count_if(F.col("part") < 0), F.count_if(~F.coalesce(finite, F.lit(False))), F.max(F.size(F.element_at("window", 1)))).first()
+    if not shape[0] or not shape[1]:
+        raise ValueError("training and validation need rows")
+    if shape[2]:
+        raise ValueError("training data must be finite")
+    runs = {k: _Run(SequenceModel.create(k, shape[3], settings.hidden, settings.seed), settings) for k in kinds}
+    for epoch in range(settings.epochs):
+        going = {k: r.model for k, r in runs.items() if r.stale < settings.patience}
+        if not going:
+            break
+        seen, loss = dict.fromkeys(going, 0), dict.fromkeys(going, 0.0)
+        for i in range(settings.steps):
+            for k, (n, error, gradient) in squared_error_sums(rows.where(F.col("part") == i), going, True).items():
+                seen[k], loss[k] = seen[k] + n, loss[k] + error
+                if n:
+                    runs[k].step(gradient / n)
+        for k, (n, error, _) in squared_error_sums(rows.where("part < 0"), going, False).items():
+            runs[k].end_epoch(epoch, loss[k] / seen[k], error / n)
+    for r in runs.values():
+        r.model.set_flat(r.kept)
+    made = [(k, r.model.to_json(), r.model.n_parameters()) for k, r in runs.items()]
+    return windows.sparkSession.createDataFrame(made, "model string, checkpoint string, n_parameters long")
+
+
+def loaded(models: DataFrame) -> dict[str, SequenceModel]:
+    """The models of train_models: a row each."""
+    return {r.model: SequenceModel.from_json(r.checkpoint) for r in models.collect()}
 
 
 def history(models: DataFrame) -> DataFrame:
@@ -262,8 +327,8 @@ def rolling_train_predict(windows: DataFrame, ends: Sequence[str], settings: Tra
     for a, b in zip(ends, [*ends[1:], None]):
         past = windows.where(F.col("date") <= F.lit(a).cast("date"))
         held = F.pmod(F.xxhash64(*keys), F.lit(1000)) < int(1000 * valid_share)
-        made = train_models(past.withColumn("split", F.when(held, "valid").otherwise("train")), [kind], settings).first()
+        models = loaded(train_models(past.withColumn("split", F.when(held, "valid").otherwise("train")), [kind], settings))
         after = windows.where(F.col("date") > F.lit(a).cast("date")) if b is None else windows.where((F.col("date") > F.lit(a).cast("date")) & (F.col("date") <= F.lit(b).cast("date")))
-        part = predict(after, {kind: SequenceModel.from_json(made.checkpoint)}, keys)
+        part = predict(after, models, keys)
         out = part if out is None else out.unionByName(part)
     return out

@@ -98,21 +98,22 @@ def _windows(spark, d) -> DataFrame:
     return rows.select("stock_code", "date", "window", F.col("fwd").alias("label"), split.alias("split"))
 
 
-def _toy() -> dict[str, lr.SequenceModel]:
-    return {k: lr.SequenceModel.create(k, 2, 4, seed=3) for k in lr.KINDS}
+def _trained(windows: DataFrame, epochs: int) -> DataFrame:
+    return lr.train_models(windows, lr.KINDS, lr.TrainingSettings(hidden=4, epochs=epochs, steps=2, rate=0.03))
 
 
 def model_predict(spark, d):
-    return lr.predict(_windows(spark, d), _toy(), ["stock_code", "date"]).select("stock_code", "date", "model", _r("prediction", 6))
+    windows = _windows(spark, d)
+    return lr.predict(windows, lr.loaded(_trained(windows, 2)), ["stock_code", "date"]).select("stock_code", "date", "model", _r("prediction", 6))
 
 
 def model_training(spark, d):
-    made = lr.train_models(_windows(spark, d), lr.KINDS, lr.TrainingSettings(hidden=4, epochs=4, batch=256))
-    return lr.history(made).select("model", "epoch", _r("train_loss", 6), _r("valid_loss", 6))
+    return lr.history(_trained(_windows(spark, d), 4)).select("model", "epoch", _r("train_loss", 6), _r("valid_loss", 6))
 
 
 def gradient_importance(spark, d):
-    return lr.gradient_importance(_windows(spark, d), _toy(), ["factor", "f2"]).select("model", "feature", _r("importance", 6))
+    windows = _windows(spark, d)
+    return lr.gradient_importance(windows, lr.loaded(_trained(windows, 2)), ["factor", "f2"]).select("model", "feature", _r("importance", 6))
 
 
 def ode_euler(spark, d):

@@ -6,12 +6,11 @@ add in another order still see the same ties.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -213,12 +212,7 @@ MARKET = {
 
 def market_root(spark: SparkSession, sf_dir: str, *names: str) -> str:
     """A new root in the shared folder that holds the named market tables, written from the test tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="quillon-")
-    root = f"{shared.rstrip('/')}/market-{uuid.uuid4().hex}"
+    root = folder(spark, "market")
     for name in names:
         MARKET[name](spark, sf_dir).write.parquet(f"{root}/{name}.parquet")
     return root
