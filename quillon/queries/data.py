@@ -121,6 +121,12 @@ def window_tensor(spark, d):
     return ft.window_tensor(rows, ["factor", "fwd"], 6).select("stock_code", "date", "window")
 
 
+def window_tensor_rows(spark, d):
+    """The tensors of window_tensor, a row for each step."""
+    made = window_tensor(spark, d).select("stock_code", "date", F.posexplode("window").alias("step", "x"))
+    return made.select("stock_code", "date", F.col("step").cast("long").alias("step"), F.col("x")[0].alias("factor"), F.col("x")[1].alias("fwd"))
+
+
 def learning_data(spark, d):
     made = ft.prepare_learning_data(syn.panel(spark, d), syn.calendar(spark, d), SEGMENTS, ["factor", "fwd"], 6, ["train", "valid"], ["test"], price="px")
     return made.samples.select("stock_code", "date", "split", _r("label", 6), _r("factor", 5), _r("fwd", 5))
@@ -130,7 +136,7 @@ def deterministic_sample(spark, d):
     return validate.deterministic_sample(syn.panel(spark, d).select("stock_code", "date"), ["stock_code", "date"], 50, 7)
 
 
-QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, learning_data, deterministic_sample)}
+QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, window_tensor_rows, learning_data, deterministic_sample)}
 
 _IN = "EXISTS (SELECT 1 FROM {t} i WHERE i.code = d.code AND i.start <= d.date AND (i.stop IS NULL OR d.date < i.stop))"
 _KEPT = "kept AS (SELECT * FROM panel WHERE stock_code % 7 <> 0 OR month(date) <> 5)"
@@ -142,9 +148,13 @@ _VWAP = """v1 AS (SELECT *, coalesce(turnover > 0 AND volume > 0 AND close > 0 A
 v2 AS (SELECT *, CASE WHEN checked THEN turnover / volume END AS raw FROM v1), v3 AS (SELECT *, coalesce(raw BETWEEN low * 0.9 AND high * 1.1 AND raw / close BETWEEN 0.9 AND 1.1, false) AS passed FROM v2),
 v4 AS (SELECT *, CASE WHEN passed THEN raw * close_forward / close END AS vwap FROM v3)"""
 _WINDOWS = "windows AS (SELECT stock_code, k.date, row_number() OVER w AS row_end, trade_index - lag(trade_index, 5) OVER w AS gap FROM {t} k JOIN calendar c ON c.date = k.date WHERE factor IS NOT NULL AND fwd IS NOT NULL WINDOW w AS (PARTITION BY stock_code ORDER BY k.date))"
-_FIT = """long AS (SELECT 'factor' AS feature, factor AS x FROM panel UNION ALL SELECT 'px', px FROM panel UNION ALL SELECT 'fwd', fwd FROM panel WHERE fwd IS NOT NULL),
-cut AS (SELECT feature, quantile_cont(x, 0.01) AS low, quantile_cont(x, 0.99) AS high FROM long GROUP BY 1),
+_FITTED = """cut AS (SELECT feature, quantile_cont(x, 0.01) AS low, quantile_cont(x, 0.99) AS high FROM long GROUP BY 1),
 fitted AS (SELECT feature, low, high, avg(least(greatest(x, low), high)) AS mean, stddev_pop(least(greatest(x, low), high)) AS std FROM long JOIN cut USING (feature) GROUP BY 1, 2, 3)"""
+_FIT = "long AS (SELECT 'factor' AS feature, factor AS x FROM panel UNION ALL SELECT 'px', px FROM panel UNION ALL SELECT 'fwd', fwd FROM panel WHERE fwd IS NOT NULL),\n" + _FITTED
+_SAMPLES = """samples AS (SELECT w.stock_code, w.date, p.factor, p.fwd, s.split, s.label, coalesce(w.gap = 5 AND s.split IS NOT NULL AND (s.label IS NOT NULL OR s.split = 'test'), false) AS sample
+  FROM windows w JOIN panel p ON p.stock_code = w.stock_code AND p.date = w.date JOIN split s ON s.stock_code = w.stock_code AND s.date = w.date),
+marked AS (SELECT *, max(CASE WHEN sample AND split = 'train' THEN 1 ELSE 0 END) OVER (PARTITION BY stock_code ORDER BY date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) = 1 AS used FROM samples),
+long AS (SELECT 'factor' AS feature, factor AS x FROM marked WHERE used UNION ALL SELECT 'fwd', fwd FROM marked WHERE used)"""
 
 ORACLE_SQL = {
     "pushdown_scan": "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey IN (1, 2, 3, 5, 8, 13) AND o_orderdate BETWEEN '1996-01-01' AND '1999-12-31'",
@@ -170,5 +180,9 @@ ORACLE_SQL = {
     "fit_preprocessor": _with(PANEL, _FIT) + "SELECT feature, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM fitted",
     "transform_features": _with(PANEL, _FIT, "f AS (SELECT * FROM fitted WHERE feature = 'factor')", "p AS (SELECT * FROM fitted WHERE feature = 'px')")
     + "SELECT stock_code, date, round((least(greatest(factor, f.low), f.high) - f.mean) / f.std, 5) + 0.0 AS factor, round((least(greatest(px, p.low), p.high) - p.mean) / p.std, 5) + 0.0 AS px FROM panel, f, p",
+    "window_tensor_rows": _with(PANEL, CALENDAR, _WINDOWS.format(t="panel"), "rows AS (SELECT w.*, p.factor, p.fwd FROM windows w JOIN panel p ON p.stock_code = w.stock_code AND p.date = w.date)")
+    + "SELECT w.stock_code, w.date, r.row_end - w.row_end + 5 AS step, r.factor, r.fwd FROM windows w JOIN rows r ON r.stock_code = w.stock_code AND r.row_end BETWEEN w.row_end - 5 AND w.row_end WHERE w.gap = 5",
+    "learning_data": _with(PANEL, CALENDAR, "kept AS (SELECT * FROM panel)", _LABELS, _SPLIT, _WINDOWS.format(t="panel"), _SAMPLES, _FITTED, "f AS (SELECT * FROM fitted WHERE feature = 'factor')", "w AS (SELECT * FROM fitted WHERE feature = 'fwd')")
+    + "SELECT stock_code, date, split, round(label, 6) + 0.0 AS label, round((least(greatest(factor, f.low), f.high) - f.mean) / f.std, 5) + 0.0 AS factor, round((least(greatest(fwd, w.low), w.high) - w.mean) / w.std, 5) + 0.0 AS fwd FROM marked, f, w WHERE sample",
     "deterministic_sample": _with(PANEL) + "SELECT stock_code, date FROM panel ORDER BY md5('7|' || stock_code || '|' || date) LIMIT 50",
 }

@@ -21,7 +21,7 @@ def test_sql(spark, duck, name):
     same_rows(catalogue.queries()[name](spark, SF), duck.execute(SQL[name]).df())
 
 
-WITHOUT_SQL = {"window_tensor", "learning_data", "mean_variance", "risk_parity", "risk_budget", "hrp", "herc", "min_variance", "nco", "olmar", "simulate_paths", "trades", "holdings", "top_bottom_returns", "model_predict", "model_training", "gradient_importance"}
+WITHOUT_SQL = {"window_tensor", "mean_variance", "risk_parity", "risk_budget", "hrp", "herc", "min_variance", "nco", "olmar", "simulate_paths", "trades", "holdings", "top_bottom_returns", "model_predict", "model_training", "gradient_importance"}
 
 
 def test_all_others_have_sql():
