@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: Conclusions of an out-of-sample check, and attributions that explain a failed metric.
 CONCLUSIONS = ("continues", "decayed", "failed", "insufficient_data")
 ATTRIBUTIONS = ("accepted", "assumption_linked")
@@ -116,6 +118,7 @@ def fresh(files: DataFrame) -> DataFrame:
 
 def has_cycle(milestones: DataFrame) -> bool:
     """milestones: id, deps. Nodes without open dependencies are taken away until none is left or none goes; unknown ids don't count."""
+    shared_dir(milestones.sparkSession)  # for the checkpoints
     ids = milestones.select("id").distinct()
     edges = milestones.select("id", F.explode("deps").alias("dep")).join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").distinct().cache()
     left = edges.count()

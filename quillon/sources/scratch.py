@@ -9,14 +9,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset in local mode (tests), below a temporary one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset in local mode (tests), a new one, which checkpoints then use too."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="quillon-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    return shared.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
