@@ -1,4 +1,4 @@
-"""Places that every executor can reach, and tables written there.
+"""What the training-data operators share; their written tables lie where every executor can reach them.
 
 Lineage is cut only through these: executors may be lost at any time, so nothing
 that a later stage reads may live on one machine alone.
@@ -6,33 +6,11 @@ that a later stage reads may live on one machine alone.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset in local mode (tests), a new one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; its size is then known to the planner."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import folder as new_folder  # noqa: F401
+from ..sources.scratch import table as written  # noqa: F401
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
