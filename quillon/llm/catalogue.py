@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["license_scan", "fingerprints", "sstable", "toxicity", "simhash", "quality", "line_dedup", "mixing", "byte_bpe", "chat"]
+MODULES = ["license_scan", "fingerprints", "sstable", "toxicity", "simhash", "quality", "line_dedup", "mixing", "byte_bpe", "chat", "chat_repair", "exact_dedup", "collocations"]
 
 
 def _merged(name: str) -> dict:
