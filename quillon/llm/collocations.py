@@ -8,9 +8,10 @@ sums over blocks tell which words are frequent everywhere.
 
 Each further level extends the frequent phrases of every block: their lists are
 merged by place with the lists of the frequent words, one place after the phrase's
-end, and what meets is a list of the longer phrase. Only (block, phrase, length)
-goes to the sum; a block gets back which of its phrases are frequent, never a
-dictionary of the corpus. So nothing is broadcast, a frequent phrase is one row a
+end, and what meets is a list of the longer phrase, if all its words but the first are a
+frequent phrase, too. A phrase is the number of its beginning and that of its last word,
+so only numbers go to the sums; a block gets back which of its phrases are frequent,
+never a dictionary of the corpus, and phrases are spelled out once they are known. So nothing is broadcast, a frequent phrase is one row a
 block, and a task holds one block at a time. The last places of a block are also the first of
 the next, where the text goes on: they end phrases and begin none.
 
@@ -48,7 +49,9 @@ SHARE = 80
 TOP = 2000
 SCALE = 2_000_000
 
-BLOCK = 1 << 21  # places of a block, about
+BLOCK = 6_000_000  # places of a block, about
+NUMBER = 24  # bits of a phrase's number within its block, which has fewer places
+SEQUENCE = 14  # bits of a block's number within its task
 PART = 1 << 20  # bytes of a text that are split at once
 ROWS = 1 << 16  # of an Arrow batch that a task hands out
 SALTS = 64
@@ -108,7 +111,7 @@ ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), p
 
 def _blocks(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) as blocks of inverted lists."""
-    number, block = TaskContext.get().partitionId() << 32, Block()
+    number, block = TaskContext.get().partitionId() << SEQUENCE, Block()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for words in tokens(text, min(PART, 8 * places)):
@@ -132,70 +135,95 @@ def postings(df: DataFrame, text_col: str = "text", lang_col: str = "lang", plac
     return written(rows.mapInArrow(lambda batches: _blocks(batches, places), schema), "phrase_postings")
 
 
-def extended(own: int, words: list[str], sizes: np.ndarray, places: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Of one block: the keys of phrases one word longer than frequent has levels, their list lengths, and the phrases.
+def places_of(numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands in numbers, which holds them all once."""
+    order = np.argsort(numbers)
+    return order[np.searchsorted(numbers, wanted, sorter=order)]
 
-    frequent: for each level the ascending keys of the block's frequent phrases. The key of
-    a word is its code; that of a longer phrase is its beginning's number in the level before, then its last word's code.
+
+def meeting(ascending: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges two ascending lists: which wanted ones are there, and where those are."""
+    at = np.searchsorted(ascending, wanted)
+    at[at == len(ascending)] = 0
+    meets = ascending[at] == wanted if len(ascending) else np.zeros(len(wanted), bool)
+    return meets, at[meets]
+
+
+def extended(own: int, sizes: np.ndarray, places: np.ndarray, words: tuple, longer: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: (number of the beginning, number of the last word, list length) of phrases one word longer than the longest known ones.
+
+    words: code in the block and number of its frequent words. longer: for each further
+    level the numbers of the beginning, of the last word and of the phrase itself.
     """
-    code = np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    mine = np.zeros(len(sizes) + 1, bool)
-    mine[frequent[0]] = True
-    held = mine[code]
-    order = np.argsort(places[held], kind="stable")
-    place, word = places[held][order], code[held][order]  # the frequent words' lists, merged
-    start, phrase, names = place, np.searchsorted(frequent[0], word), [words[c - 1] for c in frequent[0]]
-    for level in range(1, len(frequent) + 1):
-        at = np.searchsorted(place, start + level)
-        at[at == len(place)] = 0
-        meets = place[at] == start + level if len(place) else np.zeros(0, bool)
-        start, key = start[meets], phrase[meets] << 32 | word[at[meets]]
-        if level < len(frequent):
-            known = frequent[level]
-            phrase = np.searchsorted(known, key)
-            phrase[phrase == len(known)] = 0
-            goes_on = known[phrase] == key if len(known) else np.zeros(len(key), bool)
-            start, phrase = start[goes_on], phrase[goes_on]
-            names = [f"{names[k >> 32]} {words[(k & 0xFFFFFFFF) - 1]}" for k in known.tolist()]
-    keys, n = np.unique(key[start < own], return_counts=True)
-    return keys, n, [f"{names[k >> 32]} {words[(k & 0xFFFFFFFF) - 1]}" for k in keys.tolist()]
+    order = np.argsort(words[1])
+    numbers = word_numbers = words[1][order]
+    local = np.zeros(len(sizes) + 1, np.int32)
+    local[words[0][order]] = np.arange(1, len(order) + 1)
+    word = np.repeat(local[1:], sizes)
+    place, word = places[word > 0], word[word > 0]
+    order = np.argsort(place, kind="stable")
+    place, word = place[order], word[order].astype(np.int64) - 1  # the frequent words' lists, merged
+    start, phrase = place, word
+    for level in range(1, len(longer) + 2):
+        ends = np.ones(len(start), bool) if level == 1 else meeting(start, start + 1)[0]  # all words but the first are a frequent phrase, too
+        start, phrase = start[ends], phrase[ends]
+        meets, at = meeting(place, start + level)
+        start, key = start[meets], phrase[meets] << 32 | word[at]
+        if level <= len(longer):
+            beginning, last, number = longer[level - 1]
+            known = places_of(numbers, beginning) << 32 | places_of(word_numbers, last)
+            order = np.argsort(known)
+            numbers = number[order]
+            meets, phrase = meeting(known[order], key)
+            start = start[meets]
+    keys, n = np.unique(key, return_counts=True)
+    np.subtract.at(n, np.searchsorted(keys, key[start >= own]), 1)
+    return numbers[keys >> 32], word_numbers[keys & 0xFFFFFFFF], n
 
 
 def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            block, own, langs, words, sizes, places, *frequent = (batch.column(c)[i] for c in range(batch.num_columns))
-            words, langs = words.as_py(), langs.as_py()
-            frequent = [np.sort(f.values.to_numpy(zero_copy_only=False)) if f.is_valid else np.zeros(0, np.int64) for f in frequent]
-            keys, n, phrases = extended(own.as_py(), words, sizes.values.to_numpy(), unpacked(places.as_py()), frequent)
-            for at in range(0, len(keys), ROWS):
-                some = keys[at : at + ROWS]
-                lang = [langs[c - 1] for c in (some & 0xFFFFFFFF).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(some), pa.int64()), pa.array(lang, pa.string()), pa.array(phrases[at : at + ROWS], pa.string()), pa.array(n[at : at + ROWS]), pa.array(some)], ["block", "lang", "phrase", "n", "key"])
+            block, own, sizes, places, *levels = (batch.column(c)[i] for c in range(batch.num_columns))
+            levels = [tuple(f.to_numpy(zero_copy_only=False) for f in level.values.flatten()) for level in levels]
+            made = extended(own.as_py(), sizes.values.to_numpy(zero_copy_only=False), unpacked(places.as_py()), levels[0], levels[1:])
+            for at in range(0, len(made[0]), ROWS):
+                some = [pa.array(x[at : at + ROWS]) for x in made]
+                own_numbers = pa.array((block.as_py() << NUMBER) + np.arange(at, at + len(some[0])))
+                yield pa.RecordBatch.from_arrays([some[0], some[1], own_numbers, some[2]], ["beginning", "last", "at", "n"])
 
 
-def frequent_of(lengths: DataFrame, level: int, least: int) -> DataFrame:
-    """lengths: block, lang, phrase, n, key. Those of phrases with `least` occurrences or more in all blocks, with that number f.
+def frequent_of(lengths: DataFrame, by: list[str], level: int, least: int) -> DataFrame:
+    """lengths: by, at, n. Those of phrases with `least` occurrences or more in all blocks, with their sum f and the phrase's number.
 
-    A phrase has a row for each block at most, so none is large.
+    A phrase has a row for each block at most, so none is large; its number is the least `at`.
     """
-    f = F.sum("n").over(Window.partitionBy("lang", "phrase"))
-    return written(lengths.withColumn("f", f).where(F.col("f") >= least).drop("n"), f"phrases_{level}")
+    phrase = Window.partitionBy(*by)
+    rows = lengths.withColumns({"f": F.sum("n").over(phrase), "number": F.min("at").over(phrase)}).where(F.col("f") >= least)
+    return written(rows.select(*by, "at", "number", "f"), f"phrases_{level}")
 
 
 def mined(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, places: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all frequent phrases up to `longest` words, and (lang, n)."""
     blocks = postings(df, text_col, lang_col, places)
     totals = blocks.select(F.explode(F.arrays_zip("langs", "counts")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n"))
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "e"))
-    lengths = entries.select("block", F.col("e.langs").alias("lang"), F.col("e.words").alias("phrase"), F.col("e.counts").cast("long").alias("n"), (F.col("at") + 1).cast("long").alias("key"))
-    levels = [frequent_of(lengths, 1, least)]
-    rows = blocks.select("block", "own", "langs", "words", "sizes", "places")
+    entries = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("i", "e"))
+    at = F.shiftleft("block", NUMBER) + F.col("i") + 1
+    entries = entries.select(F.col("e.langs").alias("lang"), F.col("e.words").alias("phrase"), at.alias("at"), F.col("e.counts").cast("long").alias("n"))
+    found = frequent_of(entries, ["lang", "phrase"], 1, least)
+    block = F.shiftright("at", NUMBER).alias("block")
+    code = F.col("at").bitwiseAND((1 << NUMBER) - 1).alias("code")
+    rows = blocks.select("block", "own", "sizes", "places").join(found.groupBy(block).agg(F.collect_list(F.struct(code, "number")).alias("level_1")), "block")
+    words = found.where("at = number").select("number", "lang", "phrase", "f")
+    levels = [words]
     for level in range(2, longest + 1):
-        rows = rows.join(levels[-1].groupBy("block").agg(F.collect_list("key").alias(f"frequent_{level - 1}")), "block")
-        lengths = rows.mapInArrow(_extensions, "block long, lang string, phrase string, n long, key long")
-        levels.append(frequent_of(lengths, level, least))
-    all_ = [p.groupBy("lang", "phrase").agg(F.first("f").alias("f")).select("lang", "phrase", F.lit(k).alias("words"), "f") for k, p in enumerate(levels, 1)]
+        found = frequent_of(rows.mapInArrow(_extensions, "beginning long, last long, at long, n long"), ["beginning", "last"], level, least)
+        if level < longest:
+            rows = rows.join(found.groupBy(block).agg(F.collect_list(F.struct("beginning", "last", "number")).alias(f"level_{level}")), "block")
+        named = found.where("at = number").join(levels[-1].select(F.col("number").alias("beginning"), "lang", F.col("phrase").alias("head")), "beginning")
+        named = named.join(words.select(F.col("number").alias("last"), F.col("phrase").alias("tail")), "last")
+        levels.append(written(named.select("number", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases_named_{level}"))
+    all_ = [p.select("lang", "phrase", F.lit(k).alias("words"), "f") for k, p in enumerate(levels, 1)]
     return written(reduce(DataFrame.unionByName, all_), "phrases"), totals
 
 
