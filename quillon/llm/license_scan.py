@@ -13,6 +13,8 @@ equal rows; other columns of the input are left out, whatever their names.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from .shared import documents, let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARK = "\u0001"
+RUN = 256
 
 
 def normalised(text: Column) -> Column:
@@ -38,19 +41,13 @@ def spaces(text: Column) -> Column:
 
 
 def _rule_table(table: list[Rule]) -> Column:
-    """An array of keywords, each with the array of its rules."""
-    by_keyword: dict[str, list[Column]] = {}
+    """An array of keywords, each with the array of its rules, as one constant."""
+    by_keyword: dict[str, list[dict]] = {}
     for i, r in enumerate(table):
-        rule = F.struct(
-            F.lit(i).alias("rank"),
-            F.lit(f" (?:{r.regex})(?= )").alias("regex"),
-            F.lit(r.label).alias("label"),
-            F.lit(r.priority).alias("priority"),
-            F.lit(r.weight).alias("weight"),
-            F.lit(r.base).alias("base"),
-        )
+        rule = {"rank": i, "regex": f" (?:{r.regex})(?= )", "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base}
         by_keyword.setdefault(" " + r.keyword, []).append(rule)
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    rules_ = json.dumps([{"keyword": k, "rules": own} for k, own in by_keyword.items()])
+    return F.from_json(F.lit(rules_), "array<struct<keyword:string,rules:array<struct<rank:int,regex:string,label:string,priority:int,weight:double,base:boolean>>>>")
 
 
 def _hits(norm: Column, rule: Column) -> Column:
@@ -75,7 +72,11 @@ def _hits(norm: Column, rule: Column) -> Column:
 
 
 def _unsuppressed(hits: Column, levels: int) -> Column:
-    """hits sorted by start, longest first, best priority first: what could contain a hit comes before it."""
+    """hits sorted by start, longest first, best priority first: what could contain a hit comes before it.
+
+    Hits are gone through RUN at a time: appending to an array copies it, so one long array of
+    kept hits would cost the square of their number.
+    """
     none = F.array_repeat(F.lit(-1), levels)
 
     def step(acc: Column, hit: Column) -> Column:
@@ -86,8 +87,15 @@ def _unsuppressed(hits: Column, levels: int) -> Column:
             F.when(inside | hit["base"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(hit))).alias("kept"),
         )
 
-    start = F.struct(none.alias("ends"), F.slice(hits, F.lit(1), F.lit(0)).alias("kept"))
-    return F.aggregate(hits, start, step, lambda acc: acc["kept"])
+    no_hits = F.slice(hits, F.lit(1), F.lit(0))
+
+    def run(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(hits, i * RUN + 1, F.lit(RUN)), F.struct(acc["ends"].alias("ends"), no_hits.alias("kept")), step)
+        return let(own, lambda o: F.struct(o["ends"].alias("ends"), F.concat(acc["runs"], F.array(o["kept"])).alias("runs")))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
+    start = F.struct(none.alias("ends"), F.slice(F.array(no_hits), F.lit(1), F.lit(0)).alias("runs"))
+    return F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"]))
 
 
 def _joined(labels: Column) -> Column:

@@ -250,6 +250,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(nodes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of df for each component: the least by (id_col, hash of the text, hash of the other columns), those without id_col last.
+
+    Rows are told apart by that key, not by id_col alone; of rows that are equal in all columns one
+    stays. Only the keys of rows that go, and of those that are repeated, meet the texts.
+    """
+    small_batches(df.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    key = {
+        "_near_id": F.col(f"`{id_col}`"),
+        "_near_a": F.xxhash64(text),
+        "_near_b": F.xxhash64(F.lit(1), text),
+        "_near_c": F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long"),
+    }
+    names = list(key)
+    rows = written(df.select(*[c.alias(n) for n, c in key.items()], simhash_column(text).alias("fp")), "near_keys")
+    nodes = written(rows.select("fp").distinct(), "near_nodes")
+    roots = components(linked(nodes))
+    roots = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "near_roots")
+    rows = rows.groupBy("fp", *names).agg(F.count(F.lit(1)).alias("times")).join(roots, "fp")
+    order = F.struct(F.col("_near_id").isNull().alias("unnamed"), *names)
+    best = written(rows.groupBy("root").agg(F.min(order).alias("best")), "near_best").withColumnRenamed("root", "best_root")
+    rows = written(rows.join(best, F.col("root") == F.col("best_root")).select(*names, "times", (order == F.col("best")).alias("stays")), "near_verdicts")
+    side = lambda x: x.select(*[F.col(n).alias(f"{n}_") for n in names])
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
+    left = df.withColumns(key).join(side(rows.where("NOT stays")), same, "left_anti")
+    again = side(rows.where("stays AND times > 1"))
+    if not again.take(1):
+        return left.select(*df.columns)
+    once = left.join(again, same, "left_anti")
+    return once.unionByName(left.join(again, same, "left_semi").dropDuplicates(names)).select(*df.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

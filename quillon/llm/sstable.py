@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import pieces
 from .shared import documents, new_folder, small_batches
 
-MAGIC = b"QSST0001"
+MAGIC = b"QSST0002"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, length; filter at, length; entries; ids; MAGIC
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -128,7 +128,7 @@ class Writer:
         shared = len(os.path.commonprefix([self.last, key]))
         short = not len(ids) or int(ids.max()) < 1 << 16
         body = ids.astype("<u2" if short else "<u4").tobytes()
-        head = struct.pack("<HHIQB", shared, len(key) - shared, len(ids), self.ids, 2 if short else 4)
+        head = struct.pack("<IIIQB", shared, len(key) - shared, len(ids), self.ids, 2 if short else 4)
         self.block += [head, key[shared:], body]
         self.size += len(head) + len(key) - shared + len(body)
         self.last = key
@@ -149,7 +149,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        index = b"".join(struct.pack("<HQI", len(k), at, n) + k for k, at, n in self.index)
+        index = b"".join(struct.pack("<IQI", len(k), at, n) + k for k, at, n in self.index)
         bits = max(64, self.entries * BLOOM_BITS)
         bloom = np.zeros((bits + 7) // 8 * 8, bool)
         a, b = (np.frombuffer(h, np.uint64) if h else np.zeros(0, np.uint64) for h in self.hashes)
@@ -171,8 +171,8 @@ class Reader:
             raise ValueError("not a shard")
         raw, at, self.firsts, self.blocks = file.read_at(index_n, index_at), 0, [], []
         while at < len(raw):
-            n, offset, length = struct.unpack_from("<HQI", raw, at)
-            at += 14
+            n, offset, length = struct.unpack_from("<IQI", raw, at)
+            at += 16
             self.firsts.append(raw[at : at + n])
             self.blocks.append((offset, length))
             at += n
@@ -184,8 +184,8 @@ class Reader:
         offset, length = self.blocks[i]
         raw, at, key = zstandard.ZstdDecompressor().decompress(self.file.read_at(length, offset)), 0, b""
         while at < len(raw):
-            shared, rest, n, before, width = struct.unpack_from("<HHIQB", raw, at)
-            at += 17
+            shared, rest, n, before, width = struct.unpack_from("<IIIQB", raw, at)
+            at += 21
             key = key[:shared] + raw[at : at + rest]
             at += rest
             yield key, before, np.frombuffer(raw, f"<u{width}", n, at).astype("<u4")

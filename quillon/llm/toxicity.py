@@ -7,7 +7,8 @@ one weight vector is shared by all thresholds: P(grade <= k) = s(t_k - w x), wit
 s the logistic function and t_1 < t_2 < ... The output is the expected grade.
 
 The labels say only toxic or not. A toxic text's grade above 0 follows how many
-distinct telling features it holds, in thirds: 1 mild, 2 strong, 3 severe. Which ones
+distinct telling features it holds, in thirds: 1 mild, 2 strong, 3 severe; ties are in the
+milder one, so a text without any is mild. Which ones
 are telling is learnt for this from the other half of the training rows, so a text's
 own label has no part in its grade.
 
@@ -90,7 +91,7 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         for i in np.flatnonzero(half == k):
             amount[i] = known[rows[i]].sum()
     edges = np.quantile(amount[toxic == 1], [1 / 3, 2 / 3])
-    return np.where(toxic == 1, 1 + np.searchsorted(edges, amount, side="right"), 0)
+    return np.where(toxic == 1, 1 + np.searchsorted(edges, amount, side="left"), 0)
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Ordinal:

@@ -279,3 +279,94 @@ def test_packed_lists():
 
     for x in ([], [5], [0, 3, 9, 2, 4], list(range(1000)) * 3):
         assert collocations.unpacked(collocations.packed(np.array(x, np.int64))).tolist() == x
+
+
+# Mended operators ---------------------------------------------------------------------------------
+
+
+def stays_by_brute_force(rows):
+    """rows: (id, text). Of each component of fingerprints the least (id, text) as far as that is told by id; else its texts."""
+    from .test_llm import brute_components, simhash
+
+    fp = {t: simhash.simhash(t) & (2**64 - 1) for _, t in rows}
+    part = brute_components(set(fp.values()))
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[part[fp[t]]].append((i, t))
+    return groups
+
+
+UNLIKE = ["alpha beta gamma delta", "one two three four five", "red green blue white black pink", "north south east west up down left"]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark, parts):
+    import corpus_pipeline
+
+    a, b, c, d = UNLIKE
+    rows = [(1, a), (2, a), (2, c), (3, b), (3, d), (4, d), (None, c), (None, b), (5, a), (1, a), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+    out = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, a), (2, c), (3, b), (3, d)])
+
+
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.001", "0.01")])
+def test_near_dedup_of_repeated_ids(spark, sf):
+    """Every third row takes an id of another: each component keeps one row, one of least id."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 50).otherwise(F.col("doc_id")))
+    groups = stays_by_brute_force([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()])
+    out = [(r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()]
+    of = {t: k for k, own in groups.items() for _, t in own}
+    assert sorted(of[t] for _, t in out) == sorted(groups)
+    assert all(i == min(x for x, _ in groups[of[t]]) for i, t in out)
+    again = [(r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup_stage(spark, docs.repartition(5), sf).collect()]
+    assert sorted(again) == sorted(out)
+
+
+def test_license_scan_is_linear_in_hits(spark):
+    """Four times the text takes about four times as long, beyond what any text takes."""
+    import time
+
+    from quillon.llm import license_scan
+
+    line = "This is under the MIT License, the Apache License 2.0 and the GNU General Public License v3 or later.\n"
+
+    def took(n):
+        df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+        runs = []
+        for _ in range(2):
+            began = time.time()
+            row = license_scan.scan_licenses(df).first()
+            runs.append(time.time() - began)
+        assert row.n_base == 3 * n and row.n_words == 20 * n and row.labels == "apache,apache-2.0,gpl,gpl-3.0-or-later,mit"
+        return min(runs)
+
+    fixed, short, long = took(1), took(2000), took(8000)
+    print(fixed, short, long)
+    assert long - fixed < 8 * max(short - fixed, 0.5)
+
+
+def test_toxic_grades_of_ties():
+    import numpy as np
+
+    from quillon.llm import toxicity
+
+    rows = [np.array([i], np.int64) for i in range(10)]
+    toxic = np.array([1] * 5 + [0] * 5)
+    assert toxicity.graded(rows, toxic).tolist() == [1] * 5 + [0] * 5  # nothing is telling: mild, never severe
+
+
+def test_sstable_of_long_keys(spark, tmp_path):
+    import public_tokenizers
+
+    from quillon.llm import sstable
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = ["k" * 70_000 + str(i) for i in range(3)] + ["short"]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id string, text string")
+    sstable.write_shards(df, str(tmp_path / "s"), path)
+    assert sorted(r.id for r in sstable.read_shards(spark, str(tmp_path / "s")).collect()) == sorted(ids)
+    assert len(sstable.lookup(spark, str(tmp_path / "s"), ids[1])) == 1
