@@ -25,20 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document that names it stays, once; documents without doc_id stay.
-
-    Only the ids that go are joined with the texts.
-    """
-    found = simhash.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many"))
-    left = docs.join(written(copies, "near_copies"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = written(again, "repeated_ids")
-    if not again.take(1):
-        return left.select(*docs.columns)
-    once = left.join(again, F.col("doc_id") == F.col("_many"), "left_anti")
-    rest = left.join(again, F.col("doc_id") == F.col("_many"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(rest).select(*docs.columns)
+    """Of each component one row stays, told by doc_id and text, so that unlike texts of one doc_id each have their say."""
+    return simhash.representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
