@@ -49,7 +49,7 @@ SHARE = 80
 TOP = 2000
 SCALE = 2_000_000
 
-BLOCK = 6_000_000  # places of a block, about
+BLOCK = 3_000_000  # places of a block, about
 NUMBER = 24  # bits of a phrase's number within its block, which has fewer places
 SEQUENCE = 14  # bits of a block's number within its task
 PART = 1 << 20  # bytes of a text that are split at once
@@ -79,7 +79,7 @@ def packed(ascending: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
 
 
 class Block:
@@ -118,10 +118,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.Recor
                 block.add(lang, words)
                 if len(block.codes) >= places:
                     own = len(block.codes) - (LONGEST - 1)
+                    guests = [block.names[code] for code in block.codes[own:]]  # there, and the first places of the next
                     yield block.lists(number, own)
-                    number, old, block = number + 1, block, Block()
-                    for code in old.codes[own:]:  # guests there, and the first places here
-                        block.add(old.names[code][0], [old.names[code][1]])
+                    number, block = number + 1, Block()
+                    for owner, word in guests:
+                        block.add(owner, [word])
             block.add(lang, [BREAK])
     if len(block.names) > 1:
         yield block.lists(number, len(block.codes))
@@ -135,12 +136,6 @@ def postings(df: DataFrame, text_col: str = "text", lang_col: str = "lang", plac
     return written(rows.mapInArrow(lambda batches: _blocks(batches, places), schema), "phrase_postings")
 
 
-def places_of(numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted number stands in numbers, which holds them all once."""
-    order = np.argsort(numbers)
-    return order[np.searchsorted(numbers, wanted, sorter=order)]
-
-
 def meeting(ascending: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges two ascending lists: which wanted ones are there, and where those are."""
     at = np.searchsorted(ascending, wanted)
@@ -149,32 +144,31 @@ def meeting(ascending: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return meets, at[meets]
 
 
-def extended(own: int, sizes: np.ndarray, places: np.ndarray, words: tuple, longer: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block: (number of the beginning, number of the last word, list length) of phrases one word longer than the longest known ones.
+def extended(own: int, sizes: np.ndarray, places: np.ndarray, levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: (number of the beginning, number of the last word, list length) of phrases one word longer than the longest known ones, ascending.
 
-    words: code in the block and number of its frequent words. longer: for each further
-    level the numbers of the beginning, of the last word and of the phrase itself.
+    levels: the codes of the block's frequent words and their numbers, then the places that the
+    block's frequent longer phrases had in what this function returned for them, and their numbers.
     """
-    order = np.argsort(words[1])
-    numbers = word_numbers = words[1][order]
+    order = np.argsort(levels[0][1])
+    numbers = word_numbers = levels[0][1][order]
     local = np.zeros(len(sizes) + 1, np.int32)
-    local[words[0][order]] = np.arange(1, len(order) + 1)
+    local[levels[0][0][order]] = np.arange(1, len(order) + 1)
     word = np.repeat(local[1:], sizes)
     place, word = places[word > 0], word[word > 0]
     order = np.argsort(place, kind="stable")
     place, word = place[order], word[order].astype(np.int64) - 1  # the frequent words' lists, merged
     start, phrase = place, word
-    for level in range(1, len(longer) + 2):
-        ends = np.ones(len(start), bool) if level == 1 else meeting(start, start + 1)[0]  # all words but the first are a frequent phrase, too
-        start, phrase = start[ends], phrase[ends]
+    for level in range(1, len(levels) + 1):
+        if level > 1:  # all words but the first are a frequent phrase, too
+            ends = meeting(start, start + 1)[0]
+            start, phrase = start[ends], phrase[ends]
         meets, at = meeting(place, start + level)
         start, key = start[meets], phrase[meets] << 32 | word[at]
-        if level <= len(longer):
-            beginning, last, number = longer[level - 1]
-            known = places_of(numbers, beginning) << 32 | places_of(word_numbers, last)
-            order = np.argsort(known)
-            numbers = number[order]
-            meets, phrase = meeting(known[order], key)
+        if level < len(levels):
+            order = np.argsort(levels[level][0])
+            known, numbers = np.unique(key)[levels[level][0][order]], levels[level][1][order]
+            meets, phrase = meeting(known, key)
             start = start[meets]
     keys, n = np.unique(key, return_counts=True)
     np.subtract.at(n, np.searchsorted(keys, key[start >= own]), 1)
@@ -184,9 +178,9 @@ def extended(own: int, sizes: np.ndarray, places: np.ndarray, words: tuple, long
 def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            block, own, sizes, places, *levels = (batch.column(c)[i] for c in range(batch.num_columns))
-            levels = [tuple(f.to_numpy(zero_copy_only=False) for f in level.values.flatten()) for level in levels]
-            made = extended(own.as_py(), sizes.values.to_numpy(zero_copy_only=False), unpacked(places.as_py()), levels[0], levels[1:])
+            block, own, sizes, places, *lists = (batch.column(c)[i] for c in range(batch.num_columns))
+            lists = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            made = extended(own.as_py(), sizes.values.to_numpy(zero_copy_only=False), unpacked(places.as_py()), list(zip(lists[::2], lists[1::2])))
             for at in range(0, len(made[0]), ROWS):
                 some = [pa.array(x[at : at + ROWS]) for x in made]
                 own_numbers = pa.array((block.as_py() << NUMBER) + np.arange(at, at + len(some[0])))
@@ -212,14 +206,19 @@ def mined(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     entries = entries.select(F.col("e.langs").alias("lang"), F.col("e.words").alias("phrase"), at.alias("at"), F.col("e.counts").cast("long").alias("n"))
     found = frequent_of(entries, ["lang", "phrase"], 1, least)
     block = F.shiftright("at", NUMBER).alias("block")
-    code = F.col("at").bitwiseAND((1 << NUMBER) - 1).alias("code")
-    rows = blocks.select("block", "own", "sizes", "places").join(found.groupBy(block).agg(F.collect_list(F.struct(code, "number")).alias("level_1")), "block")
+    code = F.col("at").bitwiseAND((1 << NUMBER) - 1).cast("int")
+
+    def known(level: int) -> DataFrame:
+        """By block, two lists in one order: its frequent phrases and their numbers."""
+        return found.groupBy(block).agg(F.collect_list(code).alias(f"codes_{level}"), F.collect_list("number").alias(f"numbers_{level}"))
+
+    rows = blocks.select("block", "own", "sizes", "places").join(known(1), "block")
     words = found.where("at = number").select("number", "lang", "phrase", "f")
     levels = [words]
     for level in range(2, longest + 1):
         found = frequent_of(rows.mapInArrow(_extensions, "beginning long, last long, at long, n long"), ["beginning", "last"], level, least)
         if level < longest:
-            rows = rows.join(found.groupBy(block).agg(F.collect_list(F.struct("beginning", "last", "number")).alias(f"level_{level}")), "block")
+            rows = rows.join(known(level), "block")
         named = found.where("at = number").join(levels[-1].select(F.col("number").alias("beginning"), "lang", F.col("phrase").alias("head")), "beginning")
         named = named.join(words.select(F.col("number").alias("last"), F.col("phrase").alias("tail")), "last")
         levels.append(written(named.select("number", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases_named_{level}"))
