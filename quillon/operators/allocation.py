@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import cumulative
+from .comoments import co_deviation, comoments
 
 
 def equal_weights(df: DataFrame, by: str = "date", asset: str = "asset") -> DataFrame:
@@ -36,16 +37,15 @@ def inverse_volatility(df: DataFrame, by: list[str] | None = None, asset: str =
 
 def covariance(df: DataFrame, asset: str = "asset", ret: str = "ret", min_obs: int = 12) -> DataFrame:
     """row, col, value. Assets with fewer than 2 observations go; with fewer than min_obs dates only variances
-    (missing: their median) are used, pairs being absent, else covariances of complete pairs."""
+    (missing: their median) are used, pairs being absent, else covariances of complete pairs, null for a single one."""
     seen = df.where(F.col(ret).isNotNull())
     kept = seen.groupBy(asset).agg(F.count(F.lit(1)).alias("n"), F.var_samp(ret).alias("v")).where("n >= 2")
-    a = seen.select(F.col(asset).alias("row"), "date", F.col(ret).alias("x")).join(kept.select(F.col(asset).alias("row")), "row", "left_semi")
-    pairs = a.join(a.select(F.col("row").alias("col"), "date", F.col("x").alias("y")), "date")
-    dates = seen.select("date").distinct().agg(F.count(F.lit(1)).alias("dates"))
-    if (dates.first().dates or 0) >= min_obs:
-        return pairs.groupBy("row", "col").agg(F.covar_samp("x", "y").alias("value"))
-    typical = kept.agg(F.median("v")).first()[0]
-    return kept.select(F.col(asset).alias("row"), F.col(asset).alias("col"), F.coalesce("v", F.lit(typical)).alias("value"))
+    if seen.select("date").distinct().limit(min_obs).count() < min_obs:
+        typical = kept.agg(F.median("v")).first()[0]
+        return kept.select(F.col(asset).alias("row"), F.col(asset).alias("col"), F.coalesce("v", F.lit(typical)).alias("value"))
+    half = comoments(seen.join(kept.select(asset), asset, "left_semi"), asset, ["date"], ret)
+    half = half.select("row", "col", F.when(F.col("n") > 1, co_deviation() / (F.col("n") - 1)).alias("value"))
+    return half.unionByName(half.where("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
 
 
 def correlation_of(cov: DataFrame) -> DataFrame:

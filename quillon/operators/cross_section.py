@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .comoments import co_deviation, comoments
 from ..functions.statistics import average_rank, clean, safe_corr
 
 
@@ -133,7 +134,20 @@ def ols_univariate(df: DataFrame, x: str, y: str, by: list[str], least: int = 3)
 
 
 def model_pairs(df: DataFrame, by_date: bool = False, method: str = "pearson", least: int = 5, least_unique: int = 2) -> DataFrame:
-    """Correlations of unordered pairs of models over common stocks and dates, with a status."""
+    """Correlations of unordered pairs of models over common stocks and dates, with a status.
+
+    Pearson's over all dates are co-moments, taken in one pass; ranks and dates need the pairs' common rows.
+    """
+    if method == "pearson" and not by_date and least_unique == 2:
+        own = df.select("model", "stock_code", "date", clean(F.col("prediction")).alias("x"))
+        pairs = comoments(own, "model", ["stock_code", "date"], "x").where("row < col")
+        varies = (F.col("x_low") < F.col("x_high")) & (F.col("y_low") < F.col("y_high"))
+        spread = F.sqrt(co_deviation("sxx", ("sx", "sx")) * co_deviation("syy", ("sy", "sy")))
+        value = F.try_divide(co_deviation(), spread)
+        status = F.when(F.col("n") < least, "insufficient_common_samples").when(~varies, "constant_prediction").when(value.isNull(), "non_finite").otherwise("valid")
+        return pairs.select(
+            F.col("row").alias("left_model"), F.col("col").alias("right_model"), F.col("n").cast("long").alias("n"), F.when(status == "valid", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("correlation"), status.alias("status")
+        )
     a = df.select(F.col("model").alias("left_model"), "stock_code", "date", clean(F.col("prediction")).alias("x")).where("x IS NOT NULL")
     b = df.select(F.col("model").alias("right_model"), "stock_code", "date", clean(F.col("prediction")).alias("y")).where("y IS NOT NULL")
     pairs = a.join(b, ["stock_code", "date"]).where("left_model < right_model")

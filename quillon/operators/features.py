@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import clean
+from .quantiles import exact_quantiles
 
 
 def build_features(df: DataFrame, prices: Sequence[str] = ("open", "high", "low", "close"), base: str = "prev_close", amounts: Sequence[str] = ("volume", "turnover")) -> DataFrame:
@@ -109,35 +110,6 @@ def rows_used(df: DataFrame, length: int, window_end: str, code: str = "stock_co
     return df.withColumn(out, F.coalesce(F.max(F.col(window_end).cast("int")).over(ahead) == 1, F.lit(False)))
 
 
-def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float], parts: int = 64) -> DataFrame:
-    """by, q0, q1, ...: interpolated quantiles as percentile gives them, without gathering a group's values in one task.
-
-    Approximate cuts deal a group's values into parts; counts say which part holds a wanted rank, and only the
-    values of those parts are ranked. Equal values are one row with a count, so none of them is a hot part.
-    """
-    cuts = df.groupBy(by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
-    values = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c")).join(cuts, by)
-    values = values.select(by, value, "_c", F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("_part"))
-    totals = values.groupBy(by, "_part").agg(F.sum("_c").alias("_n"))  # a row for each group and part
-    upto = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    all_ = F.sum("_n").over(Window.partitionBy(by))
-    place = lambda p: (all_ - 1) * F.lit(float(p))
-    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.floor(place(p)).alias("_lo"), F.ceil(place(p)).alias("_hi"), (place(p) - F.floor(place(p))).alias("_share")) for i, p in enumerate(probs)])
-    ends = totals.select(by, "_part", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), wanted.alias("_w"))
-    hit = F.filter("_w", lambda w: ((w["_lo"] >= F.col("_before")) & (w["_lo"] < F.col("_upto"))) | ((w["_hi"] >= F.col("_before")) & (w["_hi"] < F.col("_upto"))))
-    near = ends.select(by, "_part", "_before", hit.alias("_w")).where(F.size("_w") > 0)
-    ranked = values.join(near, [by, "_part"])
-    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranked.withColumn("_last", last).select(by, value, (F.col("_last") - F.col("_c")).alias("_first"), "_last", F.explode("_w").alias("_w"))
-    at = lambda c: (F.col(f"_w.{c}") >= F.col("_first")) & (F.col(f"_w.{c}") < F.col("_last"))
-    found = []
-    for i in range(len(probs)):
-        own = F.col("_w._i") == i
-        low, high = F.max(F.when(own & at("_lo"), F.col(value))), F.max(F.when(own & at("_hi"), F.col(value)))
-        found.append((low + (high - low) * F.max(F.when(own, F.col("_w._share")))).alias(f"q{i}"))
-    return ranked.groupBy(by).agg(*found)
-
-
 def fit_preprocessor(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99, eps: float = 1e-12) -> DataFrame:
     """feature, low, high, mean, std: clipping quantiles and, after clipping, mean and population deviation (1 if too small)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "x").where("x IS NOT NULL")

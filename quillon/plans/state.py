@@ -129,7 +129,8 @@ def state_problems(states: DataFrame, doc_col: str = "state", keys: tuple[str, .
     skipped where the part itself is of the wrong kind, which is a problem of its own.
     """
     doc = F.col("_doc")
-    top = [F.array_compact(F.array(*[_says(f"{f}: kind", _kind(_at(doc, f)) != kind) for f, kind in KIND_OF.items() if "." not in f or f.startswith("iteration")]))]
+    nested = lambda f: (_kind(_at(doc, f.split(".")[0])) == "OBJECT") if "." in f else F.lit(True)
+    top = [F.array_compact(F.array(*[_says(f"{f}: kind", nested(f) & (_kind(_at(doc, f)) != kind)) for f, kind in KIND_OF.items()]))]
     values = [_says("report_id", F.coalesce(_text_at(doc, "report_id"), F.lit("")) == "")]
     values += [_says(f, ~_one_of(doc, f, allowed)) for f, allowed in MUST_BE.items()]
     values += [_says(f, ~(_kind(_at(doc, f)).isin("", "VOID") | _one_of(doc, f, allowed))) for f, allowed in MAY_BE.items()]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date as Date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import universe as un
 from ..operators import validate
-from ..sources import market
+from ..sources import market, store
 from ..sources import synthetic as syn
 from ..sources.synthetic import BARS, CALENDAR, DAYS, INTERVALS, PANEL, PREDICTIONS, STATUS
 from .cross_section import _r, _with
@@ -30,6 +32,16 @@ def calendar_month_end(spark, d):
     return days.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("month_end"), F.count(F.lit(1)).alias("days"))
 
 
+def market_store(spark, d):
+    """Prices and trades from the bucketed store, and each stock's last price before; neither the join nor the window has an exchange."""
+    store.open_session(spark)
+    p, run = syn.panel(spark, d), uuid.uuid4().hex
+    price = store.save(p.select("stock_code", "date", "px"), f"price_{run}", 8)
+    trade = store.save(p.where("stock_code % 3 <> 0").select("stock_code", "date", "volume"), f"trade_{run}", 8)
+    rows = store.merged(price, trade, "1997-06-01", "1998-06-30", market.LOOK_BACK_DAYS)
+    return rows.select("stock_code", "date", "px", "volume", F.lag("px").over(Window.partitionBy("stock_code").orderBy("date")).alias("before"))
+
+
 def suspend_anti(spark, d):
     rows = syn.table(spark, d, "events").select(F.col("user_id").alias("code"), F.col("ts").cast("date").alias("date"), "event_id")
     return un.filter_suspended(rows, syn.status(spark, d), "code").select("code", "date", "event_id")
@@ -136,7 +148,7 @@ def deterministic_sample(spark, d):
     return validate.deterministic_sample(syn.panel(spark, d).select("stock_code", "date"), ["stock_code", "date"], 50, 7)
 
 
-QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, window_tensor_rows, learning_data, deterministic_sample)}
+QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, market_store, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, window_tensor_rows, learning_data, deterministic_sample)}
 
 _IN = "EXISTS (SELECT 1 FROM {t} i WHERE i.code = d.code AND i.start <= d.date AND (i.stop IS NULL OR d.date < i.stop))"
 _KEPT = "kept AS (SELECT * FROM panel WHERE stock_code % 7 <> 0 OR month(date) <> 5)"
@@ -160,6 +172,7 @@ ORACLE_SQL = {
     "pushdown_scan": "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey IN (1, 2, 3, 5, 8, 13) AND o_orderdate BETWEEN '1996-01-01' AND '1999-12-31'",
     "market_inner_merge": _with(PANEL) + "SELECT stock_code, date, px, volume FROM panel WHERE stock_code % 3 <> 0 AND date BETWEEN DATE '1997-06-01' - 400 AND DATE '1998-06-30'",
     "calendar_month_end": "SELECT CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS month_end, count(*) AS days FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) GROUP BY 1",
+    "market_store": _with(PANEL) + "SELECT stock_code, date, px, volume, lag(px) OVER (PARTITION BY stock_code ORDER BY date) AS before FROM panel WHERE stock_code % 3 <> 0 AND date BETWEEN DATE '1997-06-01' - 400 AND DATE '1998-06-30'",
     "suspend_anti": _with(STATUS) + "SELECT user_id AS code, CAST(ts AS DATE) AS date, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.code = e.user_id AND s.date = CAST(e.ts AS DATE) AND s.if_suspend = 1)",
     "interval_anti_st": _with(INTERVALS, DAYS) + f"SELECT code, date FROM days d WHERE NOT {_IN.format(t='intervals')}",
     "interval_semi_members": _with(INTERVALS, DAYS) + f"SELECT code, date FROM days d WHERE {_IN.format(t='intervals')}",

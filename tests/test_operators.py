@@ -344,7 +344,7 @@ def test_long_chain_is_no_cycle(spark):
 
 
 def test_exact_quantiles(spark):
-    from quillon.operators.features import exact_quantiles
+    from quillon.operators.quantiles import exact_quantiles
 
     rng = np.random.default_rng(1)
     groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0, 5.0], [4000, 10, 3]), "c": np.array([7.0]), "d": rng.integers(0, 9, 2000).astype(float)}
@@ -412,3 +412,65 @@ def test_state_documents(spark):
     for r in state.state_problems(spark.createDataFrame(rows, "case_id string, state string")).collect():
         found.setdefault(r.case_id, []).append(r.problem)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(w) for k, (_, w) in cases.items() if w} | {"text": ["document"], "none": ["document"]}
+
+
+def test_exact_quantiles_of_odd_values(spark):
+    """Both zeros, infinities, denormals, one value many times over and nulls; no window over values."""
+    from quillon.operators.quantiles import exact_quantiles
+
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, np.nextafter(1.0, 2.0)]
+    groups = {"odd": odd * 3, "hot": [3.5] * 4000 + [4.0], "neg": [-x for x in range(1, 200)], "inf": [1.0, float("inf"), 2.0, 3.0]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("odd", None), ("none", None)], "g string, x double")
+    probs = [0.0, 0.25, 0.5, 1.0]
+    got = {r.g: list(r)[1:] for r in exact_quantiles(df, "g", "x", probs).collect()}
+    want = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).where("q IS NOT NULL").collect()}
+    assert got == {g: [x + 0.0 for x in q] for g, q in want.items()}
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_comoments(spark, tile):
+    """Complete pairs with gaps, over tiles smaller than the number of members."""
+    import pandas as pd
+
+    from quillon.operators.allocation import covariance as long_covariance
+    from quillon.operators.comoments import co_deviation, comoments
+
+    rng = np.random.default_rng(2)
+    x = pd.DataFrame(1e6 + rng.normal(size=(60, 8)), columns=[f"m{i}" for i in range(8)])
+    x = x.mask(rng.random(x.shape) < 0.3)
+    x["m7"] = np.nan
+    x.loc[5, "m7"] = 1.0
+    rows = [(str(m), int(d), None if np.isnan(v) else float(v)) for d, r in x.iterrows() for m, v in r.items()]
+    df = spark.createDataFrame(rows, "asset string, date int, ret double").repartition(5)
+    made = comoments(df, "asset", ["date"], "ret", tile=tile, rows=40).withColumn("cov", co_deviation() / (F.col("n") - 1))
+    for r in made.where("n > 1").collect():
+        both = x[[r.row, r.col]].dropna() if r.row != r.col else x[[r.row]].dropna()
+        a, b = both[r.row].to_numpy(), both[r.col].to_numpy()
+        assert r.row <= r.col and r.n == len(both)
+        assert r["cov"] == pytest.approx(np.cov(a, b)[0, 1], abs=1e-9)
+        assert r.x_high - r.x_low == pytest.approx(a.max() - a.min(), abs=1e-8)
+    assert made.count() == 7 * 8 // 2 + sum(x.loc[5, [f"m{i}" for i in range(7)]].notna()) + 1
+    cov = long_covariance(df)
+    assert "m7" not in {r.row for r in cov.collect()} and cov.count() == 49
+    plan = cov._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("date") and "Cartesian" not in plan
+
+
+def test_market_store_needs_no_exchange(spark):
+    from quillon.queries import catalogue
+
+    from .conftest import SF
+
+    plan = catalogue.queries()["market_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" in plan and "Exchange" not in plan
+
+
+def test_state_of_wrong_kinds(spark):
+    import json
+
+    from quillon.plans import state
+
+    docs = [("a", json.dumps({"iteration": 3})), ("b", json.dumps({"iteration": {"current": "x", "history": 1}}))]
+    got = {(r.case_id, r.problem) for r in state.state_problems(spark.createDataFrame(docs, "case_id string, state string")).collect()}
+    assert {p for c, p in got if c == "a" and p.startswith("iteration")} == {"iteration: kind"}
+    assert {"iteration.current: kind", "iteration.history: kind", "iteration.max: missing"} <= {p for c, p in got if c == "b"}
