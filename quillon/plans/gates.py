@@ -15,6 +15,9 @@ SECTIONS = ["结论", "指标对比", "假设登记簿", "迭代历史", "审计
 OUT_OF_SAMPLE_SECTION, TRANSPLANT_SECTION = "样本外", "市场迁移"
 OPEN_STATES, EXCLUDED_STATES = ("pending", "in_progress"), ("skipped", "infeasible")
 LEAST_HTML = 5 * 1024
+ROUND_FILES = ("diagnosis.md", "changes.md", "comparison.json")
+ENDS_ITERATION = r"结论[:：]\s*[*_`]*(stop_partial|blocked)\b"
+EXCLUDED_HYPOTHESES = "已排除假设"
 
 
 def checks(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -131,3 +134,29 @@ def report_gate(cases: DataFrame, matrix: DataFrame, responses: DataFrame, key:
             "coverage": F.col("coverage_total") > 0,
         },
     )
+
+
+def iteration_gate(cases: DataFrame, files: DataFrame, key: str = "case_id") -> DataFrame:
+    """Checks of iteration rounds, and `missing`, the sorted files that a case lacks (round/name), as rows of checks().
+
+    cases: key, current (rounds so far), most (rounds allowed, null: any number). files: key, round, name, text.
+    Every round up to the current one needs all ROUND_FILES, a relational division; a round whose
+    diagnosis ends the iteration needs no changes. From the second round on a diagnosis names excluded hypotheses.
+    """
+    rounds = cases.select(key, F.explode(F.when(F.col("current") > 0, F.sequence(F.lit(1), F.col("current").cast("int")))).alias("round"))
+    said = F.when(F.col("name") == ROUND_FILES[0], F.coalesce("text", F.lit("")))
+    present = files.groupBy(key, F.col("round").cast("int").alias("round")).agg(
+        F.collect_set(F.when(F.col("name").isin(*ROUND_FILES), F.col("name"))).alias("names"),
+        F.coalesce(F.bool_or(said.rlike(ENDS_ITERATION)), F.lit(False)).alias("over"),
+        F.coalesce(F.bool_or(said.contains(EXCLUDED_HYPOTHESES)), F.lit(False)).alias("excludes"),
+    )
+    rows = rounds.join(present, [key, "round"], "left")
+    wanted = F.array(*[F.lit(n) for n in ROUND_FILES])
+    wanted = F.when(F.col("over"), F.array_remove(wanted, F.lit(ROUND_FILES[1]))).otherwise(wanted)
+    lacking = F.array_except(wanted, F.coalesce("names", F.array().cast("array<string>")))
+    rows = rows.select(key, F.transform(lacking, lambda n: F.concat(F.col("round").cast("string"), F.lit("/"), n)).alias("lacking"), ((F.col("round") > 1) & ~F.coalesce("excludes", F.lit(False))).alias("silent"))
+    found = rows.groupBy(key).agg(F.flatten(F.collect_list("lacking")).alias("lacking"), F.bool_or("silent").alias("silent"))
+    whole = cases.join(found, key, "left").withColumn("lacking", F.coalesce("lacking", F.array().cast("array<string>")))
+    rules = {"round_files": F.size("lacking") == 0, "rounds_allowed": F.col("most").isNull() | (F.coalesce("current", F.lit(0)) <= F.col("most")), "excluded_hypotheses": ~F.coalesce("silent", F.lit(False))}
+    rows = F.array(*[F.struct(F.lit(n).alias("check_id"), F.coalesce(c, F.lit(False)).alias("passed"), F.when(F.lit(n == "round_files"), F.array_join(F.sort_array("lacking"), ",")).otherwise("").alias("missing")) for n, c in rules.items()])
+    return whole.select(key, F.explode(rows).alias("_check")).select(key, "_check.*")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from datetime import date as Date
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import universe as un
-from ..operators import validate
+from ..operators import validate, windows
 from ..sources import market, store
 from ..sources import synthetic as syn
 from ..sources.synthetic import BARS, CALENDAR, DAYS, INTERVALS, PANEL, PREDICTIONS, STATUS
@@ -139,6 +141,18 @@ def window_tensor_rows(spark, d):
     return made.select("stock_code", "date", F.col("step").cast("long").alias("step"), F.col("x")[0].alias("factor"), F.col("x")[1].alias("fwd"))
 
 
+def _steps(code, dates, x):
+    n, length, _ = x.shape
+    return pd.DataFrame({"stock_code": code, "date": np.repeat(dates, length), "step": np.tile(np.arange(length), n), "factor": x[:, :, 0].ravel(), "fwd": x[:, :, 1].ravel()})
+
+
+def window_block_rows(spark, d):
+    """window_tensor_rows from blocks, whose windows are views."""
+    rows = ft.window_index(syn.panel(spark, d), syn.calendar(spark, d), ["factor", "fwd"], 6)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("stock_code", "date").schema) + ", step long, factor double, fwd double"
+    return windows.map_windows(windows.window_blocks(rows, ["factor", "fwd"], 6), 6, _steps, schema)
+
+
 def learning_data(spark, d):
     made = ft.prepare_learning_data(syn.panel(spark, d), syn.calendar(spark, d), SEGMENTS, ["factor", "fwd"], 6, ["train", "valid"], ["test"], price="px")
     return made.samples.select("stock_code", "date", "split", _r("label", 6), _r("factor", 5), _r("fwd", 5))
@@ -148,7 +162,7 @@ def deterministic_sample(spark, d):
     return validate.deterministic_sample(syn.panel(spark, d).select("stock_code", "date"), ["stock_code", "date"], 50, 7)
 
 
-QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, market_store, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, window_tensor_rows, learning_data, deterministic_sample)}
+QUERIES = {f.__name__: f for f in (pushdown_scan, market_inner_merge, market_store, calendar_month_end, suspend_anti, interval_anti_st, interval_semi_members, universe_all_dates, listed_universe, entry_tradability, factor_panel_clean, price_volume_features, adj_vwap, vwap_diagnostics, forward_labels, window_index, split_assign, quality_summary, rows_used, fit_preprocessor, transform_features, window_tensor, window_tensor_rows, window_block_rows, learning_data, deterministic_sample)}
 
 _IN = "EXISTS (SELECT 1 FROM {t} i WHERE i.code = d.code AND i.start <= d.date AND (i.stop IS NULL OR d.date < i.stop))"
 _KEPT = "kept AS (SELECT * FROM panel WHERE stock_code % 7 <> 0 OR month(date) <> 5)"
@@ -199,3 +213,5 @@ ORACLE_SQL = {
     + "SELECT stock_code, date, split, round(label, 6) + 0.0 AS label, round((least(greatest(factor, f.low), f.high) - f.mean) / f.std, 5) + 0.0 AS factor, round((least(greatest(fwd, w.low), w.high) - w.mean) / w.std, 5) + 0.0 AS fwd FROM marked, f, w WHERE sample",
     "deterministic_sample": _with(PANEL) + "SELECT stock_code, date FROM panel ORDER BY md5('7|' || stock_code || '|' || date) LIMIT 50",
 }
+
+ORACLE_SQL["window_block_rows"] = ORACLE_SQL["window_tensor_rows"]

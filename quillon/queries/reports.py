@@ -61,6 +61,20 @@ def gate_implement(spark, d):
     return gates.implement_gate(_case(spark, d, "orders", "o_orderkey"), milestones, matrix)
 
 
+SAID = ["结论: stop_partial", "结论：**blocked**（说明）", "结论: continue（已排除 stop_partial 假设）", "已排除假设\n结论: continue", None]
+
+
+def gate_iteration(spark, d):
+    """Customers as cases; each of their orders is a file of a round, its key choosing round, name and text."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    cases = syn.table(spark, d, "customer").select(k.alias("case_id"), (k % 4).alias("current"), F.when(k % 5 > 0, 1 + k % 3).alias("most"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    round_ = 1 + F.floor(o / 4) % 3
+    text = pick(SAID, (F.col("o_custkey") * 3 + round_) % 5)
+    files = syn.table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), round_.alias("round"), pick(gates.ROUND_FILES, o % 3).alias("name"), F.when(o % 3 == 0, text).alias("text"))
+    return gates.iteration_gate(cases, files)
+
+
 def gate_report(spark, d):
     """Suppliers as cases, their nation's key choosing faults."""
     k = F.col("s_suppkey")
@@ -127,7 +141,7 @@ def reported_deviation(spark, d):
     return out.select("model", "portfolio", "period", "element_id", *[_r(c, 5) for c in ("report_annual_return", "annual_return", "annual_return_deviation", "report_win_rate", "win_rate", "win_rate_deviation")])
 
 
-QUERIES = {f.__name__: f for f in (gate_init, gate_extract, gate_audit, gate_code_audit, gate_implement, gate_report, ic_month_chart, ic_cumulative_chart, ic_histogram, group_wealth_chart, group_return_bars, wealth_comparison, prediction_scatter, annual_chart, resource_chart, reported_deviation)}
+QUERIES = {f.__name__: f for f in (gate_init, gate_extract, gate_audit, gate_code_audit, gate_implement, gate_iteration, gate_report, ic_month_chart, ic_cumulative_chart, ic_histogram, group_wealth_chart, group_return_bars, wealth_comparison, prediction_scatter, annual_chart, resource_chart, reported_deviation)}
 
 
 def _long(source: str, rules: dict[str, str]) -> str:
@@ -150,6 +164,15 @@ c AS (SELECT o_orderkey AS case_id, coalesce(answers, 0) AS answers, coalesce(is
     "gate_implement": """WITH a AS (SELECT l_orderkey AS case_id, count(*) FILTER (WHERE l_linestatus <> 'F') AS undone, count(*) FILTER (WHERE l_returnflag <> 'N' AND l_tax <= 0) AS unplaced FROM lineitem GROUP BY 1),
 c AS (SELECT o_orderkey AS case_id, coalesce(undone, 0) AS undone, coalesce(unplaced, 0) AS unplaced FROM orders LEFT JOIN a ON a.case_id = o_orderkey) """
     + _long("c", {"milestones_done": "undone = 0", "elements_placed": "unplaced = 0"}),
+    "gate_iteration": f"""WITH f AS (SELECT o_custkey AS c, 1 + (o_orderkey // 4) % 3 AS round, (o_orderkey % 3)::INT AS name, ((o_custkey * 3 + 1 + (o_orderkey // 4) % 3) % 5)::INT AS said FROM orders),
+p AS (SELECT c, round, bool_or(name = 0) AS d, bool_or(name = 1) AS e, bool_or(name = 2) AS j, bool_or(name = 0 AND said IN (0, 1)) AS over, bool_or(name = 0 AND said = 3) AS excludes FROM f GROUP BY ALL),
+r AS (SELECT c_custkey AS c, unnest(range(1, c_custkey % 4 + 1)) AS round FROM customer),
+m AS (SELECT r.c, r.round, unnest([CASE WHEN NOT coalesce(d, false) THEN 'diagnosis.md' END, CASE WHEN NOT coalesce(e, false) AND NOT coalesce(over, false) THEN 'changes.md' END, CASE WHEN NOT coalesce(j, false) THEN 'comparison.json' END]) AS name FROM r LEFT JOIN p ON p.c = r.c AND p.round = r.round),
+l AS (SELECT c, string_agg(round || '/' || name, ',' ORDER BY round || '/' || name) AS missing FROM m WHERE name IS NOT NULL GROUP BY c),
+s AS (SELECT DISTINCT r.c FROM r LEFT JOIN p ON p.c = r.c AND p.round = r.round WHERE r.round > 1 AND NOT coalesce(excludes, false))
+SELECT c_custkey AS case_id, 'round_files' AS check_id, l.c IS NULL AS passed, coalesce(missing, '') AS missing FROM customer LEFT JOIN l ON l.c = c_custkey
+UNION ALL SELECT c_custkey, 'rounds_allowed', c_custkey % 5 = 0 OR c_custkey % 4 <= 1 + c_custkey % 3, '' FROM customer
+UNION ALL SELECT c_custkey, 'excluded_hypotheses', s.c IS NULL, '' FROM customer LEFT JOIN s ON s.c = c_custkey""",
     "gate_report": "WITH c AS (SELECT s_suppkey AS case_id, s_suppkey AS k FROM supplier) "
     + _long("c", {"sections": "k % 6 <> 0 AND (k % 2 = 1 OR k % 4 = 0) AND k % 50 <> 0", "nothing_open": "k % 9 <> 0", "no_placeholder": "k % 8 <> 0", "rejections_told": "k % 2 = 1 OR k % 3 <> 0", "page": "k % 5 <> 0", "coverage": "k % 7 <> 0 AND k % 3 > 0"}),
     "ic_month_chart": _with(PANEL, PREDICTIONS, _DIAG, "m AS (SELECT model, date_trunc('month', date)::DATE AS month, month(date) % 3 AS path, avg(ic) AS ic, sum(candidates) AS candidates, sum(valid) AS valid, sum(missing) AS missing FROM diag GROUP BY 1, 2, 3)")

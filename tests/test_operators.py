@@ -474,3 +474,41 @@ def test_state_of_wrong_kinds(spark):
     got = {(r.case_id, r.problem) for r in state.state_problems(spark.createDataFrame(docs, "case_id string, state string")).collect()}
     assert {p for c, p in got if c == "a" and p.startswith("iteration")} == {"iteration: kind"}
     assert {"iteration.current: kind", "iteration.history: kind", "iteration.max: missing"} <= {p for c, p in got if c == "b"}
+
+
+@pytest.mark.parametrize("rows", [5, 8, 4096])
+def test_window_blocks(spark, rows):
+    """Windows over the borders of blocks equal those of the tensor; blocks hold about the panel's values once."""
+    from quillon.operators import features as ft
+    from quillon.operators import windows
+    from quillon.queries import data
+    from quillon.sources import synthetic as syn
+
+    from .conftest import SF
+
+    indexed = ft.window_index(syn.panel(spark, SF), syn.calendar(spark, SF), ["factor", "fwd"], 6)
+    blocks = windows.window_blocks(indexed, ["factor", "fwd"], 6, rows=rows)
+    kind = dict(indexed.dtypes)
+    got = windows.map_windows(blocks, 6, data._steps, f"stock_code {kind['stock_code']}, date {kind['date']}, step long, factor double, fwd double")
+    want = data.window_tensor_rows(spark, SF)
+    shown = lambda df: sorted(tuple(r) for r in df.select("stock_code", "date", "step", "factor", "fwd").collect())
+    assert shown(got) == shown(want) and got.count() > 100
+    held = blocks.agg(F.sum(F.size("steps"))).first()[0]
+    assert held <= indexed.count() * (1 + 5 / rows) + 1
+    with pytest.raises(ValueError):
+        windows.window_blocks(indexed, ["factor"], 9, rows=5)
+
+
+def test_iteration_rounds(spark):
+    """The exempting conclusions, those that only mention one, and the limit of rounds."""
+    from quillon.plans import gates
+
+    said = {"a": "结论: stop_partial\n", "b": "本轮结论：**blocked**（缺数据）", "c": "结论: continue（已排除 stop_partial 假设）", "d": "结论: stop_partialx"}
+    files = [(c, 1, n, t if n == "diagnosis.md" else None) for c, t in said.items() for n in ("diagnosis.md", "comparison.json")]
+    files += [("e", r, n, "已排除假设" if r == 2 else "x") for r in (1, 2, 3) for n in gates.ROUND_FILES]
+    cases = [*[(c, 1, None) for c in said], ("e", 3, 2), ("f", 0, 5), ("g", None, None), ("h", 2, 2)]
+    got = gates.iteration_gate(spark.createDataFrame(cases, "case_id string, current int, most int"), spark.createDataFrame(files, "case_id string, round int, name string, text string"))
+    rows = {(r.case_id, r.check_id): (r.passed, r.missing) for r in got.collect()}
+    assert [rows[c, "round_files"] for c in "abcdefgh"] == [(True, ""), (True, ""), (False, "1/changes.md"), (False, "1/changes.md"), (True, ""), (True, ""), (True, ""), (False, ",".join(sorted(f"{r}/{n}" for r in (1, 2) for n in gates.ROUND_FILES)))]
+    assert [c for c in "abcdefgh" if not rows[c, "rounds_allowed"][0]] == ["e"]
+    assert [c for c in "abcdefgh" if not rows[c, "excluded_hypotheses"][0]] == ["e", "h"]
