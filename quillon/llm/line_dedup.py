@@ -77,5 +77,5 @@ SELECT l.doc_id, l.source, count(*) AS n_lines, count(b.line) AS n_dropped,
 FROM l LEFT JOIN b ON b.source = l.source AND b.line = l.line
 GROUP BY l.doc_id, l.source
 """
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op7_line_dedup_all": op7_line_dedup}  # the second name is an earlier one
-ORACLE_SQL = {"op7_line_dedup": SQL, "op7_line_dedup_all": SQL}
+QUERIES = {"op7_line_dedup": op7_line_dedup}
+ORACLE_SQL = {"op7_line_dedup": SQL}
