@@ -35,25 +35,31 @@ def unsorted_value(k: pd.Series) -> pd.Series:
     return pd.Series(np.where(bits < 0, bits ^ SIGN, bits).view("<f8"))
 
 
+def _narrowed(bins: DataFrame, by: str) -> DataFrame:
+    """bins: by, _bin, _before and _c (values before the bin and in it), _wanted. The bins that hold a wanted rank, with the ranks within them."""
+    rows = bins.select(by, "_bin", "_before", "_c", F.explode("_wanted").alias("_w")).where("_w.rank >= _before AND _w.rank < _before + _c")
+    rank = F.struct(F.col("_w.i").alias("i"), F.col("_w.end").alias("end"), (F.col("_w.rank") - F.col("_before")).alias("rank"), F.col("_w.share").alias("share"))
+    return rows.groupBy(by, F.col("_bin").alias("_prefix")).agg(F.collect_list(rank).alias("_wanted"))
+
+
 def exact_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float]) -> DataFrame:
     """by, q0, q1, ...: interpolated quantiles as percentile gives them; null values don't count, groups without values have no row."""
     keys = table(df.where(F.col(value).isNotNull()).select(by, sortable(F.col(value).cast("double")).alias("_key")), "quantile_keys")
-    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
-    ends = [F.struct(F.lit(i).alias("_i"), F.lit(end).alias("_end"), f(place(p)).cast("long").alias("_rank")) for i, p in enumerate(probs) for end, f in (("lo", F.floor), ("hi", F.ceil))]
-    totals = table(keys.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "quantile_totals")
-    wanted = totals.select(by, F.explode(F.array(*ends)).alias("_w")).select(by, "_w.*", F.lit(0).cast("long").alias("_prefix"))
-    for shift in range(64 - BITS, -1, -BITS):
-        if shift == 64 - BITS:
-            near = keys.withColumn("_prefix", F.lit(0).cast("long"))
-        else:
-            near = keys.withColumn("_prefix", F.shiftright("_key", shift + BITS)).join(wanted.select(by, "_prefix").distinct(), [by, "_prefix"], "left_semi")
-        bins = near.groupBy(by, "_prefix", F.shiftright("_key", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-        before = F.sum("_c").over(Window.partitionBy(by, "_prefix").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
-        bins = bins.withColumn("_before", before)
-        held = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-        wanted = wanted.join(bins, [by, "_prefix"]).where(held).select(by, "_i", "_end", (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_bin").alias("_prefix"))
-        wanted = table(wanted, "quantile_ranks")
-    found = wanted.select(by, "_i", "_end", unsorted_value("_prefix").alias("_value")).join(totals, by)
-    at = lambda i, end: F.max(F.when((F.col("_i") == i) & (F.col("_end") == end), F.col("_value")))
-    share = lambda p: F.max(place(p) - F.floor(place(p)))
-    return found.groupBy(by).agg(*[F.when(at(i, "lo") == at(i, "hi"), at(i, "lo")).otherwise(at(i, "lo") + (at(i, "hi") - at(i, "lo")) * share(p)).alias(f"q{i}") for i, p in enumerate(probs)])
+    shift = 64 - BITS
+    bins = keys.groupBy(by, F.shiftright("_key", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = lambda *own: F.sum("_c").over(Window.partitionBy(*own).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = lambda p: (F.sum("_c").over(Window.partitionBy(by)) - 1) * F.lit(float(p))
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"), f(place(p)).cast("long").alias("rank"), (place(p) - F.floor(place(p))).alias("share")) for i, p in enumerate(probs) for end, f in (("lo", F.floor), ("hi", F.ceil))]
+    bins = bins.select(by, "_bin", "_c", (upto(by) - F.col("_c")).alias("_before"), F.array(*ends).alias("_wanted"))
+    while True:
+        wanted = _narrowed(bins, by)
+        if not shift:
+            break
+        wanted, shift = table(wanted, "quantile_ranks"), shift - BITS  # a few rows a group, of a size that the planner knows
+        near = keys.withColumn("_prefix", F.shiftright("_key", shift + BITS)).join(wanted, [by, "_prefix"])
+        bins = near.groupBy(by, "_prefix", F.shiftright("_key", shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.any_value("_wanted").alias("_wanted"))
+        bins = bins.withColumn("_before", upto(by, "_prefix") - F.col("_c"))
+    found = wanted.select(by, unsorted_value("_prefix").alias("_value"), F.explode("_wanted").alias("_w"))
+    at = lambda i, end: F.max(F.when((F.col("_w.i") == i) & (F.col("_w.end") == end), F.col("_value")))
+    share = lambda i: F.max(F.when(F.col("_w.i") == i, F.col("_w.share")))
+    return found.groupBy(by).agg(*[F.when(at(i, "lo") == at(i, "hi"), at(i, "lo")).otherwise(at(i, "lo") + (at(i, "hi") - at(i, "lo")) * share(i)).alias(f"q{i}") for i in range(len(probs))])
