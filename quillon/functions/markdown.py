@@ -1,20 +1,141 @@
-"""Markdown and front matter as rows, by regular expressions in the JVM."""
+"""Markdown and front matter as rows, by regular expressions in the JVM; nested front matter by a small table function."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HEAD = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
+
 
 def front_matter(text: Column) -> Column:
     """map<string,string> of the simple `key: value` lines between the first two --- lines."""
-    head = F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
+    head = F.regexp_extract(text, HEAD, 1)
     lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w.]*\s*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     last = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1))
     return F.map_from_entries(last)
 
 
+KEY = re.compile(r"""("[^"]*"|'[^']*'|[^\s"'#\[\]{},:][^:#]*?)\s*:(?:\s+(.*))?$""")
+BEFORE_QUOTE = " \t[{,:"  # a quote after anything else is an apostrophe
+
+
+def uncommented(line: str) -> str:
+    quote, before = "", " "
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and before in BEFORE_QUOTE:
+            quote = c
+        elif c == "#" and before.isspace():
+            return line[:i]
+        before = c
+    return line
+
+
+def scalar(text: str) -> tuple[str, str | None]:
+    """kind and value of a scalar: string, number, boolean or null; quotes go."""
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return "string", text[1:-1]
+    if text in ("", "~", "null", "Null", "NULL"):
+        return "null", None
+    if text.lower() in ("true", "false"):
+        return "boolean", text.lower()
+    return ("number" if re.fullmatch(r"[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?", text) else "string"), text
+
+
+def inline_parts(text: str) -> list[str]:
+    """What stands between the outer commas of a [...] or {...}."""
+    parts, depth, quote, since = [], 0, "", 1
+    for i, c in enumerate(text[1:-1], 1):
+        if quote or (c in "\"'" and text[i - 1] in BEFORE_QUOTE):
+            quote = "" if c == quote else quote or c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        elif c == "," and depth == 0:
+            parts.append(text[since:i])
+            since = i + 1
+    return [p.strip() for p in (*parts, text[since:-1]) if p.strip()]
+
+
+def value_rows(path: str, text: str) -> Iterator[tuple[str, str, str | None]]:
+    """Rows of a value on one line, be it a scalar, a list or a map."""
+    if text[:1] + text[-1:] not in ("[]", "{}"):
+        yield path, *scalar(text)
+        return
+    parts, is_list = inline_parts(text), text[0] == "["
+    yield path, "list" if is_list else "map", str(len(parts))
+    for i, part in enumerate(parts):
+        name, _, rest = (str(i), "", part) if is_list else part.partition(":")
+        yield from value_rows(f"{path}[{i}]" if is_list else f"{path}.{scalar(name.strip())[1]}", rest.strip())
+
+
+def nested_rows(head: str) -> list[tuple[str, str, str | None]]:
+    """(path, kind, value) of indented maps and lists, in order; a part's value is its number of items.
+
+    Of a repeated path the last holds. Lines that are neither an item nor a key are left out, as are comments.
+    """
+    open_: list[tuple[int, str]] = []  # indentation and path of the parts that a line may belong to
+    rows: dict[str, tuple[str, str | None]] = {}
+    items: dict[str, int] = {}
+
+    def put(parent: str, kind: str, path: str, text: str) -> None:
+        if parent:
+            items[parent] = items.get(parent, 0) + (path not in rows)
+            rows[parent] = (kind, str(items[parent]))
+        for old in [p for p in rows if p.startswith((f"{path}.", f"{path}["))] if path in rows else ():
+            del rows[old]
+        items.pop(path, None)
+        rows.update({p: (k, v) for p, k, v in value_rows(path, text)})
+
+    for line in head.split("\n"):
+        text = uncommented(line).rstrip()
+        at = len(text) - len(text.lstrip())
+        text = text.strip()
+        while text:
+            is_item = text == "-" or text.startswith("- ")
+            while open_ and (open_[-1][0] > at or (open_[-1][0] == at and not (is_item and not open_[-1][1].endswith("]")))):
+                open_.pop()  # items may stand right below their key
+            parent = open_[-1][1] if open_ else ""
+            if is_item and parent:
+                path = f"{parent}[{items.get(parent, 0)}]"
+                rest = text[1:].lstrip()
+                goes_on = bool(KEY.match(rest)) or rest.startswith("- ")
+                put(parent, "list", path, "" if goes_on else rest)
+                open_.append((at, path))
+                at, text = at + len(text) - len(rest), rest if goes_on else ""
+                continue
+            key = KEY.match(text)
+            if key:
+                name = key[1].strip("\"'")
+                path = f"{parent}.{name}" if parent else name
+                put(parent, "map", path, (key[2] or "").strip())
+                open_.append((at, path))
+            text = ""
+    return [(p, *kv) for p, kv in rows.items()]
+
+
+class _Values:
+    def eval(self, head: str):
+        yield from nested_rows(head or "")
+
+
+def front_matter_values(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """keys, path (a.b, a[0].c), kind (map, list, string, number, boolean, null), value: every value of nested front matter.
+
+    Only the head of each text goes to Python. Texts without one have no rows.
+    """
+    values = F.udtf(_Values, returnType="path string, kind string, value string")
+    heads = df.select(*keys, F.regexp_extract(text_col, HEAD, 1).alias("_head")).where("_head <> ''")
+    return heads.lateralJoin(values(F.col("_head").outer())).drop("_head")
+
+
 def table_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """keys, line_no, cells: rows of pipe tables, an escaped pipe being part of its cell; separator lines don't count."""
     lines = df.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))

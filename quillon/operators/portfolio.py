@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,68 +56,67 @@ def schedule(groups: DataFrame, calendar: DataFrame, settings: PortfolioSettings
 COLUMNS = ["model", "path", "group", "date", "record", "stock_code", "status", "side", "requested", "executed", "price", "fee", "cash", "equity", "daily_return", "gross_return", "nav", "weight"]
 
 
+def _rows(kind: str, date, names: np.ndarray, **columns) -> list[dict]:
+    """Records of one date, one for each name; scalars hold for all of them."""
+    spread = {k: v if isinstance(v, np.ndarray) else [v] * len(names) for k, v in columns.items()}
+    return [{"date": date, "record": kind, "stock_code": s} | {k: v[i] for k, v in spread.items()} for i, s in enumerate(names)]
+
+
 def simulate_events(events: pd.DataFrame, market: pd.DataFrame, settings: PortfolioSettings) -> list[dict]:
-    """The days of one path and group: sells, then buys with the cash there is, holdings and value.
+    """Trades, holdings and daily values of one path and group, with a vector of shares over its stocks.
 
-    Kept small on purpose: it is the one recursion that windows can't express.
+    Between two events the shares stand still, so the values are a product of marked prices and shares. An event
+    moves them towards equal amounts: what is too much goes at once, what is wanted is bought in proportion to
+    the cash there is. A stock that can't trade keeps its shares. Marks are the last known prices.
     """
-    eps, cash, nav_before = settings.share_epsilon, settings.initial_capital, settings.initial_capital
-    held: dict = {}
-    last: dict = {}
-    plan = {d: list(t) for d, t in zip(events["execution_date"], events["targets"])}
+    due = dict(zip(events["execution_date"], events["targets"]))
+    span = market[market["date"].between(min(due), max(due))]
+    table = span.pivot(index="date", columns="stock_code", values="price").astype(float)
+    table = table.where(np.isfinite(table))
+    can_trade = span.pivot(index="date", columns="stock_code", values="tradable").eq(True).to_numpy() & table.notna().to_numpy()
+    names, dates, prices, marks = table.columns.to_numpy(), list(table.index), table.to_numpy(), table.ffill().fillna(0.0).to_numpy()
+    place = {s: i for i, s in enumerate(names)}
+    shares, cash, nav_before = np.zeros(len(names)), settings.initial_capital, settings.initial_capital
     out: list[dict] = []
-    span = market[(market["date"] >= min(plan)) & (market["date"] <= max(plan))]
-    for date, day in span.groupby("date", sort=True):
-        price = {s: p for s, p in zip(day["stock_code"], day["price"]) if p is not None and math.isfinite(p)}
-        open_ = {s for s, t in zip(day["stock_code"], day["tradable"]) if t and s in price}
-        fees = 0.0
-        last.update({s: price[s] for s in held if s in price})
-        if date in plan:
-            targets = list(dict.fromkeys(plan[date]))
-            equity = cash + sum(q * last[s] for s, q in held.items() if s in last)
-            each = equity / len(targets) if targets else 0.0
-            want = {s: each / price[s] if s in price else 0.0 for s in targets}
-            names = sorted({*held, *targets})
-            for s in names:
-                change = want.get(s, 0.0) - held.get(s, 0.0)
-                if change >= -eps:
-                    continue
-                row = {"date": date, "record": "trade", "stock_code": s, "side": "sell", "requested": change}
-                if s not in open_:
-                    out.append(row | {"status": "blocked", "executed": 0.0})
-                    continue
-                done = max(change, -held[s])
-                fee = -done * price[s] * settings.sell_fee
-                cash += -done * price[s] - fee
-                fees += fee
-                held[s] += done
-                if held[s] <= eps:
-                    del held[s]
-                out.append(row | {"status": "filled", "executed": done, "price": price[s], "fee": fee, "cash": cash})
-            wishes = {s: want.get(s, 0.0) - held.get(s, 0.0) for s in names}
-            wishes = {s: q for s, q in wishes.items() if q > eps}
-            need = sum(q * price[s] for s, q in wishes.items() if s in open_)
-            scale = min(1.0, cash / need) if need > 0 else 0.0
-            for s, q in wishes.items():
-                row = {"date": date, "record": "trade", "stock_code": s, "side": "buy", "requested": q}
-                if s not in open_:
-                    out.append(row | {"status": "blocked", "executed": 0.0})
-                    continue
-                done = q * scale
-                cash -= done * price[s]
-                if done > eps:
-                    held[s] = held.get(s, 0.0) + done
-                out.append(row | {"status": "filled" if scale >= 1 - 1e-12 else "partial", "executed": done, "price": price[s], "fee": 0.0, "cash": cash})
-            last.update({s: price[s] for s in held if s in price})
-            equity = cash + sum(q * last[s] for s, q in held.items() if s in last)
-            if not math.isfinite(equity) or equity <= 0:
-                raise ValueError(f"equity {equity} on {date}")
-            out += [{"date": date, "record": "holding", "stock_code": s, "executed": q, "price": last.get(s), "weight": q * last.get(s, 0.0) / equity} for s, q in sorted(held.items())]
-            out.append({"date": date, "record": "holding", "status": "cash", "cash": cash, "weight": cash / equity})
-        equity = cash + sum(q * last[s] for s, q in held.items() if s in last)
-        ret = equity / nav_before - 1
-        out.append({"date": date, "record": "nav", "cash": cash, "equity": equity, "fee": fees, "daily_return": ret, "gross_return": ret + fees / nav_before, "nav": equity / settings.initial_capital})
-        nav_before = equity
+    stops = [i for i, d in enumerate(dates) if d in due]
+    for at, until in zip(stops, [*stops[1:], len(dates)]):
+        price, free = prices[at], can_trade[at]
+        targets = {s for s in due[dates[at]]}
+        chosen = np.array([place[s] for s in targets if s in place], int)
+        goal = np.zeros(len(names))
+        if len(targets):
+            goal[chosen] = np.nan_to_num((cash + shares @ marks[at]) / len(targets) / price[chosen])
+        wish = goal - shares
+        less, more = wish < -settings.share_epsilon, wish > settings.share_epsilon
+        sold = np.where(less & free, np.maximum(wish, -shares), 0.0)
+        paid = np.where(less & free, -sold * np.nan_to_num(price), 0.0)
+        fee = paid * settings.sell_fee
+        cash_after = cash + np.cumsum(paid - fee)
+        state = np.where(free, "filled", "blocked").astype(object)
+        shown = lambda v: np.where(free, v, np.nan)
+        columns = {"side": "sell", "status": state, "requested": wish, "executed": sold, "price": shown(price), "fee": shown(fee), "cash": shown(cash_after)}
+        out += _rows("trade", dates[at], names[less], **{k: v[less] if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+        cash, shares = cash + (paid - fee).sum(), shares + sold
+        shares[shares <= settings.share_epsilon] = 0.0
+        cost = np.where(more & free, wish * np.nan_to_num(price), 0.0)
+        part = min(1.0, cash / cost.sum()) if cost.sum() > 0 else 0.0
+        bought = np.where(more & free, wish * part, 0.0)
+        state = np.where(free, "filled" if part >= 1 - 1e-12 else "partial", "blocked").astype(object)
+        columns = {"side": "buy", "status": state, "requested": wish, "executed": bought, "price": shown(price), "fee": shown(0.0), "cash": shown(cash - np.cumsum(cost * part))}
+        out += _rows("trade", dates[at], names[more], **{k: v[more] if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+        cash, shares = cash - (cost * part).sum(), shares + np.where(bought > settings.share_epsilon, bought, 0.0)
+        own = shares > 0
+        equity = cash + marks[at:until] @ shares
+        if not np.isfinite(equity[0]) or equity[0] <= 0:
+            raise ValueError(f"equity {equity[0]} on {dates[at]}")
+        out += _rows("holding", dates[at], names[own], executed=shares[own], price=marks[at][own], weight=(shares * marks[at] / equity[0])[own])
+        out.append({"date": dates[at], "record": "holding", "status": "cash", "cash": cash, "weight": cash / equity[0]})
+        fees = np.concatenate([[fee.sum()], np.zeros(until - at - 1)])
+        before = np.concatenate([[nav_before], equity[:-1]])
+        for i, date in enumerate(dates[at:until]):
+            ret = equity[i] / before[i] - 1
+            out.append({"date": date, "record": "nav", "cash": cash, "equity": equity[i], "fee": fees[i], "daily_return": ret, "gross_return": ret + fees[i] / before[i], "nav": equity[i] / settings.initial_capital})
+        nav_before = equity[-1]
     return out
 
 

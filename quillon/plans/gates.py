@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markdown import front_matter_values
+from .graph import never_free
+from .verification import fresh
+
 #: Fixed values of the documents' formats.
 ELEMENTS = "D|F|B|R|SA"
 PAGE_MARK = r"(?m)^===== PAGE \d+ =====$"
@@ -18,6 +22,12 @@ LEAST_HTML = 5 * 1024
 ROUND_FILES = ("diagnosis.md", "changes.md", "comparison.json")
 ENDS_ITERATION = r"结论[:：]\s*[*_`]*(stop_partial|blocked)\b"
 EXCLUDED_HYPOTHESES = "已排除假设"
+SPEC_FIELDS = ("report_name", "title", "institution", "report_date", "authors", "market", "pdf_pages", "exhibit_declared", "element_counts", "type_hint", "tags_hint")
+MAY_BE_EMPTY = ("tags_hint",)
+LEAST_MILESTONES = {"easy": 1, "medium": 2, "hard": 3}
+RUN_LOG, RUN_SUCCEEDED = "run_log.md", "exit=0"
+LEAST_CHART = 15 * 1024
+CHECKED_PRIORITIES = ("core", "support")
 
 
 def checks(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -160,3 +170,50 @@ def iteration_gate(cases: DataFrame, files: DataFrame, key: str = "case_id") ->
     rules = {"round_files": F.size("lacking") == 0, "rounds_allowed": F.col("most").isNull() | (F.coalesce("current", F.lit(0)) <= F.col("most")), "excluded_hypotheses": ~F.coalesce("silent", F.lit(False))}
     rows = F.array(*[F.struct(F.lit(n).alias("check_id"), F.coalesce(c, F.lit(False)).alias("passed"), F.when(F.lit(n == "round_files"), F.array_join(F.sort_array("lacking"), ",")).otherwise("").alias("missing")) for n, c in rules.items()])
     return whole.select(key, F.explode(rows).alias("_check")).select(key, "_check.*")
+
+
+def spec_fields(cases: DataFrame, key: str = "case_id", text_col: str = "spec") -> DataFrame:
+    """key, field, problem (missing or empty): fields of the front matter that a specification must have and fill.
+
+    Zero, false, null, blank text and lists or maps without items are empty. A text without front matter lacks all fields.
+    """
+    top = front_matter_values(cases, text_col, [key]).where(~F.contains("path", F.lit(".")) & ~F.contains("path", F.lit("[")))
+    unfilled = (F.col("kind") == "null") | (F.col("kind").isin("map", "list") & (F.col("value") == "0")) | (F.col("kind").isin("number", "string") & (F.coalesce(F.trim("value"), F.lit("")) == "")) | ((F.col("kind") == "number") & (F.col("value").try_cast("double") == 0)) | ((F.col("kind") == "boolean") & (F.col("value") == "false"))
+    found = top.select(key, F.col("path").alias("field"), unfilled.alias("_empty"))
+    needed = cases.select(key, F.explode(F.array(*map(F.lit, SPEC_FIELDS))).alias("field"))
+    problem = F.when(F.col("_empty").isNull(), "missing").when(F.col("_empty") & ~F.col("field").isin(*MAY_BE_EMPTY), "empty")
+    return needed.join(found, [key, "field"], "left").select(key, "field", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def plan_gate(cases: DataFrame, milestones: DataFrame, key: str = "case_id") -> DataFrame:
+    """cases: key, difficulty (null: medium); milestones: key, id, deps. An easy plan has a milestone at least, a hard one three."""
+    counts = milestones.where("id IS NOT NULL").groupBy(key).agg(F.count_distinct("id").alias("_n"))
+    stuck = never_free(milestones, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("_stuck"))
+    rows = cases.select(key, F.coalesce("difficulty", F.lit("medium")).alias("_level")).join(counts, key, "left").join(stuck, key, "left").fillna(0, ["_n", "_stuck"])
+    least = F.coalesce(*[F.when(F.col("_level") == level, n) for level, n in LEAST_MILESTONES.items()])
+    return checks(rows, key, {"enough_milestones": F.col("_n") >= least, "acyclic": F.col("_stuck") == 0})
+
+
+def verify_gate(cases: DataFrame, files: DataFrame, logs: DataFrame, decided: DataFrame, matrix: DataFrame, key: str = "case_id") -> DataFrame:
+    """Checks of a verification, from the listing of its files and the content of its log alone.
+
+    cases: key, charts, workbooks (arrays of the names that its type needs; null: none); files: key, kind (source or output),
+    name, path, modified, length; logs: key, text of RUN_LOG; decided: key, passed (null: waived) of each metric;
+    matrix: key, state, priority, verified.
+    """
+    outputs = files.where("kind = 'output'")
+    named = lambda sort: F.transform(F.coalesce(sort, F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit(sort).alias("sort")))
+    needed = cases.select(key, F.explode(F.concat(named("charts"), named("workbooks"))).alias("_x")).select(key, "_x.*")
+    sizes = outputs.groupBy(key, "name").agg(F.max("length").alias("length"))
+    small = F.coalesce("length", F.lit(-1)) <= F.when(F.col("sort") == "charts", LEAST_CHART).otherwise(0)
+    short = needed.distinct().join(sizes, [key, "name"], "left").groupBy(key).agg(F.count_if(small & (F.col("sort") == "charts")).alias("_charts"), F.count_if(small & (F.col("sort") == "workbooks")).alias("_workbooks"))
+    ran = logs.groupBy(key).agg(F.bool_or(F.contains("text", F.lit(RUN_SUCCEEDED))).alias("_ran"))
+    metrics = decided.groupBy(key).agg(F.bool_and(F.coalesce("passed", F.lit(True))).alias("_metrics"))
+    said = F.length(F.trim(F.coalesce("verified", F.lit("")))) > 0
+    counted = F.col("priority").isin(*CHECKED_PRIORITIES) & ~F.coalesce(F.col("state").isin(*EXCLUDED_STATES), F.lit(False))
+    silent = matrix.groupBy(key).agg(F.count_if(counted & ~said).alias("_silent"))
+    rows = cases.select(key)
+    for part in (short, ran, metrics, silent, fresh(files, [key]).select(key, F.col("passed").alias("_fresh"))):
+        rows = rows.join(part, key, "left")
+    rows = rows.fillna(0, ["_charts", "_workbooks", "_silent"])
+    return checks(rows, key, {"run_log": F.col("_ran"), "metrics": F.col("_metrics"), "charts": F.col("_charts") == 0, "workbooks": F.col("_workbooks") == 0, "fresh": F.col("_fresh"), "matrix_verified": F.col("_silent") == 0})

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from .graph import never_free
 
 #: Conclusions of an out-of-sample check, and attributions that explain a failed metric.
 CONCLUSIONS = ("continues", "decayed", "failed", "insufficient_data")
@@ -109,26 +109,16 @@ def check_out_of_sample(df: DataFrame) -> DataFrame:
     return df.withColumn("problems", found).withColumn("passed", F.size("problems") == 0)
 
 
-def fresh(files: DataFrame) -> DataFrame:
-    """files: kind (source or output), path, modified. Whether all outputs are newer than the last source; caches don't count."""
-    own = files.where(~F.col("path").rlike(r"(__pycache__|\.pyc$)"))
+def fresh(files: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """files: by, kind (source or output), path, modified. Whether all outputs are newer than the last source; caches don't count."""
+    own = files.where(~F.col("path").rlike(r"(/__pycache__/|\.pyc$)"))
     newest, oldest = F.max(F.when(F.col("kind") == "source", F.col("modified"))), F.min(F.when(F.col("kind") == "output", F.col("modified")))
-    return own.agg(newest.alias("newest_source"), oldest.alias("oldest_output"), F.coalesce(oldest > newest, F.lit(False)).alias("passed"))
+    return own.groupBy(*by).agg(newest.alias("newest_source"), oldest.alias("oldest_output"), F.coalesce(oldest > newest, F.lit(False)).alias("passed"))
 
 
 def has_cycle(milestones: DataFrame) -> bool:
-    """milestones: id, deps. Nodes without open dependencies are taken away until none is left or none goes; unknown ids don't count."""
-    shared_dir(milestones.sparkSession)  # for the checkpoints
-    ids = milestones.select("id").distinct()
-    edges = milestones.select("id", F.explode("deps").alias("dep")).join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi").distinct().cache()
-    left = edges.count()
-    while left:
-        edges = edges.join(edges.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").distinct().checkpoint()
-        now = edges.count()
-        if now == left:
-            return True
-        left = now
-    return False
+    """milestones: id, deps. Unknown ids don't count."""
+    return bool(never_free(milestones).take(1))
 
 
 def missing_items(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,8 +128,3 @@ def missing_items(required: DataFrame, present: DataFrame, keys: list[str]) -> D
 def gate(rows: DataFrame) -> DataFrame:
     """rows: stage, check_id, passed. One verdict for each stage."""
     return rows.groupBy("stage").agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("verdict"), F.count(F.lit(1)).alias("checks"), F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("check_id")))).alias("failed"))
-
-
-def plan_checks(milestones: DataFrame, difficulty: str) -> list[tuple[str, bool]]:
-    least = {"easy": 1, "medium": 2, "hard": 3}[difficulty]
-    return [("enough_milestones", milestones.count() >= least), ("acyclic", not has_cycle(milestones))]

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["cross_section", "performance", "data", "portfolios", "verification", "reports", "readers"]
+MODULES = ["cross_section", "performance", "data", "portfolios", "verification", "reports", "readers", "documents"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

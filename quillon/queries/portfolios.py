@@ -11,6 +11,7 @@ from ..operators import optimizers as op
 from ..operators import portfolio as pf
 from ..operators.validate import PortfolioSettings
 from ..sources import synthetic as syn
+from ..sources.scratch import table
 from ..sources.synthetic import ASSETS, CALENDAR, PANEL, PREDICTIONS
 from .cross_section import _CORR, _r, _with
 
@@ -86,7 +87,8 @@ def rank_ic_over_paths(spark, d):
 
 
 def _groups(spark, d):
-    return xs.descending_groups(syn.predictions(spark, d), SETTINGS.n_groups)
+    """Written once: a schedule reads them several times."""
+    return table(xs.descending_groups(syn.predictions(spark, d), SETTINGS.n_groups), "groups")
 
 
 def path_schedule(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import datetime as dt
 import json
 import zipfile
@@ -512,3 +513,57 @@ def test_iteration_rounds(spark):
     assert [rows[c, "round_files"] for c in "abcdefgh"] == [(True, ""), (True, ""), (False, "1/changes.md"), (False, "1/changes.md"), (True, ""), (True, ""), (True, ""), (False, ",".join(sorted(f"{r}/{n}" for r in (1, 2) for n in gates.ROUND_FILES)))]
     assert [c for c in "abcdefgh" if not rows[c, "rounds_allowed"][0]] == ["e"]
     assert [c for c in "abcdefgh" if not rows[c, "excluded_hypotheses"][0]] == ["e", "h"]
+
+
+def test_never_free(spark):
+    """Deep chains in rounds of their depth's logarithm; the same milestones as by plain search on graphs at random."""
+    from quillon.plans.graph import never_free
+
+    chain = [("deep", i, [i - 1] if i else []) for i in range(5000)] + [("ring", i, [(i + 1) % 300]) for i in range(300)]
+    got = never_free(spark.createDataFrame(chain, "case_id string, id long, deps array<long>"), ["case_id"])
+    assert got.groupBy("case_id").count().collect() == [("ring", 300)]
+    rng, rows = np.random.default_rng(5), []
+    for case in [None, *map(str, range(60))]:
+        n = int(rng.integers(1, 30))
+        rows += [(case, i, [int(x) for x in rng.integers(0, n + 3, int(rng.integers(0, 4)))] + [None] * int(rng.integers(0, 2))) for i in range(n)]
+    rows += [("x", None, [1]), ("x", 1, None), ("x", 2, [3]), ("x", 2, [1]), ("x", 3, [2])]
+    graph: dict = {}
+    for case, i, deps in rows:
+        if i is not None:
+            graph.setdefault((case, i), set()).update((case, x) for x in deps or [] if x is not None)
+    graph = {k: {x for x in v if x in graph} for k, v in graph.items()}
+    while free := {k for k, v in graph.items() if not v & graph.keys()}:
+        graph = {k: v for k, v in graph.items() if k not in free}
+    got = never_free(spark.createDataFrame(rows, "case_id string, id long, deps array<long>"), ["case_id"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(graph, key=str) and len(got) > 20
+    assert never_free(spark.createDataFrame([], "id long, deps array<long>")).count() == 0
+
+
+def test_nested_front_matter():
+    from quillon.functions.markdown import nested_rows
+
+    head = "a: \"x: y\" # note\nb: it's\nc:\n- name: X\n  more: {k: [1, 'u, v']}\n- - p\n  - q\nd:\n    e:\n      f: ~\n# none\nstray\na: 2\ng: []\nh: http://x/#y\n- top"
+    assert nested_rows(head) == [
+        ("a", "number", "2"), ("b", "string", "it's"), ("c", "list", "2"), ("c[0]", "map", "2"), ("c[0].name", "string", "X"), ("c[0].more", "map", "1"), ("c[0].more.k", "list", "2"), ("c[0].more.k[0]", "number", "1"), ("c[0].more.k[1]", "string", "u, v"),
+        ("c[1]", "list", "2"), ("c[1][0]", "string", "p"), ("c[1][1]", "string", "q"), ("d", "map", "1"), ("d.e", "map", "1"), ("d.e.f", "null", None), ("g", "list", "0"), ("h", "list", "1"), ("h[0]", "string", "top"),
+    ]
+    assert nested_rows("") == []
+
+
+def test_files_as_rows(spark, tmp_path):
+    """Sizes and times come without content; sources that are newer than outputs aren't fresh, caches don't count."""
+    from quillon.sources import files
+
+    base = str(tmp_path / "cases")
+    rows = [("a/output/x.png", "12"), ("a/source/m.py", "1"), ("a/source/n.py", None), ("b/source/m.py", "1"), ("b/source/__pycache__/m.pyc", "1"), ("b/output/log.md", "exit=0 é")]
+    files.write_texts(spark.createDataFrame(rows, "path string, text string"), base)
+    for path, at in (("a/output/x.png", 100), ("a/source/m.py", 200), ("b/source/m.py", 100), ("b/source/__pycache__/m.pyc", 900), ("b/output/log.md", 200)):
+        os.utime(f"{base}/{path}", (at, at))
+    listed = files.listing(spark, base)
+    assert "content" not in listed._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert {(r.name, r.length) for r in listed.collect()} == {("x.png", 2), ("m.py", 1), ("log.md", 9)}  # neither empty nor hidden
+    own = files.F.split(files.below(files.F.col("path"), base), "/")
+    got = vf.fresh(listed.withColumns({"case_id": own[0], "kind": own[1]}), ["case_id"]).select("case_id", "passed").collect()
+    assert sorted(map(tuple, got)) == [("a", False), ("b", True)]
+    assert [r.text for r in files.texts(spark, base, "log.md").collect()] == ["exit=0 é"]
+    assert files.listing(spark, base, "*.csv").count() == 0
