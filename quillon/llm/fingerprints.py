@@ -192,12 +192,21 @@ def as_hex(cells: Column) -> Column:
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
+def _cuts(rows: DataFrame, count: int, buckets: int, in_a_range: int = 1 << 16) -> list[tuple]:
+    """Every eighth (key, h) of a sample of some eight a bucket, in each of the ranges that it is sorted in."""
+    sample = rows.where(F.pmod(F.xxhash64("key", "h"), F.lit(max(1, count // (8 * buckets)))) == 0).select("key", "h").distinct()
+    ranges = sample.repartitionByRange(8 * buckets // in_a_range + 1, "key", "h").sortWithinPartitions("key", "h")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its range
+    return [tuple(r) for r in ranges.withColumn("i", place).where("i % 8 = 0").select("key", "h").collect()]
+
+
 def with_next_text(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 1500, most_buckets: int = 1 << 18) -> DataFrame:
     """id, text, next_text: the text of the next id in ascending order; the first one's after the last.
 
     Rows are dealt into buckets of neighbours, so each text is shuffled once; the first
     row of a bucket also goes to the one before it. The bounds between buckets are taken
-    from a sample of the keys, some eight a bucket, which sets their sizes and nothing else. Equal rows
+    from a sample of the keys, some eight a bucket, which sets their sizes and nothing else. Spark sorts
+    the sample; only the bounds, most_buckets and a little more, come to the driver (some 10 MB at most for integers). Equal rows
     of a repeated id are one row with a count until the end, and such an id is cut by
     a hash of its texts, so neither meets in one task.
     """
@@ -215,9 +224,7 @@ def with_next_text(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: i
     buckets = max(1, min(most_buckets, count // rows_per_bucket))
     cuts = [tuple(rows.agg(F.min(F.struct("key", "h"))).first()[0])]
     if buckets > 1:
-        every = max(1, count // (8 * buckets))
-        found = sorted({tuple(r) for r in rows.where(F.pmod(F.xxhash64("key", "h"), F.lit(every)) == 0).select("key", "h").collect()})
-        cuts = sorted({cuts[0], *found[:: max(1, len(found) // buckets)]})
+        cuts = sorted({cuts[0], *_cuts(rows, count, buckets)})
     listed = lambda i, kind: F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast(f"array<{kind}>")  # noqa: E731  constants of the plan
     keys, hashes = listed(0, dict(rows.dtypes)["key"]), listed(1, "bigint")
 

@@ -16,7 +16,7 @@ a call. A text over LONG characters is cut where no match of the splitting patte
 and no added token can span (before a space or line feed after a character that isn't
 white space), as the library needs over a hundred bytes for each of its tokens.
 
-Shards are made for about shard_bytes of text and some bytes a row, so a task's work,
+Shards are made for about shard_bytes of text, a gigabyte at most, so a task's work,
 its index and its filter stay the same size however large the corpus.
 
 Entry value: n ids, running count of ids in the shard, ids as little-endian
@@ -47,7 +47,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import pieces
@@ -59,6 +59,7 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
 SHARD_BYTES = 32 << 20
+MOST_SHARD_BYTES, SHARDS = 1 << 30, 4096  # shards grow once a corpus has more of them
 ROW_BYTES = 64  # that a row counts for besides its text
 CALL = 1 << 20  # characters that one call encodes, about
 LONG = 1 << 20  # characters of a piece of a very long text, about
@@ -215,14 +216,18 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes df's texts; returns the manifest (shard, file, first, last, entries, ids), a row for each shard."""
+def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None) -> DataFrame:
+    """Writes df's texts; returns the manifest (shard, file, first, last, entries, ids), a row for each shard.
+
+    A shard holds SHARD_BYTES of text, more where that makes over SHARDS of them, MOST_SHARD_BYTES at most.
+    """
     spark = df.sparkSession
     small_batches(spark)
     is_text = dict(df.dtypes)[id_col] == "string"
     kind = "string" if is_text else "bigint"
     rows = df.select((F.col(id_col) if is_text else F.col(id_col).cast("bigint")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES).cast("long"))).first()[0] or 0
+    shard_bytes = shard_bytes or min(max(SHARD_BYTES, size // SHARDS), MOST_SHARD_BYTES)
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(size // shard_bytes + 1, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
@@ -255,16 +260,20 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Every entry: id, start (ids before it in all shards), n_tokens, ids_crc32; a task for each shard.
+def with_starts(manifest: DataFrame, in_a_group: int = 1024) -> DataFrame:
+    """shard, file, before: the ids in all shards before each, by sums of groups of shards and then within a group."""
+    group = F.floor(F.col("shard") / in_a_group)
+    sums = manifest.groupBy(group.alias("g")).agg(F.sum("ids").alias("n"))
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("g", earlier("n", Window.partitionBy(F.lit(0)).orderBy("g")).alias("above"))  # a row for each group
+    rows = manifest.select("shard", "file", group.alias("g"), earlier("ids", Window.partitionBy(group).orderBy("shard")).alias("own"))
+    return rows.join(sums, "g").select("shard", "file", (F.col("above") + F.col("own")).alias("before"))
 
-    The driver sums the shards' counts: a number for each shard, not for each document.
-    """
-    kind = dict(spark.read.parquet(f"{folder}/manifest").dtypes)["first"]
-    files, before = [], 0
-    for shard, name, n in sorted(tuple(r) for r in spark.read.parquet(f"{folder}/manifest").select("shard", "file", "ids").collect()):
-        files.append((shard, name, before))
-        before += n
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry: id, start (ids before it in all shards), n_tokens, ids_crc32; the shards are dealt to as many tasks."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    kind = dict(manifest.dtypes)["first"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = file_system(folder)
@@ -277,7 +286,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                         out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
                         yield out.astype({"id": "string" if kind == "string" else "Int64"})
 
-    table = spark.createDataFrame(files, "shard long, file string, before long").repartition(max(1, len(files)), "shard")
+    table = with_starts(manifest).repartition(max(1, manifest.count()), "shard")
     return table.mapInPandas(read, f"id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
