@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import clean
@@ -52,6 +53,32 @@ def prepare_factor_panel(df: DataFrame, min_cross_section: int, n_models: int |
     return rows.withColumn("_n", size).where(F.col("_n") >= min_cross_section).drop("_n")
 
 
+def write_checked(df: DataFrame, path: str, keys: Sequence[str], least_rows: int = 0) -> DataFrame:
+    """df as Parquet at path, a new folder, if no key is null or repeated and there are least_rows rows; returns the table.
+
+    The checks are counted by the job that writes, beside the place; only a table that passes is renamed to it,
+    otherwise nothing is left and the counts are in the error.
+    """
+    require_columns(df, keys)
+    spark, seen = df.sparkSession, Observation()
+    null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    rows = df.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(null).alias("null_keys"), F.count_if(~null & (F.col("_times") > 1)).alias("repeated"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{path} is there already")
+    watched.drop("_times").write.parquet(part.toString())
+    found = seen.get
+    if found["null_keys"] or found["repeated"] or found["rows"] < least_rows:
+        fs.delete(part, True)
+        raise ValueError(f"not written: {found}")
+    if not fs.rename(part, target):
+        raise OSError(f"{part.toString()} can't be renamed to {path}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def deterministic_sample(df: DataFrame, keys: Sequence[str], limit: int, seed: int = 0) -> DataFrame:
     """limit rows for display, chosen by a hash of their keys."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

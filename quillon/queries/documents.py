@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..operators import validate
 from ..plans import gates, state
 from ..plans import verification as vf
 from ..plans.graph import never_free
@@ -105,6 +106,12 @@ def state_event_problems(spark, d):
     return state.invalid_events(events).select("event_id")
 
 
+def checked_table(spark, d):
+    """Orders written only if each is there once, and read again."""
+    orders = syn.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return validate.write_checked(orders, folder(spark, "checked"), ["o_orderkey"], 1)
+
+
 def external_files(spark, d):
     k = F.col("s_suppkey")
     return syn.table(spark, d, "supplier").select(k.alias("case_id"), gates.external_name(k % 2 == 0, k % 3 == 0, "review.md", "audit.md").alias("name"))
@@ -118,7 +125,7 @@ def answer_json(spark, d):
     return syn.table(spark, d, "supplier").select(k.alias("case_id"), F.get_json_object(md.json_in(text), "$.id").cast("long").alias("id"), F.get_json_object(md.json_in(text), "$.in.x[1].y").cast("long").alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, external_files, answer_json)}
+QUERIES = {f.__name__: f for f in (blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, checked_table, external_files, answer_json)}
 
 _STUCK = """ms AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS id, [CAST(l_partkey % 9 AS BIGINT), CASE WHEN l_quantity > 10 THEN CAST(l_suppkey % 8 AS BIGINT) END] AS deps FROM lineitem),
 e AS (SELECT DISTINCT a.case_id, a.id, a.dep FROM (SELECT case_id, id, unnest(deps) AS dep FROM ms) a JOIN ms b ON a.case_id = b.case_id AND a.dep = b.id),
@@ -160,6 +167,7 @@ c AS (SELECT s_suppkey AS case_id, m.ok, coalesce(x.silent, 0) AS silent FROM su
  CASE WHEN c_custkey % 3 = 1 THEN 'unknown_conclusion' END, CASE WHEN c_custkey % 120 < 60 AND c_custkey % 2 = 1 THEN 'short_without_warning' END] AS ps FROM customer)
 SELECT id, len([x FOR x IN ps IF x IS NOT NULL]) = 0 AS passed, array_to_string([x FOR x IN ps IF x IS NOT NULL], ',') AS problems FROM p""",
     "state_event_problems": "SELECT event_id FROM events WHERE event_id % 11 = 0 OR user_id IS NULL OR event_id % 13 = 0 OR ts IS NULL OR event_type IS NULL OR event_type NOT IN ('click', 'view')",
+    "checked_table": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "external_files": "SELECT s_suppkey AS case_id, CASE WHEN s_suppkey % 2 <> 0 AND s_suppkey % 3 = 0 THEN 'audit.md' ELSE 'review.md' END AS name FROM supplier",
     "answer_json": "SELECT s_suppkey AS case_id, CASE WHEN s_suppkey % 4 < 3 THEN s_suppkey END AS id, CAST(CASE WHEN s_suppkey % 4 < 3 THEN 2 END AS BIGINT) AS y FROM supplier",
 }

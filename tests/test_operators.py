@@ -567,3 +567,23 @@ def test_files_as_rows(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("a", False), ("b", True)]
     assert [r.text for r in files.texts(spark, base, "log.md").collect()] == ["exit=0 é"]
     assert files.listing(spark, base, "*.csv").count() == 0
+
+
+def test_checked_write(spark, tmp_path):
+    """One job writes and checks; a table with null or repeated keys or too few rows leaves nothing behind."""
+    good = spark.range(100).selectExpr("id AS a", "id % 7 AS b")
+    spark.sparkContext.setJobGroup("checked", "")
+    assert validate.write_checked(good, str(tmp_path / "t"), ["a"], 100).count() == 100
+    written = [j for j in spark.sparkContext.statusTracker().getJobIdsForGroup("checked")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["t"] and len(written) <= 4  # stages of the adaptive plan and the count
+    nulls = spark.createDataFrame([(1, 2), (None, 2), (None, 3)], "a long, b long")
+    for bad, keys, least in ((good, ["b"], 0), (nulls, ["a"], 0), (good, ["a"], 101), (good.limit(0), ["a"], 1)):
+        with pytest.raises(ValueError, match="not written"):
+            validate.write_checked(bad, str(tmp_path / "u"), keys, least)
+    with pytest.raises(ValueError, match="already"):
+        validate.write_checked(good, str(tmp_path / "t"), ["a"])
+    with pytest.raises(ValueError, match="lacks"):
+        validate.write_checked(good, str(tmp_path / "u"), ["zz"])
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["t"]
+    assert validate.write_checked(good.limit(0), str(tmp_path / "u"), ["a"]).columns == ["a", "b"]
