@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Fixed values of the workflow's state.
 STATUSES = ("pending", "running", "done", "skipped", "blocked", "failed")
@@ -20,6 +21,35 @@ def fold(events: DataFrame, order: str = "ts", tie: str = "event_id") -> DataFra
     return events.groupBy("case_id", "stage").agg(last["status"].alias("status"), F.sum((F.col("status") == "running").cast("long")).alias("attempts"), F.max(order).alias("updated_at"))
 
 
+def fold_appended(events: DataFrame, target: str, order: str = "ts", tie: str = "event_id") -> StreamingQuery:
+    """Folds what a stream of events holds that target hasn't seen yet, and ends; `folded` reads the states.
+
+    The query's own state keeps each event once and the fold of each (case, stage), so no event is read again. Events that are
+    equal in every column of the fold count once, however often and late they come; late ones don't displace a later status.
+    So the states are those of `fold` over all distinct events, whatever the batches. Each batch writes the states that it
+    changed to its own folder, over what an attempt that failed may have left there. The session's state store becomes RocksDB,
+    as the events seen must not have to fit in memory.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    once = events.select("case_id", "stage", "status", order, tie).dropDuplicates()
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{target}/changes/batch={batch}")
+
+    stream = fold(once, order, tie).writeStream.outputMode("update").option("checkpointLocation", f"{target}/_progress")
+    query = stream.foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def folded(spark: SparkSession, target: str) -> DataFrame:
+    """case_id, stage, status, attempts, updated_at as of the last batch of `fold_appended`."""
+    changes = spark.read.parquet(f"{target}/changes")
+    last = F.max_by(F.struct("status", "attempts", "updated_at"), "batch")
+    return changes.groupBy("case_id", "stage").agg(last.alias("_s")).select("case_id", "stage", "_s.*")
+
+
 def back_fill(states: DataFrame, stages: DataFrame, terminal: DataFrame) -> DataFrame:
     """Every stage of every case: stages without events are skipped in finished cases, else pending. terminal: case_id."""
     cases = states.select("case_id").distinct().join(terminal.select("case_id", F.lit(True).alias("_over")), "case_id", "left")

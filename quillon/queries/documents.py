@@ -9,7 +9,7 @@ from ..operators import validate
 from ..plans import gates, state
 from ..plans import verification as vf
 from ..plans.graph import never_free
-from ..sources import files
+from ..sources import files, paged
 from ..sources import synthetic as syn
 from ..sources.scratch import folder
 from .cross_section import _with
@@ -125,7 +125,29 @@ def answer_json(spark, d):
     return syn.table(spark, d, "supplier").select(k.alias("case_id"), F.get_json_object(md.json_in(text), "$.id").cast("long").alias("id"), F.get_json_object(md.json_in(text), "$.in.x[1].y").cast("long").alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, checked_table, external_files, answer_json)}
+def paged_files(spark, d):
+    """Documents as files of pages with counts that are one too low, right, one too high or not given; pages from the second on."""
+    k, base, counts = F.col("doc_id"), folder(spark, "paged"), folder(spark, "page_counts")
+    docs = syn.table(spark, d, "documents").select("doc_id", F.concat(k.cast("string"), F.lit(".txt")).alias("path"), F.translate("text", "\n", "\f").alias("text"))
+    files.write_texts(docs, base)
+    found = F.size(F.split(F.regexp_replace("text", r"[ \t-\r]+\z", ""), "\f"))
+    docs.where(k % 4 < 3).select(F.col("path").alias("file"), (found + (k % 4 - 1)).cast("int").alias("pages")).write.parquet(counts)
+    rows = paged.pages(spark, base, counts, pages_per_task=64).where("page > 1")
+    return rows.select(F.substring_index("file", ".", 1).cast("long").alias("doc_id"), "page", F.md5("page_text").alias("page_md5"))
+
+
+def state_appended(spark, d):
+    """Events that come in three batches, the last one with the first one's again: folded as they come."""
+    e = syn.table(spark, d, "events").select(F.col("user_id").alias("case_id"), (F.col("event_id") % 4).alias("stage"), F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), "ts", "event_id")
+    source, target = folder(spark, "event_log"), folder(spark, "case_states")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for batch in (e.where(part == 0), e.where(part == 1), e.where(part != 1)):
+        batch.write.mode("append").parquet(source)
+        state.fold_appended(spark.readStream.schema(e.schema).parquet(source), target)
+    return state.folded(spark, target).select("case_id", "stage", "status", "attempts")
+
+
+QUERIES = {f.__name__: f for f in (paged_files, state_appended, blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, checked_table, external_files, answer_json)}
 
 _STUCK = """ms AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS id, [CAST(l_partkey % 9 AS BIGINT), CASE WHEN l_quantity > 10 THEN CAST(l_suppkey % 8 AS BIGINT) END] AS deps FROM lineitem),
 e AS (SELECT DISTINCT a.case_id, a.id, a.dep FROM (SELECT case_id, id, unnest(deps) AS dep FROM ms) a JOIN ms b ON a.case_id = b.case_id AND a.dep = b.id),
@@ -150,6 +172,11 @@ def _rules(table: str, rules: dict[str, str]) -> str:
 
 
 ORACLE_SQL = {
+    "paged_files": r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), c AS (SELECT doc_id, ps, len(string_split(regexp_replace(array_to_string(ps, chr(10)), '[ \t-\r]+$', ''), chr(10))) AS n,
+ CASE WHEN regexp_matches(ps[-1], '^[ \t-\r]*$') THEN len(ps) - 1 ELSE len(ps) END AS held FROM t),
+m AS (SELECT doc_id, ps[:held] AS ps, CASE WHEN doc_id % 4 < 3 THEN n + doc_id % 4 - 1 ELSE held END AS n FROM c)
+SELECT doc_id, CAST(page AS INTEGER) AS page, md5(coalesce(ps[page], '')) AS page_md5 FROM (SELECT doc_id, ps, unnest(range(2, n + 1)) AS page FROM m)""",
+    "state_appended": "SELECT user_id AS case_id, event_id % 4 AS stage, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, count(*) FILTER (WHERE event_type = 'click') AS attempts FROM events GROUP BY 1, 2",
     "blocked_milestones": "WITH RECURSIVE " + _STUCK + " SELECT case_id, id FROM stuck",
     "gate_plan": "WITH RECURSIVE " + _STUCK + """, c AS (SELECT o_orderkey AS case_id, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS least, coalesce(n, 0) AS n, coalesce(t, 0) AS t FROM orders
  LEFT JOIN (SELECT case_id, count(DISTINCT id) AS n FROM ms GROUP BY 1) x ON x.case_id = o_orderkey LEFT JOIN (SELECT case_id, count(*) AS t FROM stuck GROUP BY 1) y ON y.case_id = o_orderkey)

@@ -31,11 +31,16 @@ def below(path, folder: str):
     return F.substring_index(path, f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1)
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's path or address, and its path there."""
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
 def write_texts(df: DataFrame, folder: str) -> None:
     """df: path (below the folder), text. Each task writes its rows, one file each; a task that runs again writes the same."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, base = file_system(folder)
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
                 fs.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)

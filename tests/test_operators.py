@@ -18,7 +18,7 @@ from quillon.functions.statistics import normal_cdf, safe_corr, student_t_two_si
 from quillon.operators import allocation, cross_section as xs, learning, optimizers as op, portfolio, timing, universe, validate
 from quillon.operators.features import Segment, assign_splits
 from quillon.plans import state, verification as vf
-from quillon.sources import market, sinks
+from quillon.sources import market, paged, sinks
 
 
 def day(i):
@@ -587,3 +587,70 @@ def test_checked_write(spark, tmp_path):
         validate.write_checked(good, str(tmp_path / "u"), ["zz"])
     assert sorted(f.name for f in tmp_path.iterdir()) == ["t"]
     assert validate.write_checked(good.limit(0), str(tmp_path / "u"), ["a"]).columns == ["a", "b"]
+
+
+def _by_hand(raw: bytes, declared):
+    own = raw.split(b"\f")
+    own = own[:-1] if not own[-1].strip() else own
+    own = own if declared is None else (own + [b""] * declared)[:declared]
+    return [p.decode("utf-8", "replace") for p in own]
+
+
+@pytest.mark.parametrize("per_task", [1, 2, 100])
+def test_paged_files(spark, tmp_path, monkeypatch, per_task):
+    """Pages by hand: blank, trailing, padded and cut ones, bytes that aren't UTF-8, pages longer than a block, ranges of any size."""
+    texts = {
+        "empty.txt": b"", "blank.txt": b" \n\t", "one.txt": b"a", "trail.txt": b"a\fb\f", "spaces.txt": b"a\f\f \n", "bad.txt": b"\xff\xc3\fz", "marks.txt": b"\f" * 7,
+        "sub/long.txt": b"x" * (2 * paged.BLOCK + 5) + b"\f" + "\u00e9".encode() * paged.BLOCK + b"\fend", "sub/many.txt": b"\f".join(b"%d" % i for i in range(50)), "_hidden.txt": b"h",
+    }
+    base = tmp_path / "texts"
+    (base / "sub").mkdir(parents=True)
+    for name, raw in texts.items():
+        (base / name).write_bytes(raw)
+    counts = {"empty.txt": 2, "trail.txt": 1, "bad.txt": 3, "sub/many.txt": 60, "blank.txt": None, "absent.txt": 4, "marks.txt": 0}
+    spark.createDataFrame(list(counts.items()), "file string, pages int").write.parquet(str(tmp_path / "counts"))
+    want = {(f, i): t for f, raw in texts.items() if f != "_hidden.txt" for i, t in enumerate(_by_hand(raw, counts.get(f)), 1)}
+    df = paged.pages(spark, str(base), str(tmp_path / "counts"), pages_per_task=per_task)
+    rows = df.collect()
+    assert len(rows) == len(want) and {(r.file, r.page): r.page_text for r in rows} == want
+    for where, keep in {
+        "page BETWEEN 2 AND 3": lambda f, p: 2 <= p <= 3, "page > 48": lambda f, p: p > 48, "page < 1": lambda f, p: False, "page = 2 AND file = 'trail.txt'": lambda f, p: False,
+        "file IN ('sub/many.txt', 'one.txt') AND page < 4": lambda f, p: p < 4 and f in ("sub/many.txt", "one.txt"), "page <> 1 AND length(page_text) < 3": lambda f, p: p != 1 and len(want[f, p]) < 3,
+    }.items():
+        assert {(r.file, r.page) for r in df.where(where).collect()} == {k for k in want if keep(*k)}, where
+
+
+def test_paged_filters_plan_less(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual, StringContains
+
+    (tmp_path / "a.txt").write_bytes(b"\f".join([b"x"] * 10))
+    (tmp_path / "b.txt").write_bytes(b"y")
+    reader = paged.PagedReader({"path": str(tmp_path), "pagesPerTask": "4"})
+    left = StringContains(("page_text",), "x")
+    assert list(reader.pushFilters([EqualTo(("file",), "a.txt"), GreaterThan(("page",), 3), LessThanOrEqual(("page",), 6), left])) == [left]
+    assert [t.ranges for t in reader.partitions()] == [[paged.PageRange("a.txt", 4, 6, False)]]
+
+
+def test_paged_files_of_no_folder_content(spark, tmp_path):
+    assert paged.pages(spark, str(tmp_path)).collect() == []
+    with pytest.raises(ValueError):
+        paged.PagedReader({"path": str(tmp_path), "mark": "--"})
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_appended_events(spark, tmp_path, seed):
+    """Any split into batches, repeats and late events included, folds to the states of the whole."""
+    rng = np.random.default_rng(seed)
+    events = [(None if i % 17 == 0 else int(rng.integers(4)), int(rng.integers(3)), ["running", "done", "failed", None][rng.integers(4)], int(rng.integers(30)), i) for i in range(120)]
+    schema = "case_id long, stage long, status string, ts long, event_id long"
+    batches = [[events[i] for i in rng.permutation(120)[: rng.integers(1, 90)]] for _ in range(2)] + [events]
+    source, target = str(tmp_path / "log"), str(tmp_path / "states")
+    read = 0
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = state.fold_appended(stream, target)
+        read += sum(p.numInputRows for p in query.recentProgress)
+    assert read == sum(map(len, batches))  # nothing is read again
+    whole = state.fold(spark.createDataFrame(events, schema))
+    assert sorted(map(str, state.folded(spark, target).collect())) == sorted(map(str, whole.collect()))
