@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
@@ -140,9 +140,35 @@ def table_rows(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """keys, line_no, cells: rows of pipe tables, an escaped pipe being part of its cell; separator lines don't count."""
     lines = df.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     rows = lines.where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    inner = F.regexp_replace("line", r"^\s*\||\|\s*$", "")
-    cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
-    return rows.select(*keys, "line_no", cells.alias("cells"))
+    return rows.select(*keys, "line_no", row_cells(F.col("line")).alias("cells"))
+
+
+def row_cells(line: Column) -> Column:
+    """The trimmed cells of a table's line; an escaped pipe is part of its cell."""
+    inner = F.regexp_replace(line, r"^\s*\||\|\s*$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+
+
+def table_records(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """keys, line_no, header, cells: the rows below each table's header and separator, to the first line that is no row.
+
+    keys name a text. Lines with pipes but without a separator are no table. A null text has no rows.
+    """
+    lines = df.select(*keys, F.posexplode(F.split(text_col, r"\r?\n")).alias("line_no", "line"))
+    own, no = Window.partitionBy(*keys).orderBy("line_no"), F.col("line_no")
+    is_row = F.col("line").rlike(r"^\s*\|(.*\|)?\s*$")
+    heads = is_row & F.lead(F.col("line").rlike(r"^\s*\|[\s:-]+(\|[\s:-]+)*\|\s*$"), 1, False).over(own)
+    lines = lines.withColumns({"_row": is_row, "_heads": heads, "_run": F.sum((~is_row).cast("long")).over(own)})
+    head = F.min(F.when(F.col("_heads") & F.col("_row"), F.struct("line_no", "line"))).over(Window.partitionBy(*keys, "_run"))
+    rows = lines.withColumn("_head", head).where(F.col("_row") & (no > F.col("_head.line_no") + 1))
+    return rows.select(*keys, "line_no", row_cells(F.col("_head.line")).alias("header"), row_cells(F.col("line")).alias("cells"))
+
+
+def cell(name: str, header: Column | str = "header", cells: Column | str = "cells") -> Column:
+    """The cell below a name, else below the first name that contains it; empty without one."""
+    header, cells = (F.col(c) if isinstance(c, str) else c for c in (header, cells))
+    at = F.coalesce(F.nullif(F.array_position(header, name), F.lit(0).cast("long")), F.array_position(F.transform(header, lambda h: F.contains(F.lower(h), F.lit(name.lower()))), True))
+    return F.coalesce(F.when(at > 0, F.get(cells, at.cast("int") - 1)), F.lit(""))
 
 
 def id_blocks(df: DataFrame, text_col: str, keys: list[str], level: int = 3) -> DataFrame:
@@ -183,9 +209,13 @@ def bare_objects(text: Column) -> Column:
     return F.transform(F.filter(places, lambda p: p["n"] > 0), lambda p: F.substring(text, p["at"], p["n"]))
 
 
-def json_in(text: Column) -> Column:
-    """The JSON of an answer: the whole, else a fenced block, else the last object that stands bare."""
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.length(c) > 0), c)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n(.*?)\n```", 1)
-    bare = F.filter(bare_objects(text), lambda c: F.try_parse_json(c).isNotNull())
-    return F.coalesce(valid(F.trim(text)), valid(fenced), F.try_element_at(bare, F.lit(-1)))
+def json_in(text: Column, field: str | None = None) -> Column:
+    """The JSON of an answer: the whole, else the first fenced block, else the last object that stands bare. With field: one that has it."""
+
+    def valid(c: Column) -> Column:
+        doc = F.try_parse_json(c)
+        return doc.isNotNull() & (F.length(c) > 0) & (F.try_variant_get(doc, f"$.{field}", "variant").isNotNull() if field else F.lit(True))
+
+    fenced = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n(.*?)\n```"), F.lit(1)), valid)
+    whole, bare = F.trim(text), F.filter(bare_objects(text), valid)
+    return F.coalesce(F.when(valid(whole), whole), F.try_element_at(fenced, F.lit(1)), F.try_element_at(bare, F.lit(-1)))

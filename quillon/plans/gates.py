@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown as md
 from ..functions.markdown import front_matter_values
 from .graph import never_free
 from .verification import fresh
@@ -25,6 +26,8 @@ EXCLUDED_HYPOTHESES = "已排除假设"
 SPEC_FIELDS = ("report_name", "title", "institution", "report_date", "authors", "market", "pdf_pages", "exhibit_declared", "element_counts", "type_hint", "tags_hint")
 MAY_BE_EMPTY = ("tags_hint",)
 LEAST_MILESTONES = {"easy": 1, "medium": 2, "hard": 3}
+FINDING = "CDX-"
+RESPONSE_COLUMNS = {"severity": "severity", "recheck": "复核", "disposition": "处置"}
 RUN_LOG, RUN_SUCCEEDED = "run_log.md", "exit=0"
 LEAST_CHART = 15 * 1024
 CHECKED_PRIORITIES = ("core", "support")
@@ -86,6 +89,32 @@ def extract_gate(cases: DataFrame, key: str = "case_id") -> DataFrame:
     )
 
 
+def review_findings(reviews: DataFrame, text_col: str = "text", key: str = "case_id") -> DataFrame:
+    """key, n_findings, verdict of reviews, one a key: those of the review's JSON if it lists findings, else of its tables.
+
+    In tables, a row whose first cell is a finding's id is a finding, and the verdict stands after VERDICT: anywhere; null without one.
+    """
+    doc = F.try_parse_json(md.json_in(F.col(text_col), "findings"))
+    n = F.coalesce(F.size(F.coalesce(F.try_variant_get("_doc", "$.findings", "array<variant>"), F.array().cast("array<variant>"))), F.lit(0))
+    rows = reviews.select(key, text_col, doc.alias("_doc")).select(key, text_col, n.alias("_n"), F.try_variant_get("_doc", "$.verdict", "string").alias("_verdict"), F.col("_doc").isNotNull().alias("_json"))
+    listed = md.table_records(rows.where("NOT _json"), text_col, [key]).where(F.get("cells", F.lit(0)).rlike(f"^{FINDING}"))
+    counts = listed.groupBy(key).agg(F.count(F.lit(1)).alias("_listed"))
+    said = F.nullif(F.regexp_extract(F.col(text_col), r"(?i)VERDICT:\s*(\w+)", 1), F.lit(""))
+    n = F.when(F.col("_json"), F.col("_n").cast("long")).otherwise(F.coalesce("_listed", F.lit(0).cast("long")))
+    return rows.join(counts, key, "left").select(key, n.alias("n_findings"), F.when(F.col("_json"), F.col("_verdict")).otherwise(said).alias("verdict"))
+
+
+def audit_responses(texts: DataFrame, checkpoint: str, text_col: str = "text", key: str = "case_id") -> DataFrame:
+    """key, finding_id, severity, recheck, disposition: the rows of the tables that answer findings of a checkpoint (S, C or R).
+
+    A row answers the first of its cells that is a finding's id; what it says is found by its column's name.
+    """
+    rows = md.table_records(texts, text_col, [key])
+    finding = F.try_element_at(F.filter("cells", lambda c: c.rlike(rf"^{FINDING}[A-Z]-")), F.lit(1))
+    rows = rows.withColumn("finding_id", finding).where(F.col("finding_id").startswith(f"{FINDING}{checkpoint}-"))
+    return rows.select(key, "finding_id", *[md.cell(name).alias(c) for c, name in RESPONSE_COLUMNS.items()])
+
+
 def audit_gate(cases: DataFrame, findings: DataFrame, responses: DataFrame, diffs: DataFrame | None = None, key: str = "case_id") -> DataFrame:
     """findings: key; responses: key, severity, recheck, disposition; diffs: key, ruling (of a blind second extraction)."""
     filled = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0

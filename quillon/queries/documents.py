@@ -147,7 +147,31 @@ def state_appended(spark, d):
     return state.folded(spark, target).select("case_id", "stage", "status", "attempts")
 
 
-QUERIES = {f.__name__: f for f in (paged_files, state_appended, blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, checked_table, external_files, answer_json)}
+def _answered(spark, d):
+    """A document for each order with a table of its lines, between a table of another kind and lines that are no table."""
+    n = F.col("l_linenumber")
+    row = F.concat(
+        F.lit("| CDX-"), F.when(n % 3 == 0, "C").otherwise("S"), F.lit("-"), n.cast("string"), F.lit(" | "), F.when(n % 3 == 0, "Critical").otherwise("major"), F.lit(" | a \\| b | "),
+        F.when(F.col("l_tax") > 0.01, "fixed").otherwise(" "), F.when(F.col("l_returnflag") != "N", " | x | PASS |").otherwise(" |"),
+    )
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n")
+    text = F.concat(F.lit("| checked | result |\n|---|---|\n| data | CDX-S-0 |\n\n| CDX-S-9 | no table |\n\nVerdict: revise\n| id | severity | what | 处置(a/b) | answer | 复核 |\n| :-- | --- | --- | --- | --- | --- |\n"), rows, F.lit("\n\nend | of | it |"))
+    return syn.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(text.alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+def audit_answers(spark, d):
+    return gates.audit_responses(_answered(spark, d), "S")
+
+
+def review_results(spark, d):
+    """Reviews that are JSON, hold it in a second block, or have only tables."""
+    k = F.col("case_id")
+    doc = F.concat(F.lit('{"verdict": "approve", "findings": ['), F.array_join(F.array_repeat(F.lit('{"id": "CDX-S-1"}'), F.col("n").cast("int")), ", "), F.lit("]}"))
+    text = F.when(k % 3 == 0, doc).when(k % 3 == 1, F.concat(F.lit('```json\n{"other": 1}\n```\n```json\n'), doc, F.lit("\n```\n"), F.col("text"))).otherwise(F.col("text"))
+    return gates.review_findings(_answered(spark, d).select("case_id", text.alias("text")))
+
+
+QUERIES = {f.__name__: f for f in (audit_answers, review_results, paged_files, state_appended, blocked_milestones, gate_plan, front_matter_nested, gate_spec_fields, gate_verify, gate_verdict, tolerance_user_max, oos_problems, state_event_problems, checked_table, external_files, answer_json)}
 
 _STUCK = """ms AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS id, [CAST(l_partkey % 9 AS BIGINT), CASE WHEN l_quantity > 10 THEN CAST(l_suppkey % 8 AS BIGINT) END] AS deps FROM lineitem),
 e AS (SELECT DISTINCT a.case_id, a.id, a.dep FROM (SELECT case_id, id, unnest(deps) AS dep FROM ms) a JOIN ms b ON a.case_id = b.case_id AND a.dep = b.id),
@@ -172,6 +196,9 @@ def _rules(table: str, rules: dict[str, str]) -> str:
 
 
 ORACLE_SQL = {
+    "audit_answers": """SELECT l_orderkey AS case_id, 'CDX-S-' || l_linenumber AS finding_id, 'major' AS severity, CASE WHEN l_returnflag <> 'N' THEN 'PASS' ELSE '' END AS recheck, CASE WHEN l_tax > 0.01 THEN 'fixed' ELSE '' END AS disposition
+ FROM lineitem WHERE l_linenumber % 3 <> 0 UNION ALL SELECT DISTINCT l_orderkey, 'CDX-S-0', '', '', '' FROM lineitem""",
+    "review_results": "SELECT l_orderkey AS case_id, count(*) AS n_findings, CASE WHEN l_orderkey % 3 < 2 THEN 'approve' ELSE 'revise' END AS verdict FROM lineitem GROUP BY 1",
     "paged_files": r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), c AS (SELECT doc_id, ps, len(string_split(regexp_replace(array_to_string(ps, chr(10)), '[ \t-\r]+$', ''), chr(10))) AS n,
  CASE WHEN regexp_matches(ps[-1], '^[ \t-\r]*$') THEN len(ps) - 1 ELSE len(ps) END AS held FROM t),
 m AS (SELECT doc_id, ps[:held] AS ps, CASE WHEN doc_id % 4 < 3 THEN n + doc_id % 4 - 1 ELSE held END AS n FROM c)

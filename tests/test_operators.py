@@ -17,7 +17,7 @@ from quillon.functions.metrics import performance_summary
 from quillon.functions.statistics import normal_cdf, safe_corr, student_t_two_sided
 from quillon.operators import allocation, cross_section as xs, learning, optimizers as op, portfolio, timing, universe, validate
 from quillon.operators.features import Segment, assign_splits
-from quillon.plans import state, verification as vf
+from quillon.plans import gates, state, verification as vf
 from quillon.sources import market, paged, sinks
 
 
@@ -654,3 +654,21 @@ def test_appended_events(spark, tmp_path, seed):
     assert read == sum(map(len, batches))  # nothing is read again
     whole = state.fold(spark.createDataFrame(events, schema))
     assert sorted(map(str, state.folded(spark, target).collect())) == sorted(map(str, whole.collect()))
+
+
+REVIEWS = {
+    1: '{"verdict": "pass", "findings": [1, 2]}', 2: 'a\n```json\n{"x": 1}\n```\n```json\n{"findings": null, "verdict": null}\n```', 3: 'said\n {"findings": [1], "verdict": "v"} then {"x": 2}', 4: None, 5: "",
+    6: "| id | n |\n|---|:-:|\n| CDX-S-1 | x |\n| x | CDX-S-2 |\n|\n| CDX-S-3\n| CDX-S-4 |", 7: "|a|\n|-|\n|CDX-C-1|\n|---|\n|CDX-C-2|\r\n\nverdict: Revise now", 8: "| CDX-S-1 | a |\n| b |", 9: '{"findings": [1',
+}
+
+
+def test_reviews(spark):
+    """JSON first, whichever block holds the findings; else rows of tables whose first cell is an id, until a line that is no row."""
+    got = gates.review_findings(spark.createDataFrame(list(REVIEWS.items()), "case_id long, text string"))
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == {1: (2, "pass"), 2: (0, None), 3: (1, "v"), 4: (0, None), 5: (0, None), 6: (1, None), 7: (2, "Revise"), 8: (0, None), 9: (0, None)}
+
+
+def test_audit_responses(spark):
+    text = "| what | id | Severity (of it) | 处置(x) | 处置 |\n|-|-|-|-|-|\n| CDX-C-1 | CDX-S-1 | major | no | yes |\n| z | CDX-S-2 |\n| z | CDX-S-3 | a | b | c | more |\n"
+    got = gates.audit_responses(spark.createDataFrame([(1, text), (2, None)], "case_id long, text string"), "S").collect()
+    assert sorted(map(tuple, got)) == [(1, "CDX-S-2", "", "", ""), (1, "CDX-S-3", "a", "", "c")]
