@@ -264,6 +264,21 @@ def test_tokens_in_parts(part):
     assert [w for ws in collocations.tokens(text, part) for w in ws] == whole == "aé \xff b c d \xff e \xff \xff \xff long-word-without-a-gap f \xff g".encode("latin-1").replace(b"\xe9", "é".encode()).split()
 
 
+def test_copies_add_no_lists(spark, monkeypatch):
+    """A level makes a row for each phrase of a block, however often it stands there."""
+    seen, plain = {}, collocations.frequent_of
+
+    def counted(lengths, by, level, least):
+        seen[level] = lengths.count()
+        return plain(lengths, by, level, least)
+
+    monkeypatch.setattr(collocations, "frequent_of", counted)
+    for copies in (40, 4000):
+        frequent, totals = collocations.mined(spark.createDataFrame([("a b c d e f g h", "en")] * copies, "text string, lang string").coalesce(1))
+        assert seen == {1: 8, 2: 7, 3: 6, 4: 5} and totals.first().n == 8 * copies
+        assert [r.f for r in frequent.where("words = 4").collect()] == [copies] * 5
+
+
 def test_collocation_scores_are_exact(spark, monkeypatch):
     """Counts whose products pass 64 bits."""
     big = 9 * 10**12
