@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _flows(face: Column, coupon: Column, years: Column, per_year: int, weight) -> Column:
@@ -19,16 +22,30 @@ def price(face: Column, coupon: Column, years: Column, rate: Column, per_year: i
     return _flows(face, coupon, years, per_year, lambda k: F.pow(1 + rate / per_year, -k))
 
 
-def yield_to_maturity(clean_price: Column, face: Column, coupon: Column, years: Column, per_year: int = 2, steps: int = 80) -> Column:
-    """By bisection between -90 % and 1000 % a year."""
-    ends = F.struct(F.lit(-0.9).alias("lo"), F.lit(10.0).alias("hi"))
+def _present_value(face: np.ndarray, coupon: np.ndarray, n: np.ndarray, rate: np.ndarray, per_year: int) -> np.ndarray:
+    """price of whole vectors, its flows as a geometric series; n: periods."""
+    x = rate / per_year
+    fall = -n * np.log1p(x)
+    paid = np.where(x == 0, n, -np.expm1(fall) / np.where(x == 0, 1.0, x))
+    return face * (coupon / per_year * paid + np.exp(fall))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        above = price(face, coupon, years, mid, per_year) > clean_price
-        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+def yield_to_maturity(clean_price: Column, face: Column, coupon: Column, years: Column, per_year: int = 2, steps: int = 80) -> Column:
+    """By bisection between -90 % and 1000 % a year, a batch of bonds at once; null where an input isn't a finite number or no period is left."""
+
+    @F.pandas_udf(T.DoubleType())
+    def bisected(wanted: pd.Series, face: pd.Series, coupon: pd.Series, n: pd.Series) -> pd.Series:
+        wanted, face, coupon, n = (x.to_numpy(float, na_value=np.nan) for x in (wanted, face, coupon, n))
+        lo, hi = np.full(len(wanted), -0.9), np.full(len(wanted), 10.0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                above = ~(_present_value(face, coupon, n, mid, per_year) <= wanted)  # an overflow is above, too
+                lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+            known = np.isfinite(wanted + face + coupon + n) & (n >= 1)
+        return pd.Series(np.where(known, (lo + hi) / 2, np.nan))
+
+    return bisected(*[c.cast("double") for c in (clean_price, face, coupon, F.round(years * per_year))])
 
 
 def macaulay_duration(face: Column, coupon: Column, years: Column, rate: Column, per_year: int = 2) -> Column:

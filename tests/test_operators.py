@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import markdown as md
+from quillon.functions import fixed_income as fi, markdown as md
 from quillon.functions.metrics import performance_summary
 from quillon.functions.statistics import normal_cdf, safe_corr, student_t_two_sided
 from quillon.operators import allocation, cross_section as xs, learning, optimizers as op, portfolio, timing, universe, validate
@@ -672,3 +672,17 @@ def test_audit_responses(spark):
     text = "| what | id | Severity (of it) | 处置(x) | 处置 |\n|-|-|-|-|-|\n| CDX-C-1 | CDX-S-1 | major | no | yes |\n| z | CDX-S-2 |\n| z | CDX-S-3 | a | b | c | more |\n"
     got = gates.audit_responses(spark.createDataFrame([(1, text), (2, None)], "case_id long, text string"), "S").collect()
     assert sorted(map(tuple, got)) == [(1, "CDX-S-2", "", "", ""), (1, "CDX-S-3", "a", "", "c")]
+
+
+def test_yields(spark):
+    """Yields of prices that are sums over the flows, the ends of the search, and what has no yield; no bond is searched in a lambda of its own."""
+    price = lambda c, y, r: sum((100 * c / 2 + 100 * (k == 2 * y)) / (1 + r / 2) ** k for k in range(1, round(2 * y) + 1))
+    known = [(c, y, r) for c in (0.0, 0.05, 0.3) for y in (0.5, 10.0, 100.0) for r in (-0.5, -1e-9, 0.0, 1e-9, 0.04, 2.0)]
+    rows = [(price(*k), *k) for k in known] + [(1e300, 0.05, 5.0, -0.9), (0.0, 0.05, 5.0, 10.0)]
+    rows += [(None, 0.05, 5.0, None), (float("nan"), 0.05, 5.0, None), (100.0, None, 5.0, None), (100.0, 0.05, 0.0, None), (100.0, 0.05, None, None)]
+    df = spark.createDataFrame(rows, "price double, c double, y double, want double").coalesce(1)
+    found = df.select("want", fi.yield_to_maturity(F.col("price"), F.lit(100.0), F.col("c"), F.col("y")).alias("got"))
+    got = found.collect()
+    assert [r.got is None for r in got] == [r.want is None for r in got]
+    assert [r.got for r in got if r.want is not None] == pytest.approx([r.want for r in got if r.want is not None], abs=1e-8)
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
