@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,94 +58,187 @@ def schedule(groups: DataFrame, calendar: DataFrame, settings: PortfolioSettings
     return events.select(*cols, F.lit("rebalance").alias("kind"), "targets").unionByName(final.select(*cols, F.lit("final_exit").alias("kind"), "targets"))
 
 
-COLUMNS = ["model", "path", "group", "date", "record", "stock_code", "status", "side", "requested", "executed", "price", "fee", "cash", "equity", "daily_return", "gross_return", "nav", "weight"]
+#: What a simulation records, and the columns of its records besides their keys; a column that doesn't apply is null.
+KINDS = ("trade", "holding", "nav")
+TEXTS = ["status", "side"]
+NUMBERS = ["requested", "executed", "price", "fee", "cash", "equity", "daily_return", "gross_return", "nav", "weight"]
 
 
-def _rows(kind: str, date, names: np.ndarray, **columns) -> list[dict]:
-    """Records of one date, one for each name; scalars hold for all of them."""
-    spread = {k: v if isinstance(v, np.ndarray) else [v] * len(names) for k, v in columns.items()}
-    return [{"date": date, "record": kind, "stock_code": s} | {k: v[i] for k, v in spread.items()} for i, s in enumerate(names)]
+class Day:
+    """Prices and tradability of a market date by stock; a stock that is absent has no price and can't trade."""
 
+    def __init__(self, date, names: np.ndarray, price: np.ndarray, tradable: np.ndarray):
+        self.date, self.index = date, pd.Index(names)
+        if not self.index.is_unique:
+            raise ValueError(f"the market repeats a stock on {date}")
+        price = np.append(np.where(np.isfinite(price), price, np.nan), np.nan)  # the last place is that of absent stocks
+        self.price, self.free = price, np.append(tradable, False) & ~np.isnan(price)
+
+    def of(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.index.get_indexer(names)
+        return self.price[at], self.free[at]
 
-def simulate_events(events: pd.DataFrame, market: pd.DataFrame, settings: PortfolioSettings) -> list[dict]:
-    """Trades, holdings and daily values of one path and group, with a vector of shares over its stocks.
 
-    Between two events the shares stand still, so the values are a product of marked prices and shares. An event
-    moves them towards equal amounts: what is too much goes at once, what is wanted is bought in proportion to
-    the cash there is. A stock that can't trade keeps its shares. Marks are the last known prices.
+class Book:
+    """What one path and group holds: stocks in ascending order with shares and last known prices, and cash.
+
+    An event moves the shares towards equal amounts: what is too much goes at once, what is wanted is bought in
+    proportion to the cash there is. A stock that can't trade keeps its shares. Between events the shares stand still.
     """
-    due = dict(zip(events["execution_date"], events["targets"]))
-    span = market[market["date"].between(min(due), max(due))]
-    table = span.pivot(index="date", columns="stock_code", values="price").astype(float)
-    table = table.where(np.isfinite(table))
-    can_trade = span.pivot(index="date", columns="stock_code", values="tradable").eq(True).to_numpy() & table.notna().to_numpy()
-    names, dates, prices, marks = table.columns.to_numpy(), list(table.index), table.to_numpy(), table.ffill().fillna(0.0).to_numpy()
-    place = {s: i for i, s in enumerate(names)}
-    shares, cash, nav_before = np.zeros(len(names)), settings.initial_capital, settings.initial_capital
-    out: list[dict] = []
-    stops = [i for i, d in enumerate(dates) if d in due]
-    for at, until in zip(stops, [*stops[1:], len(dates)]):
-        price, free = prices[at], can_trade[at]
-        targets = {s for s in due[dates[at]]}
-        chosen = np.array([place[s] for s in targets if s in place], int)
-        goal = np.zeros(len(names))
+
+    def __init__(self, settings: PortfolioSettings):
+        self.settings, self.names, self.shares, self.marks = settings, None, np.zeros(0), np.zeros(0)
+        self.cash = self.before = settings.initial_capital
+
+    def after(self, day: Day, targets: np.ndarray | None) -> Iterator[tuple[str, np.ndarray | None, dict]]:
+        """kind, stocks (None: one record without) and columns of the date's records; targets: distinct, None without an event."""
+        fee = 0.0
+        if targets is None:
+            price, _ = day.of(self.names)
+            self.marks = np.where(np.isnan(price), self.marks, price)
+        else:
+            fee = yield from self._rebalanced(day, targets)
+        equity = self.cash + self.shares @ self.marks
+        if not np.isfinite(equity) or equity <= 0:
+            raise ValueError(f"equity {equity} on {day.date}")
+        if targets is not None:
+            yield "holding", self.names, {"executed": self.shares, "price": self.marks, "weight": self.shares * self.marks / equity}
+            yield "holding", None, {"status": "cash", "cash": self.cash, "weight": self.cash / equity}
+        ret = equity / self.before - 1
+        yield "nav", None, {"cash": self.cash, "equity": equity, "fee": fee, "daily_return": ret, "gross_return": ret + fee / self.before, "nav": equity / self.settings.initial_capital}
+        self.before = equity
+
+    def _rebalanced(self, day: Day, targets: np.ndarray) -> Iterator[tuple[str, np.ndarray, dict]]:
+        """Records of the trades; returns the fee."""
+        s, held = self.settings, targets[:0] if self.names is None else self.names
+        names = np.union1d(held, targets) if len(held) else np.unique(targets)
+        shares, marks, at = np.zeros(len(names)), np.zeros(len(names)), np.searchsorted(names, held)
+        shares[at], marks[at] = self.shares, self.marks
+        price, free = day.of(names)
+        marks = np.where(np.isnan(price), marks, price)
+        goal, chosen = np.zeros(len(names)), np.searchsorted(names, targets)
         if len(targets):
-            goal[chosen] = np.nan_to_num((cash + shares @ marks[at]) / len(targets) / price[chosen])
-        wish = goal - shares
-        less, more = wish < -settings.share_epsilon, wish > settings.share_epsilon
+            cost = price[chosen]
+            goal[chosen] = np.divide((self.cash + shares @ marks) / len(targets), cost, out=np.zeros(len(targets)), where=cost > 0)
+        wish, paying = goal - shares, np.nan_to_num(price)
+        less, more = wish < -s.share_epsilon, wish > s.share_epsilon
         sold = np.where(less & free, np.maximum(wish, -shares), 0.0)
-        paid = np.where(less & free, -sold * np.nan_to_num(price), 0.0)
-        fee = paid * settings.sell_fee
-        cash_after = cash + np.cumsum(paid - fee)
-        state = np.where(free, "filled", "blocked").astype(object)
-        shown = lambda v: np.where(free, v, np.nan)
-        columns = {"side": "sell", "status": state, "requested": wish, "executed": sold, "price": shown(price), "fee": shown(fee), "cash": shown(cash_after)}
-        out += _rows("trade", dates[at], names[less], **{k: v[less] if isinstance(v, np.ndarray) else v for k, v in columns.items()})
-        cash, shares = cash + (paid - fee).sum(), shares + sold
-        shares[shares <= settings.share_epsilon] = 0.0
-        cost = np.where(more & free, wish * np.nan_to_num(price), 0.0)
+        paid = -sold * paying
+        fee = paid * s.sell_fee
+        yield "trade", names[less], {"side": "sell", **_at(less, free, "filled", requested=wish, executed=sold, price=price, fee=fee, cash=self.cash + np.cumsum(paid - fee))}
+        cash, shares = self.cash + (paid - fee).sum(), shares + sold
+        shares[shares <= s.share_epsilon] = 0.0
+        cost = np.where(more & free, wish * paying, 0.0)
         part = min(1.0, cash / cost.sum()) if cost.sum() > 0 else 0.0
         bought = np.where(more & free, wish * part, 0.0)
-        state = np.where(free, "filled" if part >= 1 - 1e-12 else "partial", "blocked").astype(object)
-        columns = {"side": "buy", "status": state, "requested": wish, "executed": bought, "price": shown(price), "fee": shown(0.0), "cash": shown(cash - np.cumsum(cost * part))}
-        out += _rows("trade", dates[at], names[more], **{k: v[more] if isinstance(v, np.ndarray) else v for k, v in columns.items()})
-        cash, shares = cash - (cost * part).sum(), shares + np.where(bought > settings.share_epsilon, bought, 0.0)
+        yield "trade", names[more], {"side": "buy", **_at(more, free, "filled" if part >= 1 - 1e-12 else "partial", requested=wish, executed=bought, price=price, fee=np.zeros(len(names)), cash=cash - np.cumsum(cost * part))}
+        shares = shares + np.where(bought > s.share_epsilon, bought, 0.0)
         own = shares > 0
-        equity = cash + marks[at:until] @ shares
-        if not np.isfinite(equity[0]) or equity[0] <= 0:
-            raise ValueError(f"equity {equity[0]} on {dates[at]}")
-        out += _rows("holding", dates[at], names[own], executed=shares[own], price=marks[at][own], weight=(shares * marks[at] / equity[0])[own])
-        out.append({"date": dates[at], "record": "holding", "status": "cash", "cash": cash, "weight": cash / equity[0]})
-        fees = np.concatenate([[fee.sum()], np.zeros(until - at - 1)])
-        before = np.concatenate([[nav_before], equity[:-1]])
-        for i, date in enumerate(dates[at:until]):
-            ret = equity[i] / before[i] - 1
-            out.append({"date": date, "record": "nav", "cash": cash, "equity": equity[i], "fee": fees[i], "daily_return": ret, "gross_return": ret + fees[i] / before[i], "nav": equity[i] / settings.initial_capital})
-        nav_before = equity[-1]
-    return out
+        self.names, self.shares, self.marks, self.cash = names[own], shares[own], marks[own], cash - (cost * part).sum()
+        return fee.sum()
+
+
+def _at(rows: np.ndarray, free: np.ndarray, done: str, **columns: np.ndarray) -> dict:
+    """The columns at these rows; blocked ones show what was asked for, and no price, fee or cash."""
+    shown = {k: v if k in ("requested", "executed") else np.where(free, v, np.nan) for k, v in columns.items()}
+    return {"status": np.where(free, done, "blocked").astype(object)[rows]} | {k: v[rows] for k, v in shown.items()}
 
 
-def simulate(events: DataFrame, market: DataFrame, settings: PortfolioSettings) -> DataFrame:
-    """Trades, holdings and daily values (record) of all paths: a task for each (model, path, group).
+def _walked(days: Iterable[tuple[Day, dict]], until: dict, settings: PortfolioSettings) -> Iterator[tuple]:
+    """group, date and record of every group of a path, from its first event to `until`, a date at a time; days: ascending, with the targets of each group that has an event."""
+    books: dict = {}
+    for day, due in days:
+        for group in sorted({*books, *due}):
+            book = books.setdefault(group, Book(settings))
+            for record in book.after(day, due.get(group)):
+                yield group, day.date, *record
+            if day.date >= until[group]:
+                del books[group]
 
-    Each group gets the rows of the stocks that it ever targets, not the whole market.
+
+def simulate_events(events: pd.DataFrame, market: pd.DataFrame, settings: PortfolioSettings) -> list[dict]:
+    """Trades, holdings and daily values of one path and group, from tables in memory."""
+    due = {d: np.unique(np.array(list(t), object)) for d, t in zip(events["execution_date"], events["targets"])}
+    span = dict(list(market[market["date"].between(min(due), max(due))].groupby("date")))
+    rows = lambda d: span.get(d, market.iloc[:0])
+    days = ((Day(d, rows(d)["stock_code"].to_numpy(object), rows(d)["price"].to_numpy(float), rows(d)["tradable"].eq(True).to_numpy()), {0: due[d]} if d in due else {}) for d in sorted({*span, *due}))
+    out: list[dict] = []
+    for _, date, kind, names, columns in _walked(days, {0: max(due)}, settings):
+        spread = {k: v if isinstance(v, np.ndarray) else [v] * (1 if names is None else len(names)) for k, v in columns.items()}
+        out += [{"date": date, "record": kind, "stock_code": s} | {k: v[i] for k, v in spread.items()} for i, s in enumerate([None] if names is None else names)]
+    return out
+
+
+#: Rows of a batch that goes back to Spark, at most; blocks that a date's stocks are dealt to.
+BATCH = 10_000
+BLOCKS = 32
+
+
+def _days(rows: Iterable[tuple]) -> Iterator[tuple[Day, dict]]:
+    """Dates with their events from rows (date, group, stocks, prices, tradable): blocks of the market have no group, events no prices."""
+    for date, own in groupby(rows, itemgetter(0)):
+        blocks, due, none = [], {}, None
+        for _, group, names, price, tradable in own:
+            names = names.values.to_numpy(zero_copy_only=False)
+            if group is None:
+                blocks.append((names, price.values.to_numpy(zero_copy_only=False).astype(float), tradable.values.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)))
+            else:
+                due[group], none = np.unique(names), names[:0]
+        yield Day(date, *(map(np.concatenate, zip(*blocks)) if blocks else (none, np.zeros(0), np.zeros(0, bool)))), due
+
+
+def simulated(batches: Iterator[pa.RecordBatch], settings: PortfolioSettings, kinds: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Records of the paths whose rows come sorted by model, path, date (null: a group's last date) and group; they leave with the date that makes them."""
+    codes: list[pa.DataType] = []
+
+    def read():
+        for batch in batches:
+            codes[:] = [batch.schema.field("stock_code").type.value_type]
+            keys = [batch.column(c).to_pylist() for c in ("model", "path", "date", "group", "until")]
+            lists = [batch.column(c) for c in ("stock_code", "price", "tradable")]
+            yield from ((*k, *(x[i] for x in lists)) for i, k in enumerate(zip(*keys)))
+
+    def made(schema: pa.Schema, n: int, columns: dict) -> pa.RecordBatch:
+        one = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(v, kind, from_pandas=True) if isinstance(v, np.ndarray) else pa.repeat(pa.scalar(v, kind), n)
+        return pa.RecordBatch.from_arrays([one(columns.get(f.name), f.type) for f in schema], schema=schema)
+
+    for (model, path), rows in groupby(read(), itemgetter(0, 1)):
+        schema = pa.schema([("model", pa.string()), ("path", pa.int64()), ("group", pa.int32()), ("date", pa.date32()), ("record", pa.string()), ("stock_code", codes[0]), *((c, pa.string()) for c in TEXTS), *((c, pa.float64()) for c in NUMBERS)])
+        until, first = {}, None
+        for row in rows:
+            if row[2] is not None:
+                first = row
+                break
+            until[row[3]] = row[4]
+        if first is None:
+            continue
+        days = _days((r[2], r[3], *r[5:]) for r in chain([first], rows))
+        for group, date, kind, names, columns in _walked(days, until, settings):
+            if kind in kinds:
+                n = 1 if names is None else len(names)
+                whole = made(schema, n, {"model": model, "path": path, "group": group, "date": date, "record": kind, "stock_code": names, **columns})
+                yield from (whole.slice(i, BATCH) for i in range(0, n, BATCH))
+
+
+def simulate(events: DataFrame, market: DataFrame, settings: PortfolioSettings, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Trades, holdings and daily values (record, of these kinds) of all paths: a task for each (model, path), whose groups share one reading of the market.
+
+    Only cash joins the stocks of a group, but by every event, so a path is gone through in order. The market comes date by
+    date, in blocks, and the records of a date leave before the next is read: a task holds what its groups own and one date.
     """
     keys = ["model", "path", "group"]
     code = dict(market.dtypes)["stock_code"]
-    wanted = events.select(*keys, F.explode("targets").alias("stock_code")).distinct()
-    rows = wanted.join(market, "stock_code").select(*keys, "stock_code", "date", "price", "tradable")
-    schema = f"model string, path long, `group` int, date date, record string, stock_code {code}, status string, side string, requested double, executed double, price double, fee double, cash double, equity double, daily_return double, gross_return double, nav double, weight double"
-
-    def run(key, plan: pd.DataFrame, prices: pd.DataFrame) -> pd.DataFrame:
-        if plan.empty or prices.empty:
-            return pd.DataFrame(columns=COLUMNS)
-        out = pd.DataFrame(simulate_events(plan, prices, settings))
-        out["model"], out["path"], out["group"] = key
-        return out.reindex(columns=COLUMNS)
-
-    events = events.withColumn("path", F.col("path").cast("long"))
-    rows = rows.withColumn("path", F.col("path").cast("long")).toDF(*rows.columns)  # columns of its own, not those of events
-    return events.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, schema)
+    events = events.select(F.col("model").cast("string").alias("model"), F.col("path").cast("long").alias("path"), F.col("group").cast("int").alias("group"), F.col("execution_date").alias("date"), F.array_compact("targets").cast(f"array<{code}>").alias("stock_code"))
+    rows = F.collect_list(F.struct("stock_code", F.col("price").cast("double").alias("price"), "tradable"))
+    blocks = market.where("stock_code IS NOT NULL AND date IS NOT NULL").groupBy("date", F.pmod(F.xxhash64("stock_code"), F.lit(BLOCKS)).alias("_block")).agg(rows.alias("_rows"))
+    blocks = blocks.select("date", *[F.col(f"_rows.{c}").alias(c) for c in ("stock_code", "price", "tradable")])
+    spans = events.groupBy("model", "path").agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    ends = events.groupBy(*keys).agg(F.max("date").alias("until"))
+    stream = spans.join(blocks, "date").unionByName(events, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    stream = stream.select("model", "path", "date", "group", "until", "stock_code", "price", "tradable").repartition("model", "path").sortWithinPartitions("model", "path", "date", "group")
+    kept = tuple(kinds)
+    schema = f"model string, path long, `group` int, date date, record string, stock_code {code}, {', '.join(f'{c} string' for c in TEXTS)}, {', '.join(f'{c} double' for c in NUMBERS)}"
+    return stream.mapInArrow(lambda batches: simulated(batches, settings, kept), schema)
 
 
 def portfolio_returns(nav: DataFrame, n_groups: int) -> DataFrame:
@@ -218,8 +316,7 @@ def run_backtest(predictions: DataFrame, market: DataFrame, calendar: DataFrame,
     settings.validate()
     groups = xs.descending_groups(predictions, settings.n_groups)
     events = schedule(groups, calendar, settings)
-    records = simulate(events, prepare_market(market), settings)
-    nav = records.where("record = 'nav'")
+    trades, holdings, nav = (simulate(events, prepare_market(market), settings, [kind]) for kind in KINDS)
     returns = portfolio_returns(nav, settings.n_groups)
     by_path = path_metrics(returns, settings.periods_per_year)
     by_group = path_metrics(nav.select("model", "path", F.col("group").alias("portfolio"), "date", "daily_return"), settings.periods_per_year)
@@ -227,7 +324,7 @@ def run_backtest(predictions: DataFrame, market: DataFrame, calendar: DataFrame,
     paths = rank_ic_paths(diagnosed, calendar, settings.interval)
     group_metrics = by_group.where("period = 'all'").groupBy("model", F.col("portfolio").alias("group")).agg(F.avg("annual_return").alias("annual_return"))
     return {
-        "groups": groups, "events": events, "trades": records.where("record = 'trade'"), "holdings": records.where("record = 'holding'"), "nav": nav,
+        "groups": groups, "events": events, "trades": trades, "holdings": holdings, "nav": nav,
         "returns": returns, "path_metrics": by_path, "metrics": metrics_over_paths(by_path), "group_metrics": by_group, "daily": daily_path_aggregate(nav),
         "monotonicity": monotonicity(group_metrics), "diagnostics": diagnosed, "rank_ic_paths": paths, "rank_ic": rank_ic_over_paths(paths, settings.interval), "label_coverage": label_coverage(diagnosed),
         "model_correlation": xs.model_pairs(predictions), "model_correlation_daily": xs.model_pairs(predictions, by_date=True),

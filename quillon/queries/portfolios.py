@@ -87,12 +87,17 @@ def rank_ic_over_paths(spark, d):
 
 
 def _groups(spark, d):
-    """Written once: a schedule reads them several times."""
     return table(xs.descending_groups(syn.predictions(spark, d), SETTINGS.n_groups), "groups")
 
 
+def _schedule(spark, d):
+    """Groups are written once, without the labels: a schedule reads them several times."""
+    groups = xs.descending_groups(syn.scores(spark, d), SETTINGS.n_groups).select("model", "stock_code", "date", "group")
+    return pf.schedule(table(groups, "groups"), syn.calendar(spark, d), SETTINGS)
+
+
 def path_schedule(spark, d):
-    out = pf.schedule(_groups(spark, d), syn.calendar(spark, d), SETTINGS)
+    out = _schedule(spark, d)
     return out.select("model", F.col("path").cast("long").alias("path"), F.col("group").cast("long").alias("grp"), "signal_date", "execution_date", "kind", F.size("targets").cast("long").alias("n_targets"))
 
 
@@ -100,24 +105,26 @@ def _market(spark, d):
     return syn.panel(spark, d).select("stock_code", "date", F.col("px").alias("price"), ((F.col("stock_code") + F.month("date")) % 9 != 0).alias("tradable"))
 
 
-def _records(spark, d):
-    return pf.simulate(pf.schedule(_groups(spark, d), syn.calendar(spark, d), SETTINGS), pf.prepare_market(_market(spark, d)), SETTINGS)
+def _records(spark, d, kind):
+    """The schedule is written once, too: a simulation reads its dates and its targets."""
+    events = table(_schedule(spark, d), "events")
+    return pf.simulate(events, pf.prepare_market(_market(spark, d)), SETTINGS, [kind])
 
 
 def simulate_paths(spark, d):
-    return _records(spark, d).where("record = 'nav'").select("model", "path", "group", "date", _r("nav", 6), _r("daily_return", 6), _r("fee", 4))
+    return _records(spark, d, "nav").select("model", "path", "group", "date", _r("nav", 6), _r("daily_return", 6), _r("fee", 4))
 
 
 def trades(spark, d):
-    return _records(spark, d).where("record = 'trade'").select("model", "path", "group", "date", "stock_code", "side", "status", _r("executed", 4))
+    return _records(spark, d, "trade").select("model", "path", "group", "date", "stock_code", "side", "status", _r("executed", 4))
 
 
 def holdings(spark, d):
-    return _records(spark, d).where("record = 'holding'").select("model", "path", "group", "date", "stock_code", _r("weight", 6))
+    return _records(spark, d, "holding").select("model", "path", "group", "date", "stock_code", _r("weight", 6))
 
 
 def top_bottom_returns(spark, d):
-    return pf.portfolio_returns(_records(spark, d).where("record = 'nav'"), SETTINGS.n_groups).select("model", "path", "portfolio", "date", _r("daily_return", 6), _r("nav", 6))
+    return pf.portfolio_returns(_records(spark, d, "nav"), SETTINGS.n_groups).select("model", "path", "portfolio", "date", _r("daily_return", 6), _r("nav", 6))
 
 
 def _paths(spark, d):

@@ -54,15 +54,19 @@ ATTRIBUTES = """attributes AS (
         CASE WHEN s_suppkey % 17 <> 5 THEN abs(s_acctbal) END AS market_cap FROM supplier)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, stock_code, date, prediction, label: three pseudo-models over the panel."""
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, stock_code, date, prediction: three pseudo-models over the panel."""
     lines = table(spark, sf_dir, "lineitem")
-    scores = lines.groupBy(F.col("l_suppkey").alias("stock_code"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")).agg(
+    means = lines.groupBy(F.col("l_suppkey").alias("stock_code"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")).agg(
         *[F.round(F.avg(c), 10).alias(m) for m, c in MODELS.items()]
     )
-    long = scores.unpivot(["stock_code", "date"], list(MODELS), "model", "prediction")
+    return means.unpivot(["stock_code", "date"], list(MODELS), "model", "prediction").select("model", "stock_code", "date", "prediction")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, stock_code, date, prediction, label: the scores with the panel's next return."""
     labels = panel(spark, sf_dir).select("stock_code", "date", F.col("fwd").alias("label"))
-    return long.join(labels, ["stock_code", "date"], "left").select("model", "stock_code", "date", "prediction", "label")
+    return scores(spark, sf_dir).join(labels, ["stock_code", "date"], "left").select("model", "stock_code", "date", "prediction", "label")
 
 
 MODELS = {"disc": "l_discount", "qty": "l_quantity", "tax": "l_tax"}

@@ -686,3 +686,82 @@ def test_yields(spark):
     assert [r.got is None for r in got] == [r.want is None for r in got]
     assert [r.got for r in got if r.want is not None] == pytest.approx([r.want for r in got if r.want is not None], abs=1e-8)
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def held_by_loop(events, price, tradable, s):
+    """Dates of one path and group by a plain loop over stocks: {date: (trades, holdings, equity)}."""
+    cash, shares, last, out = s.initial_capital, {}, {}, {}
+    first, until = min(events), max(events)
+    for d in sorted({d for d, _ in price} | set(events)):
+        if not first <= d <= until:
+            continue
+        now = {c: p for (e, c), p in price.items() if e == d and p is not None}
+        trades, held = {}, {}
+        last |= {c: now[c] for c in shares if c in now}
+        if d in events:
+            targets = set(events[d])
+            worth = cash + sum(n * last[c] for c, n in shares.items())
+            goal = {c: worth / len(targets) / now[c] if c in targets and c in now else 0.0 for c in targets | set(shares)}
+            free = {c for c in goal if c in now and tradable.get((d, c))}
+            for c in sorted(goal):
+                if (more := goal[c] - shares.get(c, 0.0)) < -s.share_epsilon:
+                    trades[c] = ("sell", "filled" if c in free else "blocked", more if c in free else 0.0)
+                    if c in free:
+                        cash -= more * now[c] * (1 - s.sell_fee)
+                        shares[c] += more
+            shares = {c: n for c, n in shares.items() if n > s.share_epsilon}
+            wish = {c: g - shares.get(c, 0.0) for c, g in goal.items() if g - shares.get(c, 0.0) > s.share_epsilon}
+            need = sum(w * now[c] for c, w in wish.items() if c in free)
+            part = min(1.0, cash / need) if need > 0 else 0.0
+            for c, w in wish.items():
+                trades[c] = ("buy", "blocked" if c not in free else "filled" if part >= 1 - 1e-12 else "partial", w * part if c in free else 0.0)
+                if c in free:
+                    shares[c], last[c] = shares.get(c, 0.0) + w * part, now[c]
+            cash -= need * part
+            last |= {c: now[c] for c in shares if c in now}
+            worth = cash + sum(n * last[c] for c, n in shares.items())
+            held = {c: n * last[c] / worth for c, n in shares.items()}
+        out[d] = (trades, held, cash + sum(n * last[c] for c, n in shares.items()))
+    return out
+
+
+@pytest.mark.parametrize("code", ["long", "string"])
+def test_simulation_equals_loop(spark, code):
+    """Long codes beyond 2^53, stocks and dates without rows, prices that come and go, groups that begin and end apart."""
+    rng = np.random.default_rng(11)
+    name = (lambda i: 2**60 + i) if code == "long" else (lambda i: f"s{i}")
+    codes, days = [name(i) for i in range(40)], [day(i) for i in range(30)]
+    rows = [(c, d, None if rng.random() < 0.05 else float(np.exp(rng.normal(0, 0.2)) * 9), None if rng.random() < 0.05 else bool(rng.random() > 0.2)) for d in days if d != days[9] for c in codes[:36] if rng.random() > 0.1]
+    dates = {1: days[0:25:3], 2: days[3:28:3]}
+    events = {(m, g): {d: [c for c in codes if rng.random() < 0.3] if d != ds[-1] else [] for d in ds} for m in ("m", "n") for g, ds in dates.items()}
+    plan = spark.createDataFrame([(m, 0, g, d, t) for (m, g), own in events.items() for d, t in own.items()], f"model string, path int, `group` int, execution_date date, targets array<{code}>")
+    market = spark.createDataFrame(rows, f"stock_code {code}, date date, price double, tradable boolean")
+    s = validate.PortfolioSettings(sell_fee=0.002)
+    got = portfolio.simulate(plan, portfolio.prepare_market(market), s).collect()
+    price, tradable = {(d, c): p for c, d, p, _ in rows}, {(d, c): t for c, d, _, t in rows}
+    for (m, g), own in events.items():
+        want, mine = held_by_loop(own, price, tradable, s), [r for r in got if (r.model, r.group) == (m, g)]
+        assert {r.date: r.equity for r in mine if r.record == "nav"} == pytest.approx({d: x[2] for d, x in want.items()})
+        assert {(r.date, r.stock_code): (r.side, r.status) for r in mine if r.record == "trade"} == {(d, c): t[:2] for d, x in want.items() for c, t in x[0].items()}
+        assert {(r.date, r.stock_code): r.executed for r in mine if r.record == "trade"} == pytest.approx({(d, c): t[2] for d, x in want.items() for c, t in x[0].items()})
+        assert {(r.date, r.stock_code): r.weight for r in mine if r.record == "holding" and r.status is None} == pytest.approx({(d, c): w for d, x in want.items() for c, w in x[1].items()})
+    with pytest.raises(Exception, match="repeats a stock"):
+        portfolio.simulate(plan, portfolio.prepare_market(market.unionByName(market)), s).collect()
+
+
+def test_simulation_streams():
+    """The records of a date leave before the next date but one is read."""
+    import pyarrow as pa
+
+    schema = pa.schema([("model", pa.string()), ("path", pa.int64()), ("date", pa.date32()), ("group", pa.int32()), ("until", pa.date32()), ("stock_code", pa.list_(pa.int64())), ("price", pa.list_(pa.float64())), ("tradable", pa.list_(pa.bool_()))])
+    rows = [("m", 0, None, 1, day(9), None, None, None), ("m", 0, day(0), None, None, [1, 2], [5.0, 4.0], [True, True]), ("m", 0, day(0), 1, None, [1, 2], None, None)]
+    rows += [("m", 0, day(i), None, None, [1, 2], [5.0 + i, 4.0], [True, None]) for i in range(1, 10)]
+    read = []
+
+    def batches():
+        for row in rows:
+            read.append(row)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
+
+    ahead = [(b.column("date")[0].as_py(), len(read)) for b in portfolio.simulated(batches(), validate.PortfolioSettings(), ("nav",))]
+    assert [d for d, _ in ahead] == [day(i) for i in range(10)] and all(n <= 3 + i + 1 for i, (_, n) in enumerate(ahead))
