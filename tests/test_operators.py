@@ -765,3 +765,12 @@ def test_simulation_streams():
 
     ahead = [(b.column("date")[0].as_py(), len(read)) for b in portfolio.simulated(batches(), validate.PortfolioSettings(), ("nav",))]
     assert [d for d, _ in ahead] == [day(i) for i in range(10)] and all(n <= 3 + i + 1 for i, (_, n) in enumerate(ahead))
+
+
+def test_simulation_makes_only_the_records_asked_for(spark):
+    plan = spark.createDataFrame([("m", 0, 1, day(0), [1, 2]), ("m", 0, 1, day(2), [])], "model string, path int, `group` int, execution_date date, targets array<long>")
+    market = spark.createDataFrame([(c, day(i), 5.0 + i * c, True) for c in (1, 2) for i in range(3)], "stock_code long, date date, price double, tradable boolean")
+    whole = portfolio.simulate(plan, market, validate.PortfolioSettings())
+    for kind, n in {"trade": 4, "holding": 4, "nav": 3}.items():
+        got = portfolio.simulate(plan, market, validate.PortfolioSettings(), [kind])
+        assert got.count() == n and sorted(map(str, got.collect())) == sorted(map(str, whole.where(F.col("record") == kind).collect()))
