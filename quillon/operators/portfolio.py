@@ -242,13 +242,14 @@ def simulate(events: DataFrame, market: DataFrame, settings: PortfolioSettings,
 
 
 def portfolio_returns(nav: DataFrame, n_groups: int) -> DataFrame:
-    """model, path, portfolio (top_long, top_bottom), date, daily_return, nav; both legs pay their fees."""
-    fee = F.col("gross_return") - F.col("daily_return")
-    side = lambda g, a, b: nav.where(F.col("group") == g).select("model", "path", "date", F.col("daily_return").alias(a), fee.alias(b))
-    top = nav.where("`group` = 1").select("model", "path", "date", F.lit("top_long").alias("portfolio"), "daily_return")
-    both = side(1, "r1", "f1").join(side(n_groups, "rn", "fn"), ["model", "path", "date"])
-    spread = both.select("model", "path", "date", F.lit("top_bottom").alias("portfolio"), ((F.col("r1") + F.col("f1")) - (F.col("rn") + F.col("fn")) - F.col("f1") - F.col("fn")).alias("daily_return"))
-    return wealth(top.unionByName(spread), "daily_return", ["model", "path", "portfolio"])
+    """model, path, portfolio (top_long, top_bottom), date, daily_return, nav; both legs pay their fees. nav is read once."""
+    leg = lambda g: F.max(F.when(F.col("group") == g, F.struct(F.col("daily_return").alias("ret"), (F.col("gross_return") - F.col("daily_return")).alias("fee"))))
+    both = nav.where(F.col("group").isin(1, n_groups)).groupBy("model", "path", "date").agg(leg(1).alias("top"), leg(n_groups).alias("low"))
+    spread = F.expr("(top.ret + top.fee) - (low.ret + low.fee) - top.fee - low.fee")
+    row = lambda name, there, ret: F.when(there, F.struct(F.lit(name).alias("portfolio"), ret.alias("daily_return")))
+    top, low = F.col("top").isNotNull(), F.col("low").isNotNull()
+    rows = F.array_compact(F.array(row("top_long", top, F.col("top.ret")), row("top_bottom", top & low, spread)))
+    return wealth(both.select("model", "path", "date", F.inline(rows)).select("model", "path", "date", "portfolio", "daily_return"), "daily_return", ["model", "path", "portfolio"])
 
 
 def path_metrics(returns: DataFrame, periods: int = 252, ret: str = "daily_return", keys: tuple[str, ...] = ("model", "path", "portfolio")) -> DataFrame:

@@ -774,3 +774,13 @@ def test_simulation_makes_only_the_records_asked_for(spark):
     for kind, n in {"trade": 4, "holding": 4, "nav": 3}.items():
         got = portfolio.simulate(plan, market, validate.PortfolioSettings(), [kind])
         assert got.count() == n and sorted(map(str, got.collect())) == sorted(map(str, whole.where(F.col("record") == kind).collect()))
+
+
+def test_returns_read_the_values_once(spark):
+    rows = [("m", 0, 1, day(0), 0.10, 0.12), ("m", 0, 3, day(0), 0.02, 0.03), ("m", 0, 2, day(0), 9.0, 9.0), ("m", 0, 1, day(1), 0.05, 0.05), ("m", 0, 3, day(2), 0.01, 0.01), ("m", 1, 3, day(0), 0.01, 0.01)]
+    nav = spark.createDataFrame(rows, "model string, path long, `group` int, date date, daily_return double, gross_return double").mapInArrow(lambda batches: batches, "model string, path long, `group` int, date date, daily_return double, gross_return double")
+    got = portfolio.portfolio_returns(nav, 3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {(r.path, r.portfolio, r.date): (r.daily_return, r.nav) for r in got.collect()}
+    assert set(found) == {(0, "top_long", day(0)), (0, "top_long", day(1)), (0, "top_bottom", day(0))}
+    assert found[0, "top_long", day(1)] == pytest.approx((0.05, 1.1 * 1.05)) and found[0, "top_bottom", day(0)] == pytest.approx((0.12 - 0.03 - 0.02 - 0.01, 1.06))
