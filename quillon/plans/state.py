@@ -66,7 +66,7 @@ def summary(states: DataFrame) -> DataFrame:
 
 def next_number(ids: DataFrame, col: str = "case_id") -> DataFrame:
     """One above the highest number of ids like r012_name; 1 without any."""
-    n = F.expr(f"try_cast(nullif(regexp_extract({col}, '^r([0-9]+)_', 1), '') AS int)")
+    n = F.expr(f"try_cast(nullif(regexp_extract({col}, '^r([0-9]+)_', 1), '') AS decimal(38, 0))")
     return ids.agg((F.coalesce(F.max(n), F.lit(0)) + 1).cast("long").alias("next_number"))
 
 

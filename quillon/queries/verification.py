@@ -67,7 +67,7 @@ def state_fold(spark, d):
 
 
 def next_case_id(spark, d):
-    ids = syn.table(spark, d, "supplier").select(F.concat(F.lit("r"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0"), F.lit("_case")).alias("case_id"))
+    ids = syn.table(spark, d, "supplier").select(F.format_string("r%03d_case", "s_suppkey").alias("case_id"))  # three digits at least
     return state.next_number(ids)
 
 

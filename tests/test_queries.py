@@ -78,3 +78,11 @@ def test_library_stands_without_llm(tmp_path):
 def test_bond_yield_covers_every_part(spark):
     found = catalogue.queries()["bond_yield"](spark, SF).toPandas()
     assert len(found) == spark.read.parquet(f"{SF}/part.parquet").count() and (found.given - found.found).abs().max() < 2e-6
+
+
+@pytest.mark.parametrize("keys", [[998, 999], [7, 999, 1000, 5999, None], [2**31 - 1], [12, 2**31 + 5, 10**15]])
+def test_next_case_id_of_long_keys(spark, duck, tmp_path, keys):
+    """Keys of more than three digits are whole in their ids, and numbers aren't bound to 32 bits."""
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = duck.execute(SQL["next_case_id"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")).df()
+    same_rows(catalogue.queries()["next_case_id"](spark, str(tmp_path)), want)
