@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -751,8 +752,6 @@ def test_simulation_equals_loop(spark, code):
 
 def test_simulation_streams():
     """The records of a date leave before the next date but one is read."""
-    import pyarrow as pa
-
     schema = pa.schema([("model", pa.string()), ("path", pa.int64()), ("date", pa.date32()), ("group", pa.int32()), ("until", pa.date32()), ("stock_code", pa.list_(pa.int64())), ("price", pa.list_(pa.float64())), ("tradable", pa.list_(pa.bool_()))])
     rows = [("m", 0, None, 1, day(9), None, None, None), ("m", 0, day(0), None, None, [1, 2], [5.0, 4.0], [True, True]), ("m", 0, day(0), 1, None, [1, 2], None, None)]
     rows += [("m", 0, day(i), None, None, [1, 2], [5.0 + i, 4.0], [True, None]) for i in range(1, 10)]
@@ -784,3 +783,15 @@ def test_returns_read_the_values_once(spark):
     found = {(r.path, r.portfolio, r.date): (r.daily_return, r.nav) for r in got.collect()}
     assert set(found) == {(0, "top_long", day(0)), (0, "top_long", day(1)), (0, "top_bottom", day(0))}
     assert found[0, "top_long", day(1)] == pytest.approx((0.05, 1.1 * 1.05)) and found[0, "top_bottom", day(0)] == pytest.approx((0.12 - 0.03 - 0.02 - 0.01, 1.06))
+
+
+def test_trades_leave_in_small_batches():
+    """A date's trades go back in batches of bounded size, blocked ones and cash among them in order of the stocks."""
+    n = 25_000
+    events = [{"model": "m", "path": 0, "date": None, "group": 1, "until": day(0)}, {"model": "m", "path": 0, "date": day(0), "stock_code": list(range(n)), "price": [5.0] * n, "tradable": [i % 10 > 0 for i in range(n)]}, {"model": "m", "path": 0, "date": day(0), "group": 1, "stock_code": list(range(n))}]
+    schema = pa.schema([("model", pa.string()), ("path", pa.int64()), ("date", pa.date32()), ("group", pa.int32()), ("until", pa.date32()), ("stock_code", pa.list_(pa.int64())), ("price", pa.list_(pa.float64())), ("tradable", pa.list_(pa.bool_()))])
+    out = list(portfolio.simulated(iter([pa.RecordBatch.from_pylist(events, schema=schema)]), validate.PortfolioSettings(initial_capital=1.0 * n), ("trade",)))
+    assert [b.num_rows for b in out] == [10_000, 10_000, 5_000]
+    whole = pa.Table.from_batches(out).to_pandas()
+    assert list(whole.stock_code) == list(range(n)) and list(whole.status) == ["blocked" if i % 10 == 0 else "filled" for i in range(n)]
+    assert whole.executed.sum() == pytest.approx(0.9 * n / 5) and whole.cash.min() == pytest.approx(0.1 * n) and whole.cash.isna().sum() == n / 10
